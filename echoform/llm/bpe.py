@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from echoform.llm.common import widened
+
 SHORT, CACHE_WORDS = 96, 400_000
 #: The white space of the vocabulary's pattern, and that pattern.
 WS = "\t-\r \x85\xa0  -     　"
@@ -145,7 +147,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     """Add ``ids`` (array<int>) to docs; an existing column of that name is replaced.
     Null and empty texts give an empty array."""
     docs = docs.drop("ids")
-    schema = docs.schema.add("ids", "array<int>")
+    schema = widened(docs, "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -159,7 +161,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Add ``decoded`` (string) to docs with an ids column; null ids give an empty text."""
     docs = docs.drop("decoded")
-    schema = docs.schema.add("decoded", "string")
+    schema = widened(docs, "decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

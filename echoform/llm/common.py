@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _OWN_DIRS: dict[str, str] = {}
 
@@ -30,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
+def widened(df: DataFrame, ddl: str) -> StructType:
+    """df's schema followed by the columns of a DDL string."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 class Scratch:
     """Writes intermediate tables to the shared folder and deletes those no longer read."""
 

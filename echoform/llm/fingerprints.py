@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echoform.llm.common import widened
+
 WINDOW, MAX_CHUNKS, MIN_BLOCK, SHARED_RUN = 7, 64, 1, 3
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _MULT = np.array([pow(0x9E3779B1, k, 1 << 32) for k in range(1, WINDOW + 1)], np.uint32)
@@ -107,7 +109,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``fingerprint`` to docs (an existing column of that name is replaced); null
     texts count as empty. One narrow pass."""
     docs = docs.drop("fingerprint")
-    schema = docs.schema.add("fingerprint", "string")
+    schema = widened(docs, "fingerprint string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
