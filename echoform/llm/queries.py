@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoform.llm import bpe, fingerprints, packing, sharding, toxicity, url_reputation
+from echoform.llm import bpe, cotraining, fingerprints, packing, sharding, toxicity, url_reputation, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,14 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_documents(*(table(spark, sf_dir, t) for t in ("documents", "pages", "labels")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), outcomes)
@@ -44,7 +52,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op6_url_reputation, op7_packing, op8_bpe, op9_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_cotraining, op5_warc, op6_url_reputation, op7_packing, op8_bpe, op9_sharding, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
