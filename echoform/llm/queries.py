@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echoform.llm import bpe, cotraining, fingerprints, packing, sharding, toxicity, url_reputation, warc
+from echoform.llm import bpe, cotraining, fingerprints, nn_descent, packing, parity_join, sharding, toxicity, url_reputation, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score_documents(*(table(spark, sf_dir, t) for t in ("documents", "pages", "labels")))
 
 
+def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -52,7 +60,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_cotraining, op5_warc, op6_url_reputation, op7_packing, op8_bpe, op9_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_nn_descent, op2_fingerprints, op3_cotraining, op4_parity_join, op5_warc, op6_url_reputation, op7_packing, op8_bpe, op9_sharding, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
