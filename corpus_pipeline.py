@@ -1,2 +1,71 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""Corpus pipeline: quality, toxicity, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read
+again as the next one's docs. All but the last return the columns of documents. Rows
+whose doc_id is null can be judged but not told apart, so only stages that decide row by
+row (toxicity) remove them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echoform.llm import cotraining, packing, parity_join, toxicity
+from echoform.llm.common import Scratch
+from echoform.llm.queries import WORD_BPE, table
+
+#: Id lists up to so many rows (8 bytes each) are broadcast; longer ones are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs but for those whose doc_id is in ids (one column)."""
+    ids = scratch.write(ids.where("doc_id is not null").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the co-trained classifier keeps; a repeated id stays if any of its rows is kept."""
+    judged = cotraining.score_documents(docs, table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    rejected = judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
+    return without(docs, rejected, Scratch(spark, "stage-quality"))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the toxicity operator does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by shingle similarity, the document with the smallest id; of
+    rows that repeat an id, one."""
+    scratch = Scratch(spark, "stage-copies")
+    groups = scratch.write(parity_join.jaccard_components(docs).select("doc_id", "kept"))
+    out = without(docs, groups.where("not kept").select("doc_id").join(groups.where("kept").select("doc_id"), "doc_id", "left_anti"), scratch)
+    known = groups.where("kept and doc_id is not null")
+    if known.count() != known.select("doc_id").distinct().count():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces, packed into sequences."""
+    return packing.pack_documents(docs, WORD_BPE)
+
+
+STAGES = [("quality classifier", quality), ("toxicity", toxic), ("n-gram Jaccard join", near_copies), ("packing", pack)]
+
+#: SQL cannot express the classifiers; tests hold the pipeline against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs, old = scratch.write(stage(spark, docs, sf_dir)), docs
+        scratch.drop(old)
+    return STAGES[-1][1](spark, docs, sf_dir)
