@@ -84,9 +84,10 @@ _BANDS = bands()
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity sketch of at least as many bits as tokens, a power of two from 64 on."""
-    bits = 64
-    while bits < len(s):
+    """Parity sketch of at least four times as many bits as tokens, a power of two from
+    256 on: so long that few flips cancel, and pairs well under the threshold show it."""
+    bits = 256
+    while bits < 4 * len(s):
         bits *= 2
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -317,11 +318,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of hot keys (key, cls, comp, weak, n, x), sorted by key: weak sets against
-    all members outside their component, by size and sketch, in blocks."""
+    all members outside their component, by size and sketch, in blocks. A pair leaves a
+    task once, as long as it is remembered (a bounded number are)."""
+    seen: set[tuple[int, int]] = set()
+
     def close(rows: list[tuple]) -> np.ndarray:
         cls, comp, weak, n = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
         size = min(len(r[4]) for r in rows)
-        x = np.concatenate([fold(np.frombuffer(r[4], np.uint8)[None, :], size) for r in rows])
+        x = np.concatenate([fold(np.frombuffer(r[4], np.uint8)[None, :], size) for r in rows]).view(np.uint64)
         out = [np.empty((0, 2), np.int64)]
         values, counts = np.unique(comp, return_counts=True)
         main = values[np.argmax(counts)]
@@ -331,7 +335,11 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             js = np.flatnonzero(ok)
             js = js[7 * np.bitwise_count(x[js] ^ x[i]).sum(axis=1) <= n[js] + n[i]]
             out.append(np.stack([np.full(len(js), cls[i]), cls[js]], axis=1))
-        return np.concatenate(out)
+        pairs = {(int(min(a, b)), int(max(a, b))) for a, b in np.concatenate(out)} - seen
+        if len(seen) > 500_000:
+            seen.clear()
+        seen.update(pairs)
+        return np.array(sorted(pairs), np.int64).reshape(-1, 2)
 
     held: list[tuple] = []
     last = None
@@ -347,7 +355,6 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_batch(p: np.ndarray) -> pa.RecordBatch:
-    p = np.unique(np.sort(p, axis=1), axis=0) if len(p) else p
     return pa.RecordBatch.from_arrays([pa.array(p[:, 0], pa.int64()), pa.array(p[:, 1], pa.int64())], names=["a", "b"])
 
 
