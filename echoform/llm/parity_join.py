@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from echoform.llm.common import Scratch, components
 
-WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS = 5, 16, 64, 2_000_000, 500_000
+WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS, TASK_MEMBERS = 5, 16, 64, 2_000_000, 500_000, 200_000
 #: Class tables up to so many rows (16 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -409,9 +409,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     if state.where("weak").limit(1).count():
         members = met.where(F.col("kind") == MEMBERS).select("part", "x", "y").mapInArrow(_unpack(["part", "key", "c"]), "key long, c long").distinct()
         tagged = members.join(state.select("c", "comp", "weak"), "c")
-        open_keys = tagged.groupBy("key").agg(F.max("weak").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("w and lo <> hi").select("key")
-        rows_open = members.join(open_keys, "key", "left_semi").join(state, "c").select("key", "cls", "comp", "weak", "n", "x")
-        more = verified(rows_open.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_cross, "a long, b long").distinct())
+        open_keys = scratch.write(tagged.groupBy("key").agg(F.max("weak").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("w and lo <> hi"))
+        # Keys of one component go together, in as many tasks as its rows fill, so that a pair meets few times.
+        tasks = open_keys.groupBy("lo").agg(F.ceil(F.sum("k") / TASK_MEMBERS).alias("tasks"))
+        placed = open_keys.join(tasks, "lo").select("key", F.xxhash64("lo", F.pmod(F.xxhash64("key"), F.col("tasks"))).alias("task"))
+        rows_open = members.join(placed, "key").join(state, "c").select("key", "cls", "comp", "weak", "n", "x", "task")
+        more = verified(rows_open.repartition(parts, "task").sortWithinPartitions("task", "key").drop("task").mapInArrow(_cross, "a long, b long").distinct())
         extra = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if extra.limit(1).count():
             comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(extra), scratch)
