@@ -117,7 +117,8 @@ def piecewise(windows: DataFrame, query: Query, k: int, metric: str, kind: str,
         raise ValueError("piecewise mode must be 'paa' or 'sax'")
     q = windows.sparkSession.range(1).select(form(F.lit([float(v) for v in query.data])).cast("array<double>")).first()[0]  # one short array
     x = F.col(compressed) if compressed else form(F.col("data")).cast("array<double>")
-    rough = windows.withColumn("_form", x).withColumn("dist", dtw_to(q, metric)("_form"))
+    # the generator keeps the planner from inlining a lambda into the UDF's argument, which it cannot run
+    rough = windows.withColumn("_form", F.explode(F.array(x))).withColumn("dist", dtw_to(q, metric)("_form"))
     chosen = rough.select("dist", "series_id", "start", "end", "len", "data").orderBy(*ORDER).limit(k)
     return ranked(chosen.withColumn("dist", dtw_to(list(query.data), metric)("data")), k)
 
