@@ -11,6 +11,7 @@ no shuffle, and at most one poorly filled sequence a partition.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-END_ID, CACHE_CHUNKS, BUFFER_TOKENS = 2, 400_000, 4_000_000
+END_ID, CACHE_CHUNKS, BUFFER_TOKENS = 2, 1_200_000, 4_000_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
@@ -36,33 +37,88 @@ class Limits:
     min_cut: int = 8
 
 
+#: A chunk of letters (or other non-ASCII) and then ASCII punctuation but for apostrophes.
+_SHAPE = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)\Z").match
+END = np.array([END_ID], "<u4").tobytes()
+
+
+class Tokenizer:
+    """Ids of chunks between white space, by the tokenizers library, each kind of chunk once.
+
+    Letters with trailing punctuation, the common case, are two words of the vocabulary's
+    pattern; the letters of many such chunks are encoded in one text and cut apart after
+    the ids that end a word. Wherever that gives another number of words than went in,
+    and for all other chunks, each is encoded by itself."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer as Library
+
+        self.tok = Library.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    def _each(self, chunks: list[bytes]) -> Iterator[bytes]:
+        for i in range(0, len(chunks), 20_000):
+            for e in self.tok.encode_batch([c.decode() for c in chunks[i : i + 20_000]], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+    def _together(self, words: list[bytes]) -> Iterator[bytes]:
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or (len(ids) and stops[-1] != len(ids)):
+                yield from self._each(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for stop in (stops * 4).tolist():
+                yield raw[at:stop]
+                at = stop
+
+    def learn(self, new: list[bytes]) -> None:
+        odd, shaped, cores, tails = [], [], set(), set()
+        for c in new:
+            m = _SHAPE(c)
+            if m and (c.isascii() or (w := m[1].decode()).isalpha() and w.lower().isalpha()):
+                core, tail = m[1].lower() if c.isascii() else m[1], m[2]
+                shaped.append((c, core, tail))
+                cores.add(core)
+                if tail:
+                    tails.add(tail)
+            else:
+                odd.append(c)
+        if len(self.words) > CACHE_CHUNKS:
+            self.words.clear()
+        known = self.words
+        fresh = sorted(cores.difference(known))
+        known.update(zip(fresh, self._together(fresh), strict=True))
+        fresh = sorted(tails.difference(known))
+        known.update(zip(fresh, self._each(fresh), strict=True))
+        known[b""] = b""
+        for c, core, tail in shaped:
+            self.chunks[c] = known[core] + known[tail]
+        self.chunks.update(zip(odd, self._each(odd), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids per text, END_ID last."""
+        split = [(t or "").encode().split() for t in texts]
+        every = set().union(*split)
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
+        self.learn(list(every.difference(self.chunks)))
+        get = self.chunks.__getitem__
+        return [b"".join([*map(get, s), END]) for s in split]
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t, {}
-
-
-def tokenize(texts: list[str | None], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids per text, END_ID last. The vocabulary drops white space
-    and no token spans it, so texts are cut at ASCII white space and each distinct
-    chunk is encoded by the tokenizers library once."""
-    tok, known = tokenizer(path)
-    split = [(t or "").encode().split() for t in texts]
-    new = list(set().union(*split).difference(known)) if split else []
-    if len(known) + len(new) > CACHE_CHUNKS:
-        known.clear()
-        new = list(set().union(*split))
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        for c, e in zip(part, tok.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-    end = np.array([END_ID], "<u4").tobytes()
-    return [b"".join([*map(known.__getitem__, s), end]) for s in split]
+def tokenizer(path: str) -> Tokenizer:
+    return Tokenizer(path)
 
 
 class Packer:
@@ -137,7 +193,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss:
     number in their upper bits. Extra columns are ignored, repeated rows packed each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(limits, TaskContext.get().partitionId() << 33)
+        packer, tok = Packer(limits, TaskContext.get().partitionId() << 33), tokenizer(path)
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*packer.rows, strict=True)) or [()] * len(_NAMES)
@@ -148,7 +204,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 bears = part.column(2).to_pylist() if loss else [True] * part.num_rows
-                for d, ids, x in zip(part.column(0).to_pylist(), tokenize(part.column(1).to_pylist(), path), bears, strict=True):
+                for d, ids, x in zip(part.column(0).to_pylist(), tok(part.column(1).to_pylist()), bears, strict=True):
                     packer.add(d, ids, bool(x))
                 if len(packer.rows) > 5000:
                     yield out()
