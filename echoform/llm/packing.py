@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-END_ID, CACHE_CHUNKS, BUFFER_TOKENS = 2, 1_200_000, 4_000_000
+END_ID, CACHE_CHUNKS, CACHE_WORDS, BUFFER_TOKENS = 2, 300_000, 900_000, 2_000_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
@@ -61,7 +61,7 @@ class Tokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
 
     def _each(self, chunks: list[bytes]) -> Iterator[bytes]:
         for i in range(0, len(chunks), 20_000):
@@ -93,14 +93,13 @@ class Tokenizer:
                     tails.add(tail)
             else:
                 odd.append(c)
-        if len(self.words) > CACHE_CHUNKS:
-            self.words.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words = {b"": b""}
         known = self.words
         fresh = sorted(cores.difference(known))
         known.update(zip(fresh, self._together(fresh), strict=True))
         fresh = sorted(tails.difference(known))
         known.update(zip(fresh, self._each(fresh), strict=True))
-        known[b""] = b""
         for c, core, tail in shaped:
             self.chunks[c] = known[core] + known[tail]
         self.chunks.update(zip(odd, self._each(odd), strict=True))
@@ -110,7 +109,7 @@ class Tokenizer:
         split = [(t or "").encode().split() for t in texts]
         every = set().union(*split)
         if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
+            self.chunks = {}
         self.learn(list(every.difference(self.chunks)))
         get = self.chunks.__getitem__
         return [b"".join([*map(get, s), END]) for s in split]

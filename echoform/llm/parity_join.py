@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from echoform.llm.common import Scratch, components
 
-WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS, TASK_MEMBERS = 5, 16, 64, 2_000_000, 500_000, 200_000
+WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS, TASK_MEMBERS = 5, 16, 64, 800_000, 200_000, 200_000
 #: Class tables up to so many rows (16 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -211,6 +211,7 @@ def _spread(parts: int):
                         rows += out.flush()
                 yield _rows(rows)
         yield _rows(list(out.flush()))
+        _HASHES.clear()  # workers live on for other operators
 
     return run
 
@@ -300,6 +301,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in s]
             packed = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in s]
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([len(x) for x in s], pa.int32()), pa.array(packed, pa.binary())], names=["cls", "n", "s"])
+    _HASHES.clear()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from echoform.llm.common import Scratch, widened
 #: Bound of the labelled rows a model is fitted on, taken in the order of a hash of doc_id.
 MAX_TRAIN = 8000
 MIN_SHARE, MIN_PRECISION, CHANCE, STEMS, THRESHOLD = 0.015, 0.65, 0.5, (4, 5, 6, 7), 0.3
-FUZZY, QUOTED, CONTEXT, CACHE_WORDS = 0.8, 0.3, 6, 500_000
+FUZZY, QUOTED, CONTEXT, CACHE_WORDS = 0.8, 0.3, 6, 200_000
 REPORTING = {"said", "says", "called", "word", "term", "quote", "quoted", "wrote", "dijo", "dice", "palabra", "sagte", "sagt", "wort", "dit", "mot", "appelé"}
 _OPEN = "\"“”„«»‘’'"
 _SPACES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(c for c in range(128) if not chr(c).isalnum()), b"abcdefghijklmnopqrstuvwxyz" + b" " * sum(not chr(c).isalnum() for c in range(128)))
