@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from echoform.llm.common import widened
+from echoform.llm.common import bound_batches, widened
 
 SHORT, CACHE_WORDS = 96, 400_000
 #: The white space of the vocabulary's pattern, and that pattern.
@@ -188,4 +188,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 d.append(sha(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,6 +6,8 @@ lineage, survive the loss of executors, and are visible to every machine.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,10 +38,26 @@ def widened(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of fewer rows than Spark's default of 10,000, which of long texts
+    would fill an executor; a size the user chose stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def release() -> None:
+    """Give free memory back to the system: Python workers live on for other operators."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Writes intermediate tables to the shared folder and deletes those no longer read."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        bound_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 

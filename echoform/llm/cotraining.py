@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoform.llm.common import Scratch
+from echoform.llm.common import Scratch, release
 from echoform.llm.toxicity import logistic
 
 #: Bounds of the labelled and of the unlabelled rows used for fitting, first by a hash of doc_id.
@@ -188,6 +188,7 @@ def score_documents(docs: DataFrame, pages: DataFrame, labels: DataFrame, keep:
         for b in batches:
             z = [float(model.text[0] + text_features(t) @ model.text[1:]) if model else 0.0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.float64()), b.column(2)], names=["doc_id", "_z", "_own"])
+        release()
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoform.llm.common import widened
+from echoform.llm.common import bound_batches, widened
 
 WINDOW, MAX_CHUNKS, MIN_BLOCK, SHARED_RUN = 7, 64, 1, 3
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -166,6 +166,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     kept only the ranges' borders and first ids, one in ROWS_PER_RANGE rows and at
     most MAX_RANGES. Empty tables give no rows."""
     spark = docs.sparkSession
+    bound_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = slim.count()
     ranges = max(1, min(MAX_RANGES, n // ROWS_PER_RANGE))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from echoform.llm.common import bound_batches
+
 END_ID, CACHE_CHUNKS, CACHE_WORDS, BUFFER_TOKENS = 2, 300_000, 900_000, 2_000_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
@@ -210,4 +212,5 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss:
         packer.flush(True)
         yield out()
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text", *([loss] if loss else [])).mapInArrow(run, _OUT)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoform.llm.common import Scratch, components
+from echoform.llm.common import Scratch, components, release
 
 WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS, TASK_MEMBERS = 5, 16, 64, 800_000, 200_000, 200_000
 #: Class tables up to so many rows (16 bytes each) are broadcast; larger ones are shuffled.
@@ -211,7 +211,9 @@ def _spread(parts: int):
                         rows += out.flush()
                 yield _rows(rows)
         yield _rows(list(out.flush()))
-        _HASHES.clear()  # workers live on for other operators
+        _HASHES.clear()
+        out.seen.clear()
+        release()
 
     return run
 
@@ -234,6 +236,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((n, x, y, z))
     if held:
         yield _rows(list(_match(int(last), held)))
+    held = []
+    release()
 
 
 def _match(part: int, held: list[tuple]) -> Iterator[tuple]:
@@ -302,6 +306,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in s]
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([len(x) for x in s], pa.int32()), pa.array(packed, pa.binary())], names=["cls", "n", "s"])
     _HASHES.clear()
+    release()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoform.llm.common import Scratch, widened
+from echoform.llm.common import Scratch, release, widened
 
 #: Bound of the labelled rows a model is fitted on, taken in the order of a hash of doc_id.
 MAX_TRAIN = 8000
@@ -277,6 +277,9 @@ def score_documents(docs: DataFrame, model: Model | None, threshold: float = THR
         for b in batches:
             s = model.score(b.column("text").to_pylist()) if model else np.zeros(b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+        if model:
+            model.lexicon.cache.clear()
+        release()
 
     return docs.mapInArrow(run, schema)
 
