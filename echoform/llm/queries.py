@@ -63,5 +63,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_nn_descent, op2_fingerprints, op3_cotraining, op4_parity_join, op5_warc, op6_url_reputation, op7_packing, op8_bpe, op9_sharding, op10_toxicity)}
 
 
+#: Reachability over links (u, v) both ways, and the smallest id reached.
+_REACH = """reach as (select id, id c from ids union select l.v, r.c from reach r join both_ways l on l.u = r.id),
+comp as (select id, min(c) component_id from reach group by id)"""
+
+NEAR_VECTORS = f"""with recursive x as (select vec_id, label, embedding::double[] e from embeddings),
+ok as (select vec_id, label, e, sqrt(list_dot_product(e, e)) n from x where label is not null and e is not null and len(list_filter(e, lambda v: v is null or not isfinite(v))) = 0 and list_dot_product(e, e) > 0),
+links as (select a.vec_id u, b.vec_id v from ok a join ok b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (a.n * b.n) >= {nn_descent.THRESHOLD}),
+both_ways as (select u, v from links union all select v, u from links), ids as (select vec_id id from embeddings), {_REACH},
+deg as (select u id, count(*) n from both_ways group by u)
+select comp.id vec_id, coalesce(deg.n, 0)::bigint n_links, component_id, component_id = comp.id kept, 1.0::double audited_recall from comp left join deg using (id)"""
+
+NEAR_TEXTS = f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda z: z <> '') w from documents),
+s as (select doc_id, unnest(case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+c as (select a.doc_id u, b.doc_id v, count(*) i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select u, v from c join n a on a.doc_id = u join n b on b.doc_id = v where 100 * i >= 75 * (a.n + b.n - i)),
+both_ways as (select u, v from links union all select v, u from links), ids as (select doc_id id from documents), {_REACH}
+select id doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id, component_id = id kept from comp left join n on n.doc_id = id"""
+
+ARCHIVES = """with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) k from pages),
+f as (select *, min(page_id) over (partition by k) first from p)
+select page_id, strlen(h)::bigint payload_bytes,
+  array_to_string(list_transform(range(0, 4), lambda i: translate(to_base(('0x' || substr(k, (i * 10 + 1)::bigint, 10))::bigint, 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') payload_digest,
+  case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to
+from f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_reputation": url_reputation.oracle()}
+    return {"op1_nn_descent": NEAR_VECTORS, "op4_parity_join": NEAR_TEXTS, "op5_warc": ARCHIVES, "op6_url_reputation": url_reputation.oracle()}

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -347,3 +348,15 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     want = {i for i, c in comp.items() if i == c}
     got = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == want and public_tokenizers.path("word_bpe_49k.json") == WORD
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels", "embeddings"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, DATA).toPandas(), con.sql(queries.oracle_sql()[name]).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    tidy = lambda d: sorted((r for r in d[cols].astype(object).where(d[cols].notna(), None).values.tolist()), key=str)
+    assert tidy(got) == tidy(want)
