@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from echoform.llm.common import Scratch, components, release
 
 WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS, TASK_MEMBERS = 5, 16, 64, 800_000, 200_000, 200_000
+#: Bands from so many tokens down have a piece per token: few tokens could share pieces by chance.
+SINGLE = 32
 #: Class tables up to so many rows (16 bytes each) are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -117,7 +119,7 @@ def piece_keys(s: np.ndarray) -> tuple[np.ndarray, int]:
     for j in (band, band - 1):
         if j < 0:
             continue
-        m = int(-(-6 * _BANDS[j] // 10)) + 8
+        m = int(-(-6 * _BANDS[j] // 10)) + 8 if _BANDS[j] > SINGLE else 1 << 31
         p = ((s >> np.uint64(24)) % np.uint64(m)).astype(np.uint32)
         order = np.argsort(p, kind="stable")
         p = p[order]

@@ -226,6 +226,15 @@ def test_jaccard_components_against_brute_force(spark):
     assert {i: r.component_id for i, r in got.items()} == comp and all(got[i].n_shingles == len(s) for i, s in sets.items())
 
 
+def test_small_sets_at_the_threshold_all_link(spark):
+    rows = []
+    for i in range(600):
+        words = [f"w{i}x{j}" for j in range(8)]
+        rows += [(2 * i, " ".join(words[:7])), (2 * i + 1, " ".join(words))]  # 3 shared of 4
+    got = {r.doc_id: r.component_id for r in parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(1200)}
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(60):
