@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from echoform.llm.common import bound_batches
+from echoform.llm.common import bound_batches, release
 
 END_ID, CACHE_CHUNKS, CACHE_WORDS, BUFFER_TOKENS = 2, 300_000, 900_000, 2_000_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -52,7 +52,7 @@ class Tokenizer:
     the ids that end a word. Wherever that gives another number of words than went in,
     and for all other chunks, each is encoded by itself."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
@@ -62,6 +62,10 @@ class Tokenizer:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.most_words, self.most_chunks = most_words, most_words * CACHE_CHUNKS // CACHE_WORDS
+        self.forget()
+
+    def forget(self) -> None:
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {b"": b""}
 
@@ -95,7 +99,7 @@ class Tokenizer:
                     tails.add(tail)
             else:
                 odd.append(c)
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.most_words:
             self.words = {b"": b""}
         known = self.words
         fresh = sorted(cores.difference(known))
@@ -110,7 +114,7 @@ class Tokenizer:
         """Little-endian 32-bit ids per text, END_ID last."""
         split = [(t or "").encode().split() for t in texts]
         every = set().union(*split)
-        if len(self.chunks) > CACHE_CHUNKS:
+        if len(self.chunks) > self.most_chunks:
             self.chunks = {}
         self.learn(list(every.difference(self.chunks)))
         get = self.chunks.__getitem__
@@ -118,8 +122,8 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def tokenizer(path: str, most_words: int = CACHE_WORDS) -> Tokenizer:
+    return Tokenizer(path, most_words)
 
 
 class Packer:
@@ -185,16 +189,17 @@ class Packer:
         self.items, self.waiting = [], 0
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:  # noqa: B008
+def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss: str | None = None, most_words: int = CACHE_WORDS, lasting: bool = True) -> DataFrame:  # noqa: B008
     """Pack rows (doc_id, text) into sequences; one row per piece: see ``_OUT``.
 
     ``loss`` may name a boolean column that tells which rows' tokens bear loss (null:
     no); without it all do. Null and empty texts are the single END_ID. Each id lies in
-    exactly one piece; long texts are cut at the limit. Sequence ids carry the partition
+    exactly one piece; long texts are cut at the limit. A worker remembers the ids of up
+    to ``most_words`` words, for its next tasks too unless ``lasting`` is false. Sequence ids carry the partition
     number in their upper bits. Extra columns are ignored, repeated rows packed each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, tok = Packer(limits, TaskContext.get().partitionId() << 33), tokenizer(path)
+        packer, tok = Packer(limits, TaskContext.get().partitionId() << 33), tokenizer(path, most_words)
 
         def out() -> pa.RecordBatch:
             cols = list(zip(*packer.rows, strict=True)) or [()] * len(_NAMES)
@@ -211,6 +216,9 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss:
                     yield out()
         packer.flush(True)
         yield out()
+        if not lasting:
+            tok.forget()
+            release()
 
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text", *([loss] if loss else [])).mapInArrow(run, _OUT)
