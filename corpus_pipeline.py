@@ -17,6 +17,8 @@ from echoform.llm.queries import WORD_BPE, table
 
 #: Id lists up to so many rows (8 bytes each) are broadcast; longer ones are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Words whose ids a packing worker remembers during a task: workers share their machine with what earlier stages left.
+PACK_WORDS = 300_000
 
 
 def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
@@ -52,7 +54,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
-    return packing.pack_documents(docs, WORD_BPE)
+    return packing.pack_documents(docs, WORD_BPE, most_words=PACK_WORDS, lasting=False)
 
 
 STAGES = [("quality classifier", quality), ("toxicity", toxic), ("n-gram Jaccard join", near_copies), ("packing", pack)]
