@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from echoform.llm.common import bound_batches, release
 
-END_ID, CACHE_CHUNKS, CACHE_WORDS, BUFFER_TOKENS = 2, 300_000, 900_000, 2_000_000
+END_ID, CACHE_CHUNKS, CACHE_WORDS, BUFFER_TOKENS = 2, 900_000, 900_000, 2_000_000
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
