@@ -11,20 +11,21 @@ no shuffle, and at most one poorly filled sequence a partition.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from echoform.llm.common import bound_batches, release
 
-END_ID, CACHE_CHUNKS, CACHE_WORDS, BUFFER_TOKENS = 2, 900_000, 900_000, 2_000_000
+#: Texts are encoded in blocks of about BLOCK bytes; at least one text each.
+END_ID, CACHE_WORDS, BUFFER_TOKENS, BLOCK = 2, 900_000, 2_000_000, 16 << 20
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
@@ -39,18 +40,29 @@ class Limits:
     min_cut: int = 8
 
 
-#: A chunk of letters (or other non-ASCII) and then ASCII punctuation but for apostrophes.
-_SHAPE = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)\Z").match
+#: ASCII punctuation but for apostrophes, which open words of the vocabulary's pattern.
+TRAILING = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
 END = np.array([END_ID], "<u4").tobytes()
 
 
+def ragged(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices pool[start : start + length], one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(pool)) < 2**31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
+
+
 class Tokenizer:
-    """Ids of chunks between white space, by the tokenizers library, each kind of chunk once.
+    """Ids of blocks of texts, by the tokenizers library, each kind of word once.
 
-    Letters with trailing punctuation, the common case, are two words of the vocabulary's
-    pattern; the letters of many such chunks are encoded in one text and cut apart after
-    the ids that end a word. Wherever that gives another number of words than went in,
-    and for all other chunks, each is encoded by itself."""
+    Texts are cut at white space, and the chunks numbered, by Arrow. Letters with trailing
+    punctuation, the common case, are two words of the vocabulary's pattern: many such
+    letters are encoded in one text and cut apart after the ids that end a word. Wherever
+    that gives another number of words than went in, and for all other chunks, each is
+    encoded by itself. Words are remembered, by number, from block to block."""
 
     def __init__(self, path: str, most_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,63 +74,75 @@ class Tokenizer:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.most_words, self.most_chunks = most_words, most_words * CACHE_CHUNKS // CACHE_WORDS
+        self.most_words = most_words
         self.forget()
 
     def forget(self) -> None:
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {b"": b""}
+        """Words are numbered from 0, the empty one; their ids lie in the pool, one after another."""
+        self.words: dict[str, int] = {"": 0}
+        self.pool, self.lengths = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
-    def _each(self, chunks: list[bytes]) -> Iterator[bytes]:
-        for i in range(0, len(chunks), 20_000):
-            for e in self.tok.encode_batch([c.decode() for c in chunks[i : i + 20_000]], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+    def _each(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(words), 20_000):
+            ids = [e.ids for e in self.tok.encode_batch(words[i : i + 20_000], add_special_tokens=False)]
+            yield np.array([x for e in ids for x in e], "<u4"), np.array([len(e) for e in ids], np.int64)
 
-    def _together(self, words: list[bytes]) -> Iterator[bytes]:
+    def _together(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(words), 1000):
             part = words[i : i + 1000]
-            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or (len(ids) and stops[-1] != len(ids)):
                 yield from self._each(part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for stop in (stops * 4).tolist():
-                yield raw[at:stop]
-                at = stop
-
-    def learn(self, new: list[bytes]) -> None:
-        odd, shaped, cores, tails = [], [], set(), set()
-        for c in new:
-            m = _SHAPE(c)
-            if m and (c.isascii() or (w := m[1].decode()).isalpha() and w.lower().isalpha()):
-                core, tail = m[1].lower() if c.isascii() else m[1], m[2]
-                shaped.append((c, core, tail))
-                cores.add(core)
-                if tail:
-                    tails.add(tail)
             else:
-                odd.append(c)
-        if len(self.words) > self.most_words:
-            self.words = {b"": b""}
+                yield ids, np.diff(stops, prepend=0)
+
+    def numbers(self, words: list[str], encode: Callable[[list[str]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+        """The words' numbers; new ones are encoded first."""
         known = self.words
-        fresh = sorted(cores.difference(known))
-        known.update(zip(fresh, self._together(fresh), strict=True))
-        fresh = sorted(tails.difference(known))
-        known.update(zip(fresh, self._each(fresh), strict=True))
-        for c, core, tail in shaped:
-            self.chunks[c] = known[core] + known[tail]
-        self.chunks.update(zip(odd, self._each(odd), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids per text, END_ID last."""
-        split = [(t or "").encode().split() for t in texts]
-        every = set().union(*split)
-        if len(self.chunks) > self.most_chunks:
-            self.chunks = {}
-        self.learn(list(every.difference(self.chunks)))
-        get = self.chunks.__getitem__
-        return [b"".join([*map(get, s), END]) for s in split]
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            parts = list(encode(fresh))
+            self.pool = np.concatenate([self.pool, *[p for p, _ in parts]])
+            self.lengths = np.concatenate([self.lengths, *[n for _, n in parts]])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def kinds(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per chunk, the numbers of its letters and its trailing punctuation, or of the whole and 0."""
+        cores = pc.ascii_rtrim(chunks, characters=TRAILING)
+        #: The only letter that is no longer one letter in lower case is U+0130.
+        plain = pc.and_not(pc.utf8_is_alpha(cores), pc.match_substring(cores, "\u0130"))
+        shaped = plain.to_numpy(zero_copy_only=False)
+        first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        if shaped.any():
+            letters = pc.ascii_lower(cores.filter(plain)).dictionary_encode()
+            first[shaped] = self.numbers(letters.dictionary.to_pylist(), self._together)[letters.indices.to_numpy()]
+        if not shaped.all():
+            first[~shaped] = self.numbers(chunks.filter(pc.invert(plain)).to_pylist(), self._each)
+        extra = np.where(shaped, pc.binary_length(chunks).to_numpy() - pc.binary_length(cores).to_numpy(), 0)
+        for n in np.unique(extra[extra > 0]).tolist():  # ASCII: bytes are characters
+            at = np.flatnonzero(extra == n)
+            tails = pc.utf8_slice_codeunits(chunks.take(pa.array(at)), start=-n).dictionary_encode()
+            second[at] = self.numbers(tails.dictionary.to_pylist(), self._each)[tails.indices.to_numpy()]
+        return first, second
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a block of texts one after another, each with END_ID last; ids per text."""
+        if len(self.words) > self.most_words:
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        every = split.flatten().dictionary_encode()
+        first, second = self.kinds(every.dictionary)
+        starts, n = np.cumsum(self.lengths) - self.lengths, self.lengths
+        both = np.stack([first, second], 1).ravel()
+        pool, size = np.append(ragged(self.pool, starts[both], n[both]), np.uint32(END_ID)), np.append(n[first] + n[second], 1)
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        at = np.insert(every.indices.to_numpy(), bounds[1:], len(every.dictionary))
+        size_at = size[at]
+        ids = ragged(pool, (np.cumsum(size) - size)[at], size_at)
+        ends = np.cumsum(size_at)[bounds[1:] + np.arange(len(texts))] if len(texts) else np.empty(0, np.int64)
+        return ids.astype("<u4", copy=False), np.diff(ends, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -189,6 +213,19 @@ class Packer:
         self.items, self.waiting = [], 0
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they hold BLOCK bytes."""
+    have, size = [], 0
+    for b in batches:
+        have.append(b)
+        size += b.nbytes
+        if size >= BLOCK:
+            yield pa.concat_batches(have)
+            have, size = [], 0
+    if have:
+        yield pa.concat_batches(have)
+
+
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss: str | None = None, most_words: int = CACHE_WORDS, lasting: bool = True) -> DataFrame:  # noqa: B008
     """Pack rows (doc_id, text) into sequences; one row per piece: see ``_OUT``.
 
@@ -206,14 +243,15 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss:
             packer.rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_NAMES)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                bears = part.column(2).to_pylist() if loss else [True] * part.num_rows
-                for d, ids, x in zip(part.column(0).to_pylist(), tok(part.column(1).to_pylist()), bears, strict=True):
-                    packer.add(d, ids, bool(x))
-                if len(packer.rows) > 5000:
-                    yield out()
+        for b in blocks(batches):
+            ids, lengths = tok(b.column(1))
+            bears = b.column(2).to_pylist() if loss else [True] * b.num_rows
+            at = 0
+            for d, n, x in zip(b.column(0).to_pylist(), lengths.tolist(), bears, strict=True):
+                packer.add(d, ids[at : at + n].tobytes(), bool(x))
+                at += n
+            if len(packer.rows) > 5000:
+                yield out()
         packer.flush(True)
         yield out()
         if not lasting:

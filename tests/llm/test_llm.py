@@ -7,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -292,9 +293,14 @@ def test_bpe_equals_the_library(odd_texts):
 
 
 def test_packing_tokens_equal_the_library(odd_texts):
-    lib, own = Tokenizer.from_file(WORD), packing.tokenizer(WORD)
-    for t, ids in zip(odd_texts, own(odd_texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == [*lib.encode(t, add_special_tokens=False).ids, 2]
+    lib, own, dice = Tokenizer.from_file(WORD), packing.Tokenizer(WORD, 500), random.Random(1)
+    signs = [*"abzAZ'.,!?-_`~<>|09 \t\n\x0b\x1c\x85\xa0\u0301\u0130\u0131\u00df\u1e9e\u017f\u212a\ud55c\u1112\u1161\u4e2d\u03a3\u03c2\u3000\u02b0", "don't", "<|endoftext|>"]
+    mixed = ["".join(dice.choices(signs, k=dice.randint(0, 14))) for _ in range(5000)]
+    for texts in (odd_texts, mixed, [], odd_texts):  # words are forgotten in between
+        ids, lengths = own(pa.array(texts, pa.string()))
+        for t, part in zip(texts, np.split(ids, np.cumsum(lengths)), strict=False):
+            assert part.tolist() == [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert len(lengths) == len(texts) and lengths.sum() == len(ids)
 
 
 def test_packing_covers_every_id_within_limits(spark):
