@@ -15,8 +15,9 @@ def normalise(total: np.ndarray, n: int, m: int, metric: str) -> np.ndarray:
 
 
 def dtw_many(cands: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Warping costs of equally long candidates (rows) to a query, cost |a - b|. The table
-    runs over (candidate samples, query samples), all candidates side by side."""
+    """Warping costs of equally long candidates (rows) to a query, cost |a - b|; or each to
+    its own, if the query has a column per candidate. The table runs over (candidate
+    samples, query samples), all candidates side by side."""
     b, n = cands.shape
     row = np.full((n + 1, b), np.inf)
     row[0] = 0.0
@@ -85,19 +86,17 @@ def dtw_to(query: list[float], metric: str, mode: str = "exact"):
 
 
 def dtw_between(x: Column, y: Column, metric: str) -> Column:
-    """Vectorised distance Column of two data Columns; rows with equal query and length go together."""
+    """Vectorised distance Column of two data Columns; rows of equal lengths go together."""
     check_metric(metric)
 
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         out = np.full(len(a), np.nan)
-        queries: dict[bytes, list[int]] = {}
-        for i, v in enumerate(b):
-            queries.setdefault(np.asarray(v, float).tobytes(), []).append(i)
-        for raw, where in queries.items():
-            q, where = np.frombuffer(raw), np.array(where)
-            for n, at in _by_length(a.iloc[where]):
-                out[where[at]] = normalise(dtw_many(np.stack(a.iloc[where[at]].to_list()).astype(float), q), n, len(q), metric)
+        for n, rows in _by_length(a):
+            for m, at in _by_length(b.iloc[rows]):
+                where = rows[at]
+                own = np.stack(b.iloc[where].to_list()).astype(float)
+                out[where] = normalise(dtw_many(np.stack(a.iloc[where].to_list()).astype(float), own.T), n, m, metric)
         return pd.Series(out)
 
     return run(x, y)

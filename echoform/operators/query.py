@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from echoform.functions import kernels as K
-from echoform.functions.batches import dtw_between, dtw_to
+from echoform.functions.batches import dtw_many, dtw_to, normalise
+from echoform.functions.kernels import check_metric
 from echoform.operators.cluster import REP
 
 ORDER = ["dist", "series_id", "start", "end"]
+POINTER = ["series_id", "start", "end", "len"]
+#: Queries of a batch that are held at once.
+QUERY_BLOCK = 2000
 MATCH = ["rank", "dist", "series_id", "start", "end", "len"]
 _MATCH = "rank int, dist double, series_id string, start int, end int, len int"
 LB_MODES = (False, None, "bsf", "heuristic")
@@ -124,12 +134,59 @@ def piecewise(windows: DataFrame, query: Query, k: int, metric: str, kind: str,
 
 
 def batch(windows: DataFrame, queries: DataFrame, k: int, metric: str, exclude_same_id: bool = False) -> DataFrame:
-    """k best of every query (query_id, qdata, qseries): the query table, broadcast, meets
-    every window; ranks are cut to k a task before the shuffle on query_id."""
-    pairs = windows.join(F.broadcast(queries), F.col("series_id") != F.col("qseries") if exclude_same_id else F.lit(True))
-    scored = pairs.withColumn("dist", dtw_between(F.col("data"), F.col("qdata"), metric)).drop("data", "qdata")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*ORDER))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", *MATCH)
+    """k best of every query (query_id, qdata, qseries) among all windows.
+
+    Queries are dealt by hash into blocks of about QUERY_BLOCK, each scanned against the
+    windows in turn; a task keeps k rows a query, and only those are shuffled on query_id.
+    Repeated query ids must carry equal data."""
+    check_metric(metric)
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    schema = StructType([queries.schema["query_id"], StructField("dist", DoubleType()), *(windows.schema[c] for c in POINTER)])
+    place, found = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)), []
+    for i in range(n_blocks):
+        block = queries.where(place == i).select("query_id", "qdata", "qseries").distinct().collect()  # about QUERY_BLOCK
+        scan = windows.select(*POINTER, "data").mapInPandas(_best_of_block(block, k, metric, exclude_same_id), schema)
+        best = scan.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*ORDER))).where(F.col("rank") <= k)
+        if n_blocks > 1:  # lets go of the block before the next is read
+            shared_checkpoints(windows.sparkSession)
+            best = best.checkpoint()
+        found.append(best)
+    return reduce(DataFrame.unionByName, found).select("query_id", *MATCH)
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go where the cluster says; to a folder of our own only where it says nothing."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="echoform-"))
+
+
+def _best_of_block(block: list, k: int, metric: str, exclude_same_id: bool):
+    """A scan of window batches that ends with each query's k best of the task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame | None] = [None] * len(block)
+        for b in batches:
+            if b.empty:
+                continue
+            sizes = b["data"].map(len).to_numpy()
+            groups = [(b.iloc[at].drop(columns="data"), np.stack(b["data"].iloc[at].to_list()).astype(float)) for at in (np.flatnonzero(sizes == n) for n in np.unique(sizes))]
+            for i, q in enumerate(block):
+                query = np.asarray(q.qdata, float)
+                for rows, data in groups:
+                    dist = normalise(dtw_many(data, query), data.shape[1], len(query), metric)
+                    open_to = (rows["series_id"] != q.qseries).to_numpy() if exclude_same_id else np.ones(len(rows), bool)
+                    if best[i] is not None and len(best[i]) == k:
+                        open_to &= dist <= best[i]["dist"].iloc[-1]
+                    if open_to.sum() > k:
+                        open_to &= dist <= np.partition(dist[open_to], k - 1)[k - 1]
+                    if open_to.any():
+                        found = rows[open_to].assign(dist=dist[open_to])
+                        best[i] = (found if best[i] is None else pd.concat([best[i], found])).sort_values(ORDER, kind="stable").head(k)
+        for q, rows in zip(block, best, strict=True):
+            if rows is not None:
+                yield rows.assign(query_id=q.query_id)[["query_id", "dist", *POINTER]]
+
+    return run
 
 
 def select_candidates(clusters: DataFrame, reps: DataFrame, query_len: int, k: int, ke: int, radius: int) -> DataFrame:

@@ -13,7 +13,7 @@ from echoform.operators import cluster, evaluate, events, query, subseq
 from echoform.plans.engine import Engine
 from echoform.sources import series as sources
 
-LO, HI, K_BEST, QUERY_LEN, PAIRS = 16, 18, 15, 17, 400
+LO, HI, K_BEST, QUERY_LEN = 16, 18, 15, 17
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -59,9 +59,9 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-def pairs(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """Each vector beside the next by vec_id, first n samples of both."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, n).alias("x"))
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector beside the next by vec_id."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
 
 
@@ -166,41 +166,37 @@ def closest_len(spark, sf_dir):
 
 
 # -- distances and bounds ----------------------------------------------------------
-_PAIR = "p as (select a.vec_id, a.embedding[1:{n}]::double[] x, b.embedding[1:{n}]::double[] y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
+_PAIR = "p as (select a.vec_id, a.embedding::double[] x, b.embedding::double[] y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
 
 
-def _pair(n: int) -> str:
-    return _PAIR.format(n=n)
-
-
-@register(f"""with {_pair(64)} select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) / 64), 6) eu,
+@register(f"""with {_PAIR} select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) / 64), 6) eu,
 round(list_sum(list_transform(range(1, 65), lambda i: abs(x[i] - y[i]))) / 64, 6) ma, round(list_max(list_transform(range(1, 65), lambda i: abs(x[i] - y[i]))), 6) ch from p""")
 def build_distances(spark, sf_dir):
-    p = pairs(spark, sf_dir, 64)
+    p = pairs(spark, sf_dir)
     return p.select("vec_id", *[F.round(K.distance(F.col("x"), F.col("y"), m), 6).alias(m) for m in ("eu", "ma", "ch")])
 
 
-@register(f"with {_pair(64)} select vec_id, round(sqrt((x[1] - y[1]) * (x[1] - y[1]) + (x[64] - y[64]) * (x[64] - y[64])) / 2, 6) lb from p")
+@register(f"with {_PAIR} select vec_id, round(sqrt((x[1] - y[1]) * (x[1] - y[1]) + (x[64] - y[64]) * (x[64] - y[64])) / 2, 6) lb from p")
 def lb_kim(spark, sf_dir):
-    return pairs(spark, sf_dir, 64).select("vec_id", F.round(K.lb_kim(F.col("x"), F.col("y")), 6).alias("lb"))
+    return pairs(spark, sf_dir).select("vec_id", F.round(K.lb_kim(F.col("x"), F.col("y")), 6).alias("lb"))
 
 
-@register(f"""with {_pair(64)} select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(greatest(
+@register(f"""with {_PAIR} select vec_id, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: power(greatest(
 x[i] - list_max(y[greatest(i - 1, 1) : least(i + 1, 64)]), list_min(y[greatest(i - 1, 1) : least(i + 1, 64)]) - x[i], 0), 2)))) / 64, 6) lb from p""")
 def lb_keogh(spark, sf_dir):
-    return pairs(spark, sf_dir, 64).select("vec_id", F.round(K.lb_keogh(F.col("x"), F.col("y")), 6).alias("lb"))
+    return pairs(spark, sf_dir).select("vec_id", F.round(K.lb_keogh(F.col("x"), F.col("y")), 6).alias("lb"))
 
 
-@register(f"with {_pair(24)} select vec_id, round({_dtw('x', 'y', 'eu')}, 6) eu, round({_dtw('x', 'y', 'ma')}, 6) ma, round({_dtw('x', 'y', 'ch')}, 6) ch from p")
+@register(f"with {_PAIR} select vec_id, round({_dtw('x', 'y', 'eu')}, 6) eu, round({_dtw('x', 'y', 'ma')}, 6) ma, round({_dtw('x', 'y', 'ch')}, 6) ch from p")
 def dtw_metrics(spark, sf_dir):
-    p = pairs(spark, sf_dir, 24)
+    p = pairs(spark, sf_dir)
     return p.select("vec_id", *[F.round(dtw_between(F.col("x"), F.col("y"), m), 6).alias(m) for m in ("eu", "ma", "ch")])
 
 
-@register(f"with {_pair(12)} select vec_id, round({_dtw('x', 'y', 'ma')}, 6) ma from p")
+@register(f"with {_PAIR} select vec_id, round({_dtw('x', 'y', 'ma')}, 6) ma from p")
 def dtw_native(spark, sf_dir):
     """Warping as nested aggregates, without Python."""
-    return pairs(spark, sf_dir, 12).select("vec_id", F.round(K.dtw(F.col("x"), F.col("y"), "ma"), 6).alias("ma"))
+    return pairs(spark, sf_dir).select("vec_id", F.round(K.dtw(F.col("x"), F.col("y"), "ma"), 6).alias("ma"))
 
 
 @register(f"with {_EV}, w as (select user_id::varchar series_id, n - 20 a from ser where n > 40) select series_id, round((least(a + 19, 29) - greatest(a, 10) + 1)::double / (greatest(a + 19, 29) - least(a, 10) + 1), 6) overlap from w")
@@ -245,7 +241,7 @@ for _name, _sql, _options in (
 
 
 @register(f"""with recursive {_EV}, {_Q}, {_windows(17, 17)},
-sc as (select series_id, "start", "end", len, {_dtw("qd", "data", "eu")} dist from win, q where series_id in (select user_id::varchar from ser where n >= 17 order by user_id limit 20)),
+sc as (select series_id, "start", "end", len, {_dtw("qd", "data", "eu")} dist from win, q),
 ord as (select *, row_number() over (order by dist, series_id, "start", "end") i from sc),
 pick as (select 0::bigint i, []::struct(sid varchar, s int, e int, d double, l int)[] got
   union all select o.i, case when len(list_filter(got, lambda g: g.sid = o.series_id and ((g.s = o."start" and g.e = o."end") or
@@ -255,10 +251,7 @@ pick as (select 0::bigint i, []::struct(sid varchar, s int, e int, d double, l i
 fin as (select got from pick order by i desc limit 1)
 select i::int as rank, round(g.d, 6) dist, g.sid series_id, g.s "start", g.e "end", g.l len from (select unnest(got) g, unnest(range(1, len(got) + 1)) i from fin)""")
 def bf_topk_overlap(spark, sf_dir):
-    s = event_series(spark, sf_dir)
-    scale = subseq.scale_of(s)
-    few = s.where("n >= 17").orderBy("ts_idx").limit(20)  # the query is over these twenty series
-    e = Engine(spark, few, scale=scale).build(0.2, "eu", (17, 17), group_only=True)
+    e = event_engine(spark, sf_dir, (17, 17), group_only=True)
     return rounded(e.query_brute_force(first_query(e), 10, overlap=0.5), "dist")
 
 
@@ -278,22 +271,23 @@ def sax_two_stage(spark, sf_dir):
     return rounded(e.query_brute_force(first_query(e), K_BEST, piecewise="sax", use_built_piecewise=False), "dist")
 
 
-@register(f"""with v as (select vec_id, label, embedding[1:16]::double[] d from embeddings), q as (select vec_id query_id, label ql, d qd from v where vec_id < 5),
+@register(f"""with v as (select vec_id, label, embedding::double[] d from embeddings), q as (select vec_id query_id, label ql, d qd from v where vec_id % 100 = 0),
 sc as (select query_id, vec_id::varchar || '|' || label::varchar series_id, {_dtw("qd", "d", "eu")} dist from v, q where vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by dist, series_id)::int as rank from sc)
-select query_id, rank, round(dist, 6) dist, series_id, 0 "start", 15 "end", 16 len from r where rank <= 5""")
+select query_id, rank, round(dist, 6) dist, series_id, 0 "start", 63 "end", 64 len from r where rank <= 5""")
 def batch_knn(spark, sf_dir):
     w, q = _vector_windows(spark, sf_dir)
     return rounded(query.batch(w, q, 5, "eu", True), "dist")
 
 
 def _vector_windows(spark, sf_dir):
+    """All vectors, and as queries those whose id is divisible by 100."""
     v = vectors(spark, sf_dir)
-    w = v.select("series_id", F.lit(0).alias("start"), F.lit(15).alias("end"), F.lit(16).alias("len"), F.slice("values", 1, 16).alias("data"))
-    return w, v.where("ts_idx < 5").select(F.col("ts_idx").alias("query_id"), F.slice("values", 1, 16).alias("qdata"), F.col("series_id").alias("qseries"))
+    w = v.select("series_id", F.lit(0).alias("start"), (F.col("n") - 1).alias("end"), F.col("n").alias("len"), F.col("values").alias("data"))
+    return w, v.where("ts_idx % 100 = 0").select(F.col("ts_idx").alias("query_id"), F.col("values").alias("qdata"), F.col("series_id").alias("qseries"))
 
 
-@register(f"""with v as (select vec_id, label, embedding[1:16]::double[] d from embeddings), q as (select vec_id query_id, d qd from v where vec_id < 5),
+@register(f"""with v as (select vec_id, label, embedding::double[] d from embeddings), q as (select vec_id query_id, d qd from v where vec_id % 100 = 0),
 sc as (select query_id, label::varchar label, vec_id::varchar || '|' || label::varchar series_id, {_dtw("qd", "d", "eu")} dist from v, q where vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by dist, series_id) rk from sc),
 n as (select query_id, label, count(*) votes from r where rk <= 5 group by 1, 2),

@@ -203,3 +203,19 @@ def test_oracle(spark, name):
     assert cols == sorted(want.columns)
     tidy = lambda d: sorted(([round(v, 5) if isinstance(v, float) else v for v in r] for r in d[cols].astype(object).where(d[cols].notna(), None).values.tolist()), key=str)
     assert tidy(got) == tidy(want)
+
+
+def test_batch_is_exact_whatever_the_blocks(spark, monkeypatch):
+    """Against brute force; ties, several lengths, and blocks of two queries."""
+    rng = np.random.default_rng(5)
+    data = {str(i): rng.integers(0, 3, 4 + i % 3).astype(float).tolist() for i in range(60)}
+    windows = spark.createDataFrame([(s, 0, len(d) - 1, len(d), d) for s, d in data.items()], "series_id string, start int, end int, len int, data array<double>").repartition(3)
+    asked = {q: data[str(q)] for q in range(0, 60, 12)}
+    queries = spark.createDataFrame([(q, d, str(q)) for q, d in asked.items()], "query_id int, qdata array<double>, qseries string")
+    for metric, norm in (("eu", lambda c, n: np.sqrt(c / n)), ("ch", lambda c, n: c)):
+        want = {q: sorted((round(float(norm(warp(d, x), len(d) + len(x))), 9), s) for s, x in data.items() if s != str(q))[:7] for q, d in asked.items()}
+        for block in (2, 2000):
+            monkeypatch.setattr(query, "QUERY_BLOCK", block)
+            got = query.batch(windows, queries, 7, metric, True).orderBy("query_id", "rank").collect()
+            assert {q: [(round(r.dist, 9), r.series_id) for r in got if r.query_id == q] for q in asked} == want
+    assert query.batch(windows.where("false"), queries, 7, "eu").collect() == query.batch(windows, queries.where("false"), 7, "eu").collect() == []
