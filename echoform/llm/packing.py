@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from echoform.llm.common import bound_batches, release
 
 #: Texts are encoded in blocks of about BLOCK bytes; at least one text each.
-END_ID, CACHE_WORDS, BUFFER_TOKENS, BLOCK = 2, 900_000, 2_000_000, 16 << 20
+END_ID, CACHE_WORDS, BUFFER_TOKENS, BLOCK = 2, 900_000, 2_000_000, 8 << 20
 _OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in _OUT.split(", ")]
 
@@ -106,7 +106,7 @@ class Tokenizer:
             parts = list(encode(fresh))
             self.pool = np.concatenate([self.pool, *[p for p, _ in parts]])
             self.lengths = np.concatenate([self.lengths, *[n for _, n in parts]])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
 
     def kinds(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per chunk, the numbers of its letters and its trailing punctuation, or of the whole and 0."""
@@ -114,7 +114,7 @@ class Tokenizer:
         #: The only letter that is no longer one letter in lower case is U+0130.
         plain = pc.and_not(pc.utf8_is_alpha(cores), pc.match_substring(cores, "\u0130"))
         shaped = plain.to_numpy(zero_copy_only=False)
-        first, second = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        first, second = np.zeros(len(chunks), np.int32), np.zeros(len(chunks), np.int32)
         if shaped.any():
             letters = pc.ascii_lower(cores.filter(plain)).dictionary_encode()
             first[shaped] = self.numbers(letters.dictionary.to_pylist(), self._together)[letters.indices.to_numpy()]
@@ -136,7 +136,7 @@ class Tokenizer:
         first, second = self.kinds(every.dictionary)
         starts, n = np.cumsum(self.lengths) - self.lengths, self.lengths
         both = np.stack([first, second], 1).ravel()
-        pool, size = np.append(ragged(self.pool, starts[both], n[both]), np.uint32(END_ID)), np.append(n[first] + n[second], 1)
+        pool, size = np.append(ragged(self.pool, starts[both], n[both]), np.uint32(END_ID)), np.append(n[first] + n[second], 1).astype(np.int32)
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         at = np.insert(every.indices.to_numpy(), bounds[1:], len(every.dictionary))
         size_at = size[at]
@@ -213,26 +213,27 @@ class Packer:
         self.items, self.waiting = [], 0
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches joined until they hold BLOCK bytes."""
+def blocks(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches joined until they hold ``block`` bytes."""
     have, size = [], 0
     for b in batches:
         have.append(b)
         size += b.nbytes
-        if size >= BLOCK:
+        if size >= block:
             yield pa.concat_batches(have)
             have, size = [], 0
     if have:
         yield pa.concat_batches(have)
 
 
-def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss: str | None = None, most_words: int = CACHE_WORDS, lasting: bool = True) -> DataFrame:  # noqa: B008
+def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss: str | None = None, most_words: int = CACHE_WORDS, lasting: bool = True, block: int = BLOCK) -> DataFrame:  # noqa: B008
     """Pack rows (doc_id, text) into sequences; one row per piece: see ``_OUT``.
 
     ``loss`` may name a boolean column that tells which rows' tokens bear loss (null:
     no); without it all do. Null and empty texts are the single END_ID. Each id lies in
     exactly one piece; long texts are cut at the limit. A worker remembers the ids of up
-    to ``most_words`` words, for its next tasks too unless ``lasting`` is false. Sequence ids carry the partition
+    to ``most_words`` words, for its next tasks too unless ``lasting`` is false, and holds
+    about ``block`` bytes of texts at once. Sequence ids carry the partition
     number in their upper bits. Extra columns are ignored, repeated rows packed each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss:
             packer.rows = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_NAMES)
 
-        for b in blocks(batches):
+        for b in blocks(batches, block):
             ids, lengths = tok(b.column(1))
             bears = b.column(2).to_pylist() if loss else [True] * b.num_rows
             at = 0
