@@ -19,6 +19,8 @@ from echoform.llm.queries import WORD_BPE, table
 BROADCAST_IDS = 2_000_000
 #: Words whose ids a packing worker remembers during a task: workers share their machine with what earlier stages left.
 PACK_WORDS = 300_000
+#: Bytes of texts such a worker encodes at once, for the same reason.
+PACK_BLOCK = 4 << 20
 
 
 def without(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
@@ -54,7 +56,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
-    return packing.pack_documents(docs, WORD_BPE, most_words=PACK_WORDS, lasting=False)
+    return packing.pack_documents(docs, WORD_BPE, most_words=PACK_WORDS, lasting=False, block=PACK_BLOCK)
 
 
 STAGES = [("quality classifier", quality), ("toxicity", toxic), ("n-gram Jaccard join", near_copies), ("packing", pack)]
