@@ -5,8 +5,10 @@ few random sign-and-projection orders. It is then refined by neighbours-of-neigh
 joins: the neighbours of a vector, and those it is a neighbour of, are compared with
 each other, and better ones enter their lists. Lists full of links are saturated: they
 are enlarged to all the vectors that links reach, compared in square blocks, of which
-only counts and a spanning forest leave. A bounded sample is audited against all rows,
-and further orders are added while its recall is short.
+only counts and a spanning forest leave. What a full list leaves out links two vectors
+with full lists; so those are gathered in cells around leaders, and the members of cells
+of different components are compared wherever the cells' radii let them link. A bounded
+sample is audited against all rows, and further orders are added while its recall is short.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ THRESHOLD, NEIGHBOURS, REVERSE, BLOCK, SQUARE, ORDERS, ROUNDS = 0.98, 8, 6, 768,
 #: Neighbours less alike than this do not enter lists in the joins; float32 slack of the graph's similarities.
 FLOOR, SLACK = 0.5, 1e-5
 AUDIT, RECALL, RETRIES = 256, 0.97, 2
+#: Cells compared in one task, a side; radians of slack of angles from float32 cosines.
+CELLS, ANGLE_SLACK = 2048, 0.01
 
 
 def _ingest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,21 +194,97 @@ def _refine(scratch: Scratch, nodes: DataFrame, graph: DataFrame) -> tuple[DataF
     return merged, merged.where(F.col("new") & (F.col("sim") >= THRESHOLD - SLACK)).count()
 
 
+def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by their first column: the other columns of each run of equal ones."""
+    held: list[tuple] = []
+    last = None
+    for b in batches:
+        for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != last:
+                if held:
+                    yield held
+                held, last = [], key
+            held.append(tuple(row))
+    if held:
+        yield held
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, u, x32) sorted by key: (u, cell, angle): every vector's leader, one it links with."""
+    for run in _sorted_runs(batches):
+        ids, x = np.array([r[0] for r in run]), np.stack([np.frombuffer(r[1], np.float32) for r in run])
+        lead, cos, free = np.zeros(len(ids), np.int64), np.ones(len(ids)), np.ones(len(ids), bool)
+        while free.any():
+            i = int(np.argmax(free))
+            s = x @ x[i]
+            s[i] = 1
+            mine = free & (s >= THRESHOLD - SLACK)
+            lead[mine], cos[mine], free[mine] = ids[i], s[mine], False
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lead, pa.int64()), pa.array(np.arccos(np.clip(cos, -1, 1)), pa.float64())], names=["u", "cell", "angle"])
+
+
+def _near_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, side, cell, c, r, x32) sorted by key: pairs (a, b) of cells of different
+    components, between the two sides of a square or within one, whose members may link."""
+    reach = np.arccos(THRESHOLD) + ANGLE_SLACK
+    for run in _sorted_runs(batches):
+        side, ids, comp, r = (np.array(c) for c in zip(*(t[:4] for t in run), strict=True))
+        x = np.stack([np.frombuffer(t[4], np.float32) for t in run])
+        a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
+        for k in range(0, len(a), 256):
+            p = a[k : k + 256]
+            near = x[p] @ x[b].T >= np.cos(np.minimum(reach + r[p][:, None] + r[b][None, :], np.pi))
+            near &= comp[p][:, None] != comp[b][None, :]
+            if not side.any():
+                near &= ids[p][:, None] < ids[b][None, :]
+            i, j = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p][i], pa.int64()), pa.array(ids[b][j], pa.int64())], names=["a", "b"])
+
+
+def _squared(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """rows dealt into parts of about ``size`` per value of ``by``, a copy for each pair of parts: plus key, side."""
+    parts = rows.groupBy(by).agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    mine = rows.join(parts, by).withColumn("mine", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
+    other = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.withColumn("key", F.xxhash64(by, F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("side", F.when(F.col("mine") > F.col("other"), 1).otherwise(0))
+
+
+def _compared(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    return scratch.write(rows.select("key", "side", "u", "n", "x").repartition("key").sortWithinPartitions("key").mapInArrow(_squares, "u long, v long, links long"))
+
+
+def _bridges(scratch: Scratch, nodes: DataFrame, graph: DataFrame, full: DataFrame) -> DataFrame:
+    """Exact links (u, v) between components (u, c), enough to join those that link: a
+    link in no list has a full list of links at either end, and only such ends are compared."""
+    ends = graph.groupBy("u").agg(F.count("*").alias("k"), F.min("sim").alias("kth")).where((F.col("k") >= NEIGHBOURS) & (F.col("kth") >= THRESHOLD - SLACK))
+    ends = full.join(ends.select("u"), "u", "left_semi").join(nodes.select("u", "g", "x32"), "u")
+    parts = ends.groupBy("c").agg(F.ceil(F.count("*") / SQUARE).alias("parts"))
+    keyed = ends.join(parts, "c").select(F.xxhash64("c", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("key"), "u", "x32")
+    member = scratch.write(keyed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(_cells, "u long, cell long, angle double"))
+    cells = member.groupBy("cell").agg(F.max("angle").alias("r")).withColumnRenamed("cell", "u").join(full, "u").join(nodes.select("u", "g", "x32"), "u")
+    pairs = _squared(cells, "g", CELLS).select("key", "side", F.col("u").alias("cell"), "c", "r", "x32").repartition("key").sortWithinPartitions("key").mapInArrow(_near_cells, "a long, b long")
+    pairs = scratch.write(pairs)
+    sides = pairs.select(F.xxhash64("a", "b").alias("key"), F.lit(0).alias("side"), F.col("a").alias("cell")).unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.lit(1).alias("side"), F.col("b").alias("cell")))
+    found = _compared(scratch, sides.join(member, "cell").join(nodes.select("u", "n", "x"), "u"))
+    return found.where("v is not null").select("u", "v")
+
+
 def _enlarge(scratch: Scratch, nodes: DataFrame, graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From the graph's links: (u, links) counted over all vectors that links reach, and
     a forest of exact links. A component of many members is cut into SQUARE-sized parts
     and every pair of parts is a task of its own."""
+    def reached(links: DataFrame) -> DataFrame:
+        comp = components(links, scratch)
+        return scratch.write(comp.select(F.col("id").alias("u"), F.col("component").alias("c")).unionByName(comp.select(F.col("component").alias("u"), F.col("component").alias("c")).distinct()))
+
     linked = graph.where(F.col("sim") >= THRESHOLD - SLACK).select("u", "v")
-    comp = scratch.write(components(linked, scratch))
-    full = comp.select(F.col("id").alias("u"), F.col("component").alias("c")).unionByName(comp.select(F.col("component").alias("u"), F.col("component").alias("c")).distinct())
-    sizes = full.groupBy("c").agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("parts"))
-    member = full.join(sizes, "c").join(nodes.select("u", "n", "x"), "u").withColumn("mine", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"))
-    other = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = other.select(
-        F.xxhash64("c", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"), "u", "n", "x"
-    )
-    done = scratch.write(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_squares, "u long, v long, links long"))
-    scratch.drop(comp)
+    full = reached(linked)
+    bridges = _bridges(scratch, nodes, graph, full)
+    if bridges.limit(1).count():
+        old, full = full, reached(linked.unionByName(bridges))
+        scratch.drop(old)
+    done = _compared(scratch, _squared(full.join(nodes.select("u", "n", "x"), "u"), "c", SQUARE))
+    scratch.drop(full)
     return done.where("v is null").groupBy("u").agg(F.sum("links").alias("links")), done.where("v is not null").select("u", "v")
 
 

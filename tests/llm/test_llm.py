@@ -117,6 +117,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(got[i + j].n_links == 0 for j in (2, 3, 4, 5, 7))
 
 
+def test_dense_clumps_link_across(spark):
+    """Lists full of a clump's own members hide the links to the next clump, 0.985 away."""
+    rng = np.random.default_rng(3)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    turn = np.arccos(0.985)
+    centres = [axes[0], np.cos(turn) * axes[0] + np.sin(turn) * axes[1], axes[2]]
+    rows = [(i, [float(v) for v in c + rng.standard_normal(64) * 0.002], 0) for i, c in enumerate(np.repeat(centres, 20, axis=0))]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    comp = brute_components(unit, lambda a, b: a @ b >= 0.98)
+    assert sorted(set(comp.values())) == [0, 40]
+    for k, v in unit.items():
+        assert (got[k].n_links, got[k].component_id) == (sum(v @ w >= 0.98 for j, w in unit.items() if j != k), comp[k])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500, k) for k in range(501, 560)]
