@@ -7,8 +7,10 @@ each other, and better ones enter their lists. Lists full of links are saturated
 are enlarged to all the vectors that links reach, compared in square blocks, of which
 only counts and a spanning forest leave. What a full list leaves out links two vectors
 with full lists; so those are gathered in cells around leaders, and the members of cells
-of different components are compared wherever the cells' radii let them link. A bounded
-sample is audited against all rows, and further orders are added while its recall is short.
+of different components are compared wherever the cells' radii let them link. Recall is
+audited on a sample of vectors drawn whatever was found for them, those with few links
+apart from those with many; orders are doubled while it is short, until blocks would
+cost as much as comparing everything, which is then done.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from echoform.llm.common import Scratch, components, forest
 THRESHOLD, NEIGHBOURS, REVERSE, BLOCK, SQUARE, ORDERS, ROUNDS = 0.98, 8, 6, 768, 512, 3, 3
 #: Neighbours less alike than this do not enter lists in the joins; float32 slack of the graph's similarities.
 FLOOR, SLACK = 0.5, 1e-5
-AUDIT, RECALL, RETRIES = 256, 0.97, 2
+#: Classes audited, and more of them while fewer than AUDIT_FEW have few links.
+AUDIT, AUDIT_MOST, AUDIT_FEW, RECALL = 4096, 16384, 128, 0.97
 #: Cells compared in one task, a side; radians of slack of angles from float32 cosines.
 CELLS, ANGLE_SLACK = 2048, 0.01
 
@@ -62,10 +65,10 @@ def _orders(seeds: list[int], bits: int):
             rows: list = [None] * len(raws)
             for n in {len(r) for r in raws}:
                 at = [i for i, r in enumerate(raws) if len(r) == n]
-                x = unit([raws[i] for i in at])
+                x = np.stack([np.frombuffer(raws[i], np.float32) for i in at])
                 for s in seeds:
                     if (n, s) not in planes:
-                        planes[n, s] = np.random.default_rng([s, n]).standard_normal((n // 8, bits + 1))
+                        planes[n, s] = np.random.default_rng([s, n]).standard_normal((n // 4, bits + 1))
                     z = x @ planes[n, s]
                     code = ((z[:, :bits] > 0) @ (1 << np.arange(bits)[::-1])).astype(np.int64)
                     for i, c, p in zip(at, code, z[:, bits], strict=True):
@@ -74,7 +77,7 @@ def _orders(seeds: list[int], bits: int):
             flat = [t for r in rows for t in r]
             cols = list(zip(*flat, strict=True)) or [()] * 3
             pick = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), b.column(2).take(pick), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["u", "g", "x", "o", "code", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), b.column(2).take(pick), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["u", "g", "x32", "o", "code", "p"])
 
     return run
 
@@ -88,7 +91,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def best(us: list, raws: list) -> Iterator[pa.RecordBatch]:
         if len(us) < 2:
             return
-        x, ids = unit(raws, np.float32), np.array(us)
+        x, ids = np.stack([np.frombuffer(r, np.float32) for r in raws]), np.array(us)
         s = x @ x.T
         np.fill_diagonal(s, -2)
         k = min(NEIGHBOURS, len(us) - 1)
@@ -177,7 +180,7 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
 
 
 def _first_graph(nodes: DataFrame, seeds: list[int], bits: int) -> DataFrame:
-    placed = nodes.select("u", "g", "x").mapInArrow(_orders(seeds, bits), "u long, g long, x binary, o int, code long, p double")
+    placed = nodes.select("u", "g", "x32").mapInArrow(_orders(seeds, bits), "u long, g long, x32 binary, o int, code long, p double")
     return placed.repartitionByRange("o", "g", "code", "p").sortWithinPartitions("o", "g", "code", "p").mapInArrow(_blocks, "u long, v long, sim double")
 
 
@@ -269,6 +272,12 @@ def _bridges(scratch: Scratch, nodes: DataFrame, graph: DataFrame, full: DataFra
     return found.where("v is not null").select("u", "v")
 
 
+def _exact(scratch: Scratch, nodes: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, links) and a forest of links, of all vectors compared that share a c in full (u, c)."""
+    done = _compared(scratch, _squared(full.join(nodes.select("u", "n", "x"), "u"), "c", SQUARE))
+    return done.where("v is null").groupBy("u").agg(F.sum("links").alias("links")), done.where("v is not null").select("u", "v")
+
+
 def _enlarge(scratch: Scratch, nodes: DataFrame, graph: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From the graph's links: (u, links) counted over all vectors that links reach, and
     a forest of exact links. A component of many members is cut into SQUARE-sized parts
@@ -283,38 +292,47 @@ def _enlarge(scratch: Scratch, nodes: DataFrame, graph: DataFrame) -> tuple[Data
     if bridges.limit(1).count():
         old, full = full, reached(linked.unionByName(bridges))
         scratch.drop(old)
-    done = _compared(scratch, _squared(full.join(nodes.select("u", "n", "x"), "u"), "c", SQUARE))
+    out = _exact(scratch, nodes, full)
     scratch.drop(full)
-    return done.where("v is null").groupBy("u").agg(F.sum("links").alias("links")), done.where("v is not null").select("u", "v")
+    return out
 
 
-def _audit(nodes: DataFrame, counts: DataFrame) -> float:
-    """Recall of counted links over a bounded sample of classes, against all vectors."""
-    asked = nodes.join(counts, "u", "left").orderBy(F.xxhash64(F.lit(1), "u")).limit(AUDIT * 4).select("u", "g", "x", F.coalesce("links", F.lit(0)).alias("links")).collect()  # AUDIT * 4 rows
-    asked = sorted(asked, key=lambda r: -r.links)[: AUDIT // 2] + asked[: AUDIT // 2]
+def _truth(nodes: DataFrame, size: int) -> dict[int, int]:
+    """Links of ``size`` classes, first by a hash, counted against all vectors."""
+    asked = nodes.orderBy(F.xxhash64(F.lit(1), "u"), "u").limit(size).select("u", "g", "x").collect()  # size rows
     groups: dict = {}
-    for r in {r.u: r for r in asked}.values():
+    for r in asked:
         groups.setdefault(r.g, []).append(r)
-    if not groups:
-        return 1.0
     probes = {g: (np.array([r.u for r in rs]), unit([bytes(r.x) for r in rs])) for g, rs in groups.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
+        found = {g: np.zeros(len(ids), np.int64) for g, (ids, _) in probes.items()}
         for b in batches:
-            g = b.column(1).to_numpy()
+            g, us, n = (b.column(i).to_numpy() for i in (1, 0, 2))
             for key in set(g.tolist()) & probes.keys():
                 at = np.flatnonzero(g == key)
                 ids, q = probes[key]
                 x = unit([b.column(3)[int(i)].as_py() for i in at])
-                hit = (q @ x.T >= THRESHOLD) & (ids[:, None] != b.column(0).to_numpy()[at][None, :])
-                for u, k in zip(ids.tolist(), (hit @ b.column(2).to_numpy()[at]).tolist(), strict=True):
-                    found[u] = found.get(u, 0) + k
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["u", "k"])
+                for k in range(0, len(ids), 1024):
+                    hit = (q[k : k + 1024] @ x.T >= THRESHOLD) & (ids[k : k + 1024, None] != us[at][None, :])
+                    found[key][k : k + 1024] += hit @ n[at]
+        us, ks = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in ([ids for ids, _ in probes.values()], list(found.values())))
+        yield pa.RecordBatch.from_arrays([pa.array(us[ks > 0], pa.int64()), pa.array(ks[ks > 0], pa.int64())], names=["u", "k"])
 
-    true = {r.u: r.k for r in nodes.select("u", "g", "n", "x").mapInArrow(run, "u long, k long").groupBy("u").agg(F.sum("k").alias("k")).collect()}  # AUDIT rows
-    have = {r.u: min(r.links, true.get(r.u, 0)) for r in asked}
-    return sum(have.values()) / total if (total := sum(true.get(u, 0) for u in have)) else 1.0
+    return {r.u: r.k for r in nodes.select("u", "g", "n", "x").mapInArrow(run, "u long, k long").groupBy("u").agg(F.sum("k").alias("k")).collect()}  # at most size rows
+
+
+def _recall(truth: dict[int, int], have: dict[int, int]) -> float:
+    """Mean share of an audited vector's links that was found, of those with at most
+    NEIGHBOURS links or of those with more, whichever is less; 1 where none has links."""
+    share = {u: min(have.get(u, 0), k) / k for u, k in truth.items()}
+    bands = [[share[u] for u, k in truth.items() if (k <= NEIGHBOURS) == few] for few in (True, False)]
+    return min((float(np.mean(b)) for b in bands if b), default=1.0)
+
+
+def _audit(nodes: DataFrame, counts: DataFrame, truth: dict[int, int]) -> float:
+    asked = nodes.sparkSession.createDataFrame([(u,) for u in truth], "u long")
+    return _recall(truth, {r.u: r.links for r in counts.join(F.broadcast(asked), "u").collect()})  # at most AUDIT_MOST rows
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -338,9 +356,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([unit([r], np.float32)[0].tobytes() for r in raws], pa.binary())], names=[*b.schema.names, "x32"])
 
     nodes = scratch.write(nodes.select("u", "g", "x", "n", "rep").mapInArrow(narrow, "u long, g long, x binary, n long, rep long, x32 binary"))
-    bits = max(1, int(np.log2(max(nodes.count(), 2) / (8 * BLOCK)) + 1))
-    seeds, graph, recall = list(range(ORDERS)), None, 0.0
-    for _ in range(1 + RETRIES):
+    total, largest = nodes.count(), (nodes.groupBy("g").count().agg(F.max("count")).first()[0] or 0)
+    bits = max(1, int(np.log2(max(total, 2) / (8 * BLOCK)) + 1))
+    truth = _truth(nodes, AUDIT)
+    if total > AUDIT and sum(k <= NEIGHBOURS for k in truth.values()) < AUDIT_FEW:
+        truth = _truth(nodes, AUDIT_MOST)
+    # a block order misses more of the links the more bits it cuts by
+    seeds, graph = list(range(max(ORDERS, bits))), None
+    while True:
         fresh = _first_graph(nodes, seeds, bits).withColumn("new", F.lit(True))
         graph = scratch.write(_top(fresh if graph is None else fresh.unionByName(graph.withColumn("new", F.lit(False))), NEIGHBOURS).drop("r"))
         for _ in range(ROUNDS):
@@ -350,10 +373,15 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             if not found:
                 break
         counts, tree = _enlarge(scratch, nodes, graph)
-        recall = _audit(nodes, counts)
+        recall = _audit(nodes, counts, truth)
         if recall >= RECALL:
             break
-        seeds = [s + len(seeds) for s in seeds]
+        used = seeds[-1] + 1
+        if used * BLOCK >= largest:
+            counts, tree = _exact(scratch, nodes, nodes.select("u", F.col("g").alias("c")))
+            recall = _audit(nodes, counts, truth)
+            break
+        seeds = list(range(used, 2 * used))
     comp = components(tree, scratch)
     labelled = nodes.select("u", "n", "rep").join(comp.withColumnRenamed("id", "u"), "u", "left").join(counts, "u", "left").withColumn("component", F.coalesce("component", "u"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -132,6 +132,23 @@ def test_dense_clumps_link_across(spark):
         assert (got[k].n_links, got[k].component_id) == (sum(v @ w >= 0.98 for j, w in unit.items() if j != k), comp[k])
 
 
+def test_scattered_pairs_are_found_beside_a_hot_group(spark, monkeypatch):
+    """A third of all vectors link with each other; the pairs must not be lost behind them."""
+    monkeypatch.setattr(nn_descent, "ORDERS", 1)
+    rng = np.random.default_rng(9)
+    single, hot = rng.standard_normal((6000, 64)), rng.standard_normal(64) + rng.standard_normal((3000, 64)) * 0.02
+    twin = single[:800] + rng.standard_normal((800, 64)) * 0.17
+    x = np.concatenate([single, twin, hot])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = [i for i in range(800) if unit[i] @ unit[6000 + i] >= 0.98]
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(rows).collect()}
+    found = np.mean([got[i].component_id == got[6000 + i].component_id for i in linked])
+    assert len(linked) > 400 and found > 0.95 and 0.97 <= got[0].audited_recall <= 1
+    truth = {**{i: 1 for i in range(40)}, **{100 + i: 3000 for i in range(4000)}}
+    assert nn_descent._recall(truth, {u: k for u, k in truth.items() if k > 1 or u < 10}) == 0.25
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500, k) for k in range(501, 560)]
