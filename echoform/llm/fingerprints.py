@@ -2,7 +2,8 @@
 
 A rolling hash over the last seven bytes closes a chunk wherever its low bits are all
 ones; each chunk gives one of 64 signature letters. The block size (bytes a chunk, on
-average) follows from the text's length, and a fingerprint holds the signatures at
+average) follows from the text's length and is halved while a signature would have
+fewer than half its letters; a fingerprint holds the signatures at
 that size and at twice that size: ``size:signature:signature2``. Two fingerprints are
 compared at a block size both have, by the edit distance of their signatures (a
 substitution counts as a deletion and an insertion), computed bit-parallel.
@@ -48,6 +49,15 @@ def _signature(h: np.ndarray, ends: np.ndarray) -> str:
     return LETTERS[((sums * np.uint32(0x9E3779B1)) >> np.uint32(26))].tobytes().decode()
 
 
+def _ends(h: np.ndarray, block: int) -> np.ndarray:
+    return np.flatnonzero((h & np.uint32(block - 1)) == block - 1)
+
+
+def _chunks(h: np.ndarray, ends: np.ndarray) -> int:
+    """Chunks that ends cut; a boundary at the last byte leaves nothing after it."""
+    return int(np.searchsorted(ends, len(h) - 1)) + 1
+
+
 def fingerprint(data: bytes) -> str:
     """Fingerprint of a text's UTF-8 bytes; the empty text gives ``1::``."""
     if not data:
@@ -55,7 +65,10 @@ def fingerprint(data: bytes) -> str:
     h, block = rolling(np.frombuffer(data, np.uint8)), MIN_BLOCK
     while block * MAX_CHUNKS * 3 // 4 < len(data):
         block *= 2
-    ends = np.flatnonzero((h & np.uint32(block - 1)) == block - 1)
+    ends = _ends(h, block)
+    while block > MIN_BLOCK and _chunks(h, ends) < MAX_CHUNKS // 2:
+        block //= 2
+        ends = _ends(h, block)
     wide = ends[(h[ends] & np.uint32(2 * block - 1)) == 2 * block - 1]
     return f"{block}:{_signature(h, ends)}:{_signature(h, wide)}"
 

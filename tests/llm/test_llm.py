@@ -195,6 +195,17 @@ def test_fingerprints_against_plain_loop(spark):
     assert fingerprints.likeness([same, "1::"], [same, same]).tolist() == [1.0, 0.0]
 
 
+def test_repetitive_texts_keep_signatures():
+    draw, likes = random.Random(6), []
+    for _ in range(100):
+        line = "".join(draw.choice("abcdefgh ijkl") for _ in range(40)) + "\n"
+        text = line * 200
+        f, g = (fingerprints.fingerprint(t.encode()) for t in (text, text[:-40] + "another end of the text"))
+        assert len(f.split(":")[1]) >= fingerprints.MAX_CHUNKS // 2
+        likes.append(fingerprints.likeness([f], [g])[0])
+    assert np.mean(likes) > 0.9
+
+
 # -- 3 and 10 --------------------------------------------------------------------------
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_classifiers_on_held_out_rows(spark, sf):
