@@ -3,7 +3,10 @@
 A rolling hash over the last seven bytes closes a chunk wherever its low bits are all
 ones; each chunk gives one of 64 signature letters. The block size (bytes a chunk, on
 average) follows from the text's length and is halved while a signature would have
-fewer than half its letters; a fingerprint holds the signatures at
+fewer than half its letters, or doubled while boundaries are too many for the letters
+and not too few at twice the size. Of boundaries that are too many still (repeated
+lines) every 2nd, 4th and so on is used, and the size counts so much more, so that the
+letters span the whole text. A fingerprint holds the signatures at
 that size and at twice that size: ``size:signature:signature2``. Two fingerprints are
 compared at a block size both have, by the edit distance of their signatures (a
 substitution counts as a deletion and an insertion), computed bit-parallel.
@@ -69,8 +72,15 @@ def fingerprint(data: bytes) -> str:
     while block > MIN_BLOCK and _chunks(h, ends) < MAX_CHUNKS // 2:
         block //= 2
         ends = _ends(h, block)
-    wide = ends[(h[ends] & np.uint32(2 * block - 1)) == 2 * block - 1]
-    return f"{block}:{_signature(h, ends)}:{_signature(h, wide)}"
+    while len(ends) >= MAX_CHUNKS and _chunks(h, fewer := _ends(h, 2 * block)) >= MAX_CHUNKS // 2:
+        block, ends = 2 * block, fewer
+    step = 1
+    while len(ends) >= MAX_CHUNKS * step:
+        step *= 2
+    wide = _ends(h, 2 * block)
+    if step > 1 or _chunks(h, wide) < MAX_CHUNKS // 4:
+        wide = ends[2 * step - 1 :: 2 * step]
+    return f"{block * step}:{_signature(h, ends[step - 1 :: step])}:{_signature(h, wide)}"
 
 
 def _lcs(a: list[str], b: list[str]) -> np.ndarray:

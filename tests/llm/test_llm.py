@@ -206,6 +206,15 @@ def test_repetitive_texts_keep_signatures():
     assert np.mean(likes) > 0.9
 
 
+def test_letters_span_texts_rich_in_boundaries():
+    """More than half of a text of repeated lines is replaced, well after 63 boundaries."""
+    draw, likes = random.Random(8), []
+    for _ in range(100):
+        a, b = ("".join(draw.choice("abcdefgh ijkl") for _ in range(40)) + "\n" for _ in range(2))
+        likes.append(fingerprints.likeness(*([fingerprints.fingerprint(t.encode())] for t in (a * 200, a * 80 + b * 120)))[0])
+    assert max(likes) < 0.9
+
+
 # -- 3 and 10 --------------------------------------------------------------------------
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_classifiers_on_held_out_rows(spark, sf):
