@@ -303,7 +303,8 @@ def knn_label(spark, sf_dir):
 _ORD = """ov as (select o_custkey, list(o_totalprice order by o_orderdate, o_orderkey) v from orders group by o_custkey),
 omm as (select min(o_totalprice) lo, max(o_totalprice) hi from orders),
 oser as (select o_custkey, list_transform(v, lambda x: (x - lo) / (hi - lo)) norm, len(v) n from ov, omm)"""
-_OLO, _OHI, _OST = 18, 19, 0.5
+#: All lengths: orders have series of 1 to 24 samples, and none in sight has more than _OHI. One length to filter by.
+_OLO, _OHI, _OST, _OLEN = 1, 64, 0.5, 10
 _EUSQL = "sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda z: ({a}[z] - {b}[z]) * ({a}[z] - {b}[z]))) / len({a}))"
 _LEADERS = f"""{_ORD}, {_windows(_OLO, _OHI, "oser", "o_custkey")},
 g as (select *, ((("start" - ts_idx) % 8) + 8) % 8 bucket from win),
@@ -316,7 +317,7 @@ fin as (select mem.*, ri.series_id rep_series_id, ri."start" rep_start from mem
 
 
 def order_clusters(spark, sf_dir) -> DataFrame:
-    return Engine(spark, order_series(spark, sf_dir)).build(_OST, "eu", (_OLO, _OHI), order="key").clusters
+    return Engine(spark, order_series(spark, sf_dir)).build(_OST, "eu", None, order="key").clusters
 
 
 @register(f"with {_LEADERS} select bucket::int bucket, len, series_id, \"start\", rep_series_id, rep_start from fin")
@@ -346,9 +347,9 @@ def cluster_conservation(spark, sf_dir):
     return c.groupBy("len").agg(F.count("*").alias("members"), (F.max("dist_to_rep") <= 0.1).alias("within"))
 
 
-@register(f"with {_LEADERS} select count(*) members, sum((pos = rep)::int)::bigint reps from fin where len = {_OLO} and (series_id in ('1', '2', '4', '5', '7', '8') or pos = rep)")
+@register(f"with {_LEADERS} select count(*) members, sum((pos = rep)::int)::bigint reps from fin where len = {_OLEN} and (series_id in ('1', '2', '4', '5', '7', '8') or pos = rep)")
 def cluster_filter(spark, sf_dir):
-    c = cluster.select_clusters(order_clusters(spark, sf_dir), _OLO, ["1", "2", "4", "5", "7", "8"])
+    c = cluster.select_clusters(order_clusters(spark, sf_dir), _OLEN, ["1", "2", "4", "5", "7", "8"])
     return c.agg(F.count("*").alias("members"), F.sum(F.col("is_rep").cast("long")).alias("reps"))
 
 

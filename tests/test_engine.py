@@ -205,6 +205,12 @@ def test_oracle(spark, name):
     assert tidy(got) == tidy(want)
 
 
+def test_all_windows_of_orders_are_clustered(spark):
+    n = [r["count"] for r in catalogue.table(spark, DATA, "orders").groupBy("o_custkey").count().collect()]
+    c = catalogue.order_clusters(spark, DATA)
+    assert c.count() == sum(k * (k + 1) // 2 for k in n) and c.select("series_id").distinct().count() == len(n)
+
+
 def test_batch_is_exact_whatever_the_blocks(spark, monkeypatch):
     """Against brute force; ties, several lengths, and blocks of two queries."""
     rng = np.random.default_rng(5)
