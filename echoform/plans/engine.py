@@ -236,9 +236,10 @@ def load(spark: SparkSession, path: str, feature_num: int | None = None, header:
 
 
 def motif_across(spark: SparkSession, series: DataFrame, feature: int, st: float, k: int, loi, dist_type: str = "eu", overlap: float = 1.0) -> dict[str, DataFrame]:
-    """Motifs per distinct value of an id feature (a bounded number of values, one engine each)."""
-    values = [r[0] for r in series.select(F.element_at("features", feature + 1)).distinct().limit(1000).collect()]
-    return {v: Engine(spark, series.where(F.element_at("features", feature + 1) == v)).build(st, dist_type, loi).motif(k, overlap) for v in values}
+    """Motifs per distinct value of an id feature: all values, one engine each, so the driver holds a plan per value."""
+    of = F.element_at("features", feature + 1)
+    values = sorted((r[0] for r in series.select(of).distinct().collect()), key=lambda v: (v is not None, v))
+    return {v: Engine(spark, series.where(of.eqNullSafe(F.lit(v)))).build(st, dist_type, loi).motif(k, overlap) for v in values}
 
 
 def prepare_folder(spark: SparkSession, files: list[str], feature_num: int, out: str, rate: float, seconds: tuple[float, float], st: float = 0.1, header: bool = False) -> list[str]:

@@ -1,5 +1,6 @@
 import os
 import random
+from unittest.mock import Mock
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from echoform.functions import batches
 from echoform.functions import kernels as K
 from echoform.operators import cluster, evaluate, events, query, subseq
-from echoform.plans import catalogue
+from echoform.plans import catalogue, engine
 from echoform.plans.engine import Engine, from_table, load
 from echoform.sources import series as sources
 from echoform.streaming.matcher import match_stream
@@ -211,6 +212,12 @@ def test_all_windows_of_orders_are_clustered(spark):
     assert c.count() == sum(k * (k + 1) // 2 for k in n) and c.select("series_id").distinct().count() == len(n)
 
 
+def test_motif_across_takes_every_value(spark, monkeypatch):
+    frame = spark.createDataFrame([(str(i), i, [f"v{i}"], [0.0, 1.0], 2) for i in range(1100)], "series_id string, ts_idx int, features array<string>, values array<double>, n int")
+    monkeypatch.setattr(engine, "Engine", Mock())  # an engine for each value is built, not run
+    assert set(engine.motif_across(spark, frame, 0, 0.5, 1, (2, 2))) == {f"v{i}" for i in range(1100)}
+
+
 def test_batch_is_exact_whatever_the_blocks(spark, monkeypatch):
     """Against brute force; ties, several lengths, and blocks of two queries."""
     rng = np.random.default_rng(5)
