@@ -1,17 +1,20 @@
 """N-gram Jaccard join by parity sketches.
 
-A set of tokens (hashes of word shingles) is folded into a parity sketch: a token flips
-the bit it hashes to, so the XOR of two sketches is the sketch of the symmetric
+A set of tokens (64-bit hashes of word shingles) is folded into a parity sketch: a token
+flips the bit it hashes to, so the XOR of two sketches is the sketch of the symmetric
 difference and their Hamming distance never exceeds its size. At similarity 3/4 the
-difference of sets of a <= b tokens is at most (a + b) / 7, and at most a / 3.
+difference of sets of a <= b tokens is at most (a + b) / 7, so at most a / 3 and 2 b / 7.
 
 Candidates come from a pigeonhole join per size band: tokens are dealt to pieces, more
 non-empty ones than there can be differing tokens, and each piece is XOR-folded to one
-key; two linked sets agree in a non-empty piece. Keys travel packed, 8 bytes each, one
-shuffle in all. Keys of more than ``HOT`` sets link their members to one centre only;
-a set that keeps more cold pieces than a / 3 is still found by those, and sets that do
-not ("weak") are compared with all members of their hot keys outside their component,
-by sketch. Candidates pass the sketch test, then are verified on whole token sets.
+key; two linked sets agree in a non-empty piece. Keys travel packed, with the classes of
+a row numbered in a dictionary, in one shuffle of as many parts as the texts' bytes ask
+for. Keys of more than ``HOT`` sets link their members to one centre only. A set that
+keeps more cold pieces than it can have differing tokens is still found by those; so
+only pairs of two sets that do not ("weak") can be missed, and the weak members of a hot
+key that are of different components are compared by sketch, in square blocks dealt
+over tasks: first the nearest pair of each two components, then, where that is no link,
+all. Candidates pass the sketch test, then whole sets of 64-bit tokens are intersected.
 
 Equal sets are one class throughout; links between classes make the components.
 """
@@ -28,13 +31,17 @@ from pyspark.sql import functions as F
 
 from echoform.llm.common import Scratch, components, release
 
-WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS, TASK_MEMBERS = 5, 16, 64, 800_000, 200_000, 200_000
+WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS = 5, 16, 64, 800_000, 200_000
+#: Bytes of texts a part of the key shuffle stands for; its keys take about twice that.
+PART_BYTES = 48 << 20
+#: A side of a square block of weak members: bytes of sketches and rows; pairs compared with one copy of a set.
+SIDE_BYTES, SIDE_ROWS, PAIRS_A_COPY = 4 << 20, 8192, 2000
 #: Bands from so many tokens down have a piece per token: few tokens could share pieces by chance.
 SINGLE = 32
-#: Class tables up to so many rows (16 bytes each) are broadcast; larger ones are shuffled.
+#: Lists of ids up to so many rows (8 bytes each) are broadcast; longer ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_ROW = "part int, kind int, a long, b long, n int, m int, x binary, y binary, z binary"
+_ROW = "part int, kind int, a long, b long, n int, m int, k int, w binary, x binary, y binary, z binary"
 _ROW_NAMES = [c.split()[0] for c in _ROW.split(", ")]
 _ROW_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in _ROW.split(", ")]
 DOC, KEYS, PAIRS, MEMBERS, COUNTS = range(5)
@@ -140,62 +147,85 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.r_[at, len(keys)])
 
 
-def _star(keys: np.ndarray, cls: np.ndarray, own: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the entries of hot keys (mask over entries sorted by key, then class): pairs of
-    each run's first class with the rest, and (own classes, how many hot keys each has)."""
-    k, c, o = keys[hot], cls[hot], own[hot]
-    at, n = _groups(k)
-    centre = np.repeat(c[at], n) if len(at) else c
-    pairs = np.stack([centre, c], axis=1)[centre != c]
-    who, many = np.unique(c[o], return_counts=True)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2), who, many
-
-
 class _Emitter:
-    """Collects piece keys of a chunk of sets and packs them by partition."""
+    """Collects piece keys of a chunk of sets and packs them by part."""
 
     def __init__(self, parts: int):
-        self.parts, self.keys, self.cls, self.own, self.n, self.seen = parts, [], [], [], 0, set()
+        self.parts, self.seen = parts, set()
+        self.clear()
 
-    def add(self, s: np.ndarray, cls: int) -> int:
+    def clear(self) -> None:
+        self.keys, self.own, self.names, self.sizes, self.n = [], [], [], [], 0
+
+    def add(self, s: np.ndarray, cls: int) -> tuple[int, int]:
+        """Pieces of the set's own band and of the band below; none for a class seen before."""
+        if cls in self.seen:
+            return 0, 0
         keys, n_own = piece_keys(s)
-        if cls not in self.seen:
-            self.seen.add(cls)
-            self.keys.append(keys)
-            self.cls.append(np.full(len(keys), cls & 0xFFFFFFFF, np.uint32))
-            self.own.append(np.arange(len(keys)) < n_own)
-            self.n += len(keys)
-        return n_own
+        if len(self.seen) > 1_000_000:
+            self.seen.clear()
+        self.seen.add(cls)
+        self.keys.append(keys)
+        self.names.append(cls)
+        self.sizes.append(len(keys))
+        self.own.append(np.arange(len(keys)) < n_own)
+        self.n += len(keys)
+        return n_own, len(keys) - n_own
 
     def flush(self) -> Iterator[tuple]:
+        """KEYS, MEMBERS, PAIRS and COUNTS rows of the chunk. A key of many sets here is
+        hot: its first set travels on for it, with a mark, and the others are its members."""
         if not self.n:
             return
-        keys, cls, own = np.concatenate(self.keys), np.concatenate(self.cls), np.concatenate(self.own)
-        self.keys, self.cls, self.own, self.n = [], [], [], 0
-        if len(self.seen) > 1_000_000:
-            self.seen.clear()
-        part, low = ((keys >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        order = np.lexsort((cls, low, part))
-        part, low, cls, own = part[order], low[order], cls[order], own[order]
-        at, n = _groups(part << 32 | low)
-        hot = np.repeat(n > LOCAL_HOT, n)
-        marks = at[n > LOCAL_HOT]
+        keys, own, names = np.concatenate(self.keys), np.concatenate(self.own), np.array(self.names, np.int64)
+        cls = np.repeat(np.arange(len(names), dtype=np.int32), self.sizes)
+        self.clear()
+        code = (keys >> np.uint64(32)) % np.uint64(self.parts) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+        order = np.argsort(code, kind="stable")
+        code, cls, own = code[order], cls[order], own[order]
+        at, n = _groups(code)
+        hot, marks = np.repeat(n > LOCAL_HOT, n), at[n > LOCAL_HOT]
         if len(marks):
-            pairs, who, many = _star(part << 32 | low, cls, own, hot)
-            yield 0, PAIRS, None, None, 0, 0, pairs.astype("<u4").tobytes(), None, None
-            yield 0, COUNTS, None, None, 0, 0, who.astype("<u4").tobytes(), many.astype("<u4").tobytes(), None
+            yield from _stars(names, code, cls, own.astype(bool), hot)
         keep = ~hot
-        keep[marks] = True  # the centre travels on for its key
-        marked = np.zeros(len(low), bool)
+        keep[marks] = True
+        marked = np.zeros(len(code), bool)
         marked[marks] = True
-        for p, lo, n in zip(*(lambda a, b: (part[a], a, b))(*_groups(part)), strict=True):
+        low, part = code.astype("<u4"), (code >> np.uint64(32)).astype(np.int64)
+        for lo, n in zip(*_groups(part), strict=True):
             here = slice(lo, lo + n)
-            if hot[here].any():
-                h = hot[here]
-                yield int(p), MEMBERS, None, None, 0, 0, low[here][h].tobytes(), cls[here][h].tobytes(), None
-            k = keep[here]
+            p, h, k = int(part[lo]), hot[here], keep[here]
+            if h.any():
+                yield _members(p, low[here][h], names[cls[here][h]], own[here][h])
             o = np.argsort(~own[here][k], kind="stable")
-            yield int(p), KEYS, None, None, int(own[here][k].sum()), 0, low[here][k][o].tobytes(), cls[here][k][o].tobytes(), low[here][marked[here]].tobytes()
+            used, at_dict = np.unique(cls[here][k][o], return_inverse=True)
+            yield p, KEYS, None, None, int(own[here][k].sum()), 0, 0, low[here][k][o].tobytes(), names[used].tobytes(), at_dict.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), low[here][marked[here]].tobytes()
+
+
+def _members(part: int, low: np.ndarray, names: np.ndarray, own: np.ndarray) -> tuple:
+    o = np.argsort(~own, kind="stable")
+    return part, MEMBERS, None, None, int(own.sum()), 0, 0, low[o].astype("<u4").tobytes(), names[o].astype("<i8").tobytes(), None, None
+
+
+def _stars(names: np.ndarray, code: np.ndarray, cls: np.ndarray, own: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+    """For the entries of hot keys (mask over entries sorted by key): pairs of each run's
+    first class with the rest, and how many hot keys of either band each class has."""
+    k, c, o = code[hot], cls[hot].astype(np.int64), own[hot]
+    at, n = _groups(k)
+    yield from _pair_rows(names, np.repeat(c[at], n), c)
+    who = np.unique(c)
+    counts = [np.bincount(c[m], minlength=len(names))[who].astype("<i4") for m in (o, ~o)]
+    yield 0, COUNTS, None, None, 0, 0, 0, names[who].tobytes(), counts[0].tobytes(), counts[1].tobytes(), None
+
+
+def _pair_rows(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+    """PAIRS rows of distinct pairs of different classes, the smaller first."""
+    m = np.uint64(len(names))
+    code = np.unique(np.minimum(i, j).astype(np.uint64) * m + np.maximum(i, j).astype(np.uint64))
+    a, b = names[(code // m).astype(np.int64)], names[(code % m).astype(np.int64)]
+    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
+    for lo in range(0, len(pairs), 100_000):
+        yield 0, PAIRS, None, None, 0, 0, 0, None, pairs[lo : lo + 100_000].astype("<i8").tobytes(), None, None
 
 
 def _spread(parts: int):
@@ -207,21 +237,20 @@ def _spread(parts: int):
                 for doc_id, text in zip(*(c.to_pylist() for c in b.slice(lo, 1000).columns), strict=True):
                     s = tokens(text)
                     cls = xxhash.xxh64_intdigest(s.tobytes()) >> 1 if len(s) else None
-                    n_own = out.add(s, cls) if len(s) else 0
-                    rows.append(((doc_id or 0) % parts, DOC, doc_id, cls, len(s), n_own, sketch(s) if len(s) else None, None, None))
+                    m, k = out.add(s, cls) if len(s) else (0, 0)
+                    rows.append(((doc_id or 0) % parts, DOC, doc_id, cls, len(s), m, k, None, sketch(s) if m else None, None, None))
                     if out.n >= CHUNK_KEYS:
                         rows += out.flush()
                 yield _rows(rows)
         yield _rows(list(out.flush()))
         _HASHES.clear()
-        out.seen.clear()
         release()
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by partition number: keys meet, candidates leave; other rows pass."""
+    """Rows sorted by part: keys meet, candidates leave; other rows pass."""
     held: list[tuple] = []
     last = None
     for b in batches:
@@ -230,66 +259,68 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rest.num_rows:
             yield rest
         keyed = b.filter(pa.array(kind == KEYS))
-        for p, n, x, y, z in zip(part[kind == KEYS], *(keyed.column(i).to_pylist() for i in (4, 6, 7, 8)), strict=True):
+        for p, *row in zip(part[kind == KEYS].tolist(), *(keyed.column(i).to_pylist() for i in (4, 7, 8, 9, 10)), strict=True):
             if p != last and held:
-                yield _rows(list(_match(int(last), held)))
+                yield _rows(list(_match(last, held)))
                 held = []
             last = p
-            held.append((n, x, y, z))
+            held.append(tuple(row))
     if held:
-        yield _rows(list(_match(int(last), held)))
+        yield _rows(list(_match(last, held)))
     held = []
     release()
 
 
 def _match(part: int, held: list[tuple]) -> Iterator[tuple]:
-    low = np.concatenate([np.frombuffer(x, np.uint32) for _, x, _, _ in held])
-    cls = np.concatenate([np.frombuffer(y, np.uint32) for _, _, y, _ in held])
-    own = np.concatenate([np.arange(len(x) // 4) < n for n, x, _, _ in held])
-    marks = np.unique(np.concatenate([np.frombuffer(z, np.uint32) for _, _, _, z in held]))
-    order = np.lexsort((~own, cls, low))
-    low, cls, own = low[order], cls[order], own[order]
-    first = np.r_[True, (low[1:] != low[:-1]) | (cls[1:] != cls[:-1])]  # copies of a class from several tasks
-    low, cls, own = low[first], cls[first], own[first]
+    """Candidates of one part: all pairs of a cold key, a star of a hot one."""
+    low = np.concatenate([np.frombuffer(w, "<u4") for _, w, _, _, _ in held])
+    dicts = [np.frombuffer(x, "<i8") for _, _, x, _, _ in held]
+    names, dense = np.unique(np.concatenate(dicts), return_inverse=True)
+    starts = np.cumsum([0, *map(len, dicts)])
+    cls = np.concatenate([dense[lo + np.frombuffer(y, "<u2" if 2 * len(y) == len(w) else "<u4").astype(np.int64)] for lo, (_, w, _, y, _) in zip(starts[:-1], held, strict=True)])
+    own = np.concatenate([np.arange(len(w) // 4) < n for n, w, _, _, _ in held])
+    marks = np.unique(np.concatenate([np.frombuffer(z, "<u4") for _, _, _, _, z in held]))
+    v = np.unique(low.astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64) << np.uint64(1) | own.astype(np.uint64))  # copies of a class from several tasks go
+    low, cls, own = (v >> np.uint64(32)).astype("<u4"), (v >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64), (v & np.uint64(1)).astype(bool)
     at, n = _groups(low)
     many = (n > HOT) | np.isin(low[at], marks)
     hot = np.repeat(many, n)
-    pairs = []
     if hot.any():
-        p, who, counts = _star(low, cls, own, hot)
-        pairs.append(p)
-        yield 0, COUNTS, None, None, 0, 0, who.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), None
-        yield part, MEMBERS, None, None, 0, 0, low[hot].tobytes(), cls[hot].tobytes(), None
+        yield from _stars(names, low, cls, own, hot)
+        yield _members(part, low[hot], names[cls[hot]], own[hot])
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for size in range(2, HOT + 1):  # all pairs of a cold key, all keys of one size at once
         rows = at[(n == size) & ~many]
         if len(rows):
             block = cls[rows[:, None] + np.arange(size)]
             i, j = np.triu_indices(size, 1)
-            pairs.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], axis=1))
-    if pairs:
-        u = np.concatenate(pairs).astype(np.uint64)
-        u = np.unique(np.minimum(u[:, 0], u[:, 1]) << np.uint64(32) | np.maximum(u[:, 0], u[:, 1]))
-        out = np.stack([u >> np.uint64(32), u & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4")
-        yield 0, PAIRS, None, None, 0, 0, out.tobytes(), None, None
+            left.append(block[:, i].ravel())
+            right.append(block[:, j].ravel())
+    yield from _pair_rows(names, np.concatenate(left), np.concatenate(right))
 
 
-def _unpack(names: list[str]):
-    """Rows of packed 32-bit columns -> a row each; one column of pairs or two columns."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lead = b.column(0).to_pylist() if len(names) == 3 else None
-            cols = [b.column(i).to_pylist() for i in range(1 if lead else 0, b.num_columns)]
-            for r in range(b.num_rows):
-                x = [np.frombuffer(c[r], np.uint32).astype(np.int64) for c in cols]
-                if len(x) == 1:
-                    x = list(x[0].reshape(-1, 2).T)
-                if lead:
-                    x[0] = (np.int64(lead[r]) << 32) | x[0]
-                    x = [x[0], x[1]]
-                for lo in range(0, len(x[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 100_000]) for v in x], names=names[-2:])
+def _emit(columns: list[np.ndarray], names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(columns[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + rows]) for c in columns], names=names)
+
+
+def _unpack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            yield from _emit(list(np.frombuffer(x, "<i8").reshape(-1, 2).T), ["a", "b"])
 
-    return run
+
+def _unpack_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for p, n, w, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            low = np.frombuffer(w, "<u4").astype(np.int64)
+            yield from _emit([np.int64(p) << 32 | low, np.frombuffer(x, "<i8"), np.arange(len(low)) < n], ["key", "cls", "own"])
+
+
+def _unpack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for w, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield from _emit([np.frombuffer(w, "<i8"), np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4")], ["cls", "own", "below"])
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,70 +332,114 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo in range(0, b.num_rows, 2000):
-            part = b.slice(lo, 2000)
-            s = [tokens(t) for t in part.column(0).to_pylist()]
-            cls = [xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in s]
-            packed = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in s]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array([len(x) for x in s], pa.int32()), pa.array(packed, pa.binary())], names=["cls", "n", "s"])
+        for lo in range(0, b.num_rows, 1000):
+            s = [tokens(t).tobytes() for t in b.slice(lo, 1000).column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in s], pa.int64()), pa.array(s, pa.binary())], names=["cls", "s"])
     _HASHES.clear()
     release()
 
 
+def links(base: np.ndarray, x: np.ndarray) -> bool:
+    """Whether 100 * intersection >= 75 * union, for sorted distinct tokens."""
+    at = np.minimum(base.searchsorted(x), len(base) - 1)
+    i = int((base[at] == x).sum())
+    return 100 * i >= 75 * (len(base) + len(x) - i)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs (a, b, na, nb, sa, sb) with 100 * intersection >= 75 * union. Tokens
-    are compared by 32 of their 64 bits: chance agreement of two differing tokens near
-    the threshold is one in 10^6 pairs or less."""
+    """Rows (a, salt, b, s) sorted by those: a set (b null), then its partners: the pairs that link."""
+    base, of = None, None
     for b in batches:
-        keep = []
-        for na, nb, x, y in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-            both = np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)])
-            both.sort()
-            i = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * i >= 75 * (na + nb - i))
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        out = []
+        for a, salt, other, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if other is None:
+                base, of = np.frombuffer(s, np.uint64), (a, salt)
+            elif of != (a, salt):
+                raise ValueError(f"no tokens of class {a}")
+            elif links(base, np.frombuffer(s, np.uint64)):
+                out.append((a, other))
+        yield _pair_batch(out)
+
+
+def _cross(every: bool):
+    """Rows (task, side, cls, comp, n, x) sorted by task: members of a hot key, one side
+    of a square against the other (or one against itself), by size and sketch: pairs of
+    different components that may link, all or the nearest of each two components."""
+    def close(rows: list[tuple]) -> list[tuple[int, int]]:
+        size = min(len(r[4]) for r in rows)
+        side, cls, comp, n = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
+        x = np.concatenate([fold(np.frombuffer(r[4], np.uint8)[None, :], size) for r in rows]).view(np.uint64)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        out = set()
+        for i in left:
+            js = right[(comp[right] != comp[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i]))]
+            if not len(js):
+                continue
+            d = np.bitwise_count(x[js] ^ x[i]).sum(axis=1, dtype=np.int64)
+            near = 7 * d <= n[js] + n[i]
+            for j, far in zip(js[near].tolist(), d[near].tolist(), strict=True):
+                a, b = sorted((int(cls[i]), int(cls[j])))
+                if every:
+                    out.add((a, b))
+                else:
+                    both = (min(int(comp[i]), int(comp[j])), max(int(comp[i]), int(comp[j])))
+                    best[both] = min(best.get(both, (far, a, b)), (far, a, b))
+        return sorted(out) if every else [(a, b) for _, a, b in best.values()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for b in batches:
+            for task, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if task != last:
+                    if len(held) > 1:
+                        yield _pair_batch(close(held))
+                    held, last = [], task
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield _pair_batch(close(held))
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of hot keys (key, cls, comp, weak, n, x), sorted by key: weak sets against
-    all members outside their component, by size and sketch, in blocks. A pair leaves a
-    task once, as long as it is remembered (a bounded number are)."""
-    seen: set[tuple[int, int]] = set()
+    return run
 
-    def close(rows: list[tuple]) -> np.ndarray:
-        cls, comp, weak, n = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
-        size = min(len(r[4]) for r in rows)
-        x = np.concatenate([fold(np.frombuffer(r[4], np.uint8)[None, :], size) for r in rows]).view(np.uint64)
-        out = [np.empty((0, 2), np.int64)]
-        values, counts = np.unique(comp, return_counts=True)
-        main = values[np.argmax(counts)]
-        # every cross pair has a member outside the largest component: walk those only
-        for i in np.flatnonzero(comp != main):
-            ok = (comp != comp[i]) & (weak | weak[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-            js = np.flatnonzero(ok)
-            js = js[7 * np.bitwise_count(x[js] ^ x[i]).sum(axis=1) <= n[js] + n[i]]
-            out.append(np.stack([np.full(len(js), cls[i]), cls[js]], axis=1))
-        pairs = {(int(min(a, b)), int(max(a, b))) for a, b in np.concatenate(out)} - seen
-        if len(seen) > 500_000:
-            seen.clear()
-        seen.update(pairs)
-        return np.array(sorted(pairs), np.int64).reshape(-1, 2)
 
-    held: list[tuple] = []
-    last = None
-    for b in batches:
-        for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if key != last:
-                if len({r[1] for r in held}) > 1:
-                    yield _pair_batch(close(held))
-                held, last = [], key
-            held.append(tuple(row))
-    if len({r[1] for r in held}) > 1:
-        yield _pair_batch(close(held))
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _squares(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (key, cls, comp, bytes) of the keys that hold several components, dealt to
+    square blocks: plus task, side. The largest component of a key is never compared
+    with itself, so its members travel once per block of the others."""
+    by_comp = keyed.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"))
+    of_key = by_comp.groupBy("key").agg(F.max(F.struct("k", "comp", "bytes")).alias("main"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes"), F.count("*").alias("comps")).where("comps > 1")
+    sides = lambda k, size: F.greatest(F.ceil(k / SIDE_ROWS), F.ceil(size / SIDE_BYTES), F.lit(1)).cast("int")
+    open_keys = scratch.write(of_key.select(
+        "key", F.col("main.comp").alias("main"), sides(F.col("main.k"), F.col("main.bytes")).alias("p_main"),
+        sides(F.col("k") - F.col("main.k"), F.col("bytes") - F.col("main.bytes")).alias("p_other"),
+    ))
+    rows = keyed.join(open_keys, "key").withColumn("is_main", F.col("comp") == F.col("main"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("cls"), F.when(F.col("is_main"), F.col("p_main")).otherwise(F.col("p_other"))).cast("int"))
+
+    def square(kind, p, q, side):
+        return F.struct(F.lit(kind).alias("kind"), p.alias("p"), q.alias("q"), side.alias("side"))
+
+    mine, zero, one = F.col("mine"), F.lit(0), F.lit(1)
+    main = F.transform(F.sequence(zero, F.col("p_other") - 1), lambda i: square(0, i, mine, one))
+    other = F.concat(
+        F.transform(F.sequence(zero, F.col("p_main") - 1), lambda j: square(0, mine, j, zero)),
+        F.transform(F.sequence(zero, F.col("p_other") - 1), lambda i: square(1, F.least(mine, i), F.greatest(mine, i), F.when(mine > i, one).otherwise(zero))),
+    )
+    rows = rows.withColumn("sq", F.explode(F.when(F.col("is_main"), main).otherwise(other)))
+    return rows.select(F.xxhash64("key", "sq.kind", "sq.p", "sq.q").alias("task"), F.col("sq.side").alias("side"), "cls", "comp")
 
 
-def _pair_batch(p: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(p[:, 0], pa.int64()), pa.array(p[:, 1], pa.int64())], names=["a", "b"])
+def _parts(docs: DataFrame) -> int:
+    """Parts of the key shuffle: the session's number, or what the texts' bytes ask for."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -376,57 +451,56 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     each. Extra columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = scratch.write(
-        slim.mapInArrow(_spread(parts), _ROW).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, _ROW)
-    )
-    rows = met.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("n").alias("n_shingles"), "m", "x")
+    parts = _parts(slim)
+    met = scratch.write(slim.mapInArrow(_spread(parts), _ROW).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, _ROW))
+    rows = met.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("n").alias("n_shingles"), "m", "k", "x")
     classes = scratch.write(
-        rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.max("m").alias("m"), F.first("x").alias("x"))
-        .withColumn("c", F.col("cls").bitwiseAND(0xFFFFFFFF))
+        rows.where("cls is not null").groupBy("cls")
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.max("m").alias("m"), F.max("k").alias("k"), F.first("x", ignorenulls=True).alias("x"))
     )
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("c").alias("c" + name), F.col("cls").alias(name), F.col("n").alias("n" + name), F.col("x").alias("x" + name))
+        return classes.select(F.col("cls").alias(name), F.col("n").alias("n" + name), F.col("x").alias("x" + name))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of class pairs (a, b), a < b, those that link."""
+        """Of class pairs (a, b), a < b, those that link. A set travels once per partner of
+        a smaller class, and once per PAIRS_A_COPY partners of larger ones."""
         pairs = scratch.write(pairs)
-        wanted = scratch.write(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(classes.select("cls", "rep"), "cls"))
+        wanted = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls"))
         ids = wanted.select("rep").distinct()
         ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
         texts = slim.join(ids, slim.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-        sets = scratch.write(texts.mapInArrow(_sets, "cls long, n int, s binary").dropDuplicates(["cls"]))
-        one = lambda k: sets.select(F.col("cls").alias(k), F.col("n").alias("n" + k), F.col("s").alias("s" + k))
-        out = scratch.write(pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_verify, "a long, b long"))
+        sets = scratch.write(texts.mapInArrow(_sets, "cls long, s binary").join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+        copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("copies"))
+        whole = copies.join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "s")
+        salted = pairs.join(copies, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b")
+        partners = salted.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "s")
+        out = scratch.write(whole.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(_verify, "a long, b long"))
         scratch.drop(pairs, wanted, sets)
         return out
 
-    packed = met.where(F.col("kind") == PAIRS).select("x").mapInArrow(_unpack(["ca", "cb"]), "ca long, cb long").where("ca <> cb").distinct()
-    sifted = packed.join(side("a"), "ca").join(side("b"), "cb").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_sift, "a long, b long")
-    links = verified(sifted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
-
-    # Weak sets: too few cold pieces for the pigeonhole to hold.
-    counts = met.where(F.col("kind") == COUNTS).select("x", "y").mapInArrow(_unpack(["c", "hot"]), "c long, hot long").groupBy("c").agg(F.sum("hot").alias("hot"))
-    weak = classes.join(counts, "c").where(F.col("m") - F.col("hot") < F.floor(F.col("n") / 3) + 1).select("cls", F.lit(True).alias("weak"))
-    state = scratch.write(
-        classes.select("cls", "c", "n", "x").join(weak, "cls", "left").join(comp.withColumnRenamed("id", "cls"), "cls", "left")
-        .select("cls", "c", F.coalesce("component", "cls").alias("comp"), F.coalesce("weak", F.lit(False)).alias("weak"), "n", "x")
-    )
-    if state.where("weak").limit(1).count():
-        members = met.where(F.col("kind") == MEMBERS).select("part", "x", "y").mapInArrow(_unpack(["part", "key", "c"]), "key long, c long").distinct()
-        tagged = members.join(state.select("c", "comp", "weak"), "c")
-        open_keys = scratch.write(tagged.groupBy("key").agg(F.max("weak").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("w and lo <> hi"))
-        # Keys of one component go together, in as many tasks as its rows fill, so that a pair meets few times.
-        tasks = open_keys.groupBy("lo").agg(F.ceil(F.sum("k") / TASK_MEMBERS).alias("tasks"))
-        placed = open_keys.join(tasks, "lo").select("key", F.xxhash64("lo", F.pmod(F.xxhash64("key"), F.col("tasks"))).alias("task"))
-        rows_open = members.join(placed, "key").join(state, "c").select("key", "cls", "comp", "weak", "n", "x", "task")
-        more = verified(rows_open.repartition(parts, "task").sortWithinPartitions("task", "key").drop("task").mapInArrow(_cross, "a long, b long").distinct())
-        extra = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if extra.limit(1).count():
-            comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(extra), scratch)
+    packed = met.where(F.col("kind") == PAIRS).select("x").mapInArrow(_unpack_pairs, "a long, b long").distinct()
+    linked = verified(packed.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_sift, "a long, b long"))
+    comp = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+
+    # Weak sets: too few cold pieces, in a band's scheme, for the pigeonhole to hold.
+    counts = met.where(F.col("kind") == COUNTS).select("w", "x", "y").mapInArrow(_unpack_counts, "cls long, own int, below int").groupBy("cls").agg(F.sum("own").alias("own"), F.sum("below").alias("below"))
+    weak = classes.join(counts, "cls").select(
+        "cls", F.octet_length("x").alias("bytes"), (F.col("m") - F.col("own") <= F.floor(F.col("n") / 3)).alias("in_own"),
+        ((F.col("k") > 0) & (F.col("k") - F.col("below") <= F.floor(2 * F.col("n") / 7))).alias("in_below"),
+    ).where("in_own or in_below")
+    members = met.where(F.col("kind") == MEMBERS).select("part", "n", "w", "x").mapInArrow(_unpack_members, "key long, cls long, own boolean").distinct()
+    weak = scratch.write(weak)
+    if weak.limit(1).count():
+        members = scratch.write(members.join(weak, "cls").where(F.when(F.col("own"), F.col("in_own")).otherwise(F.col("in_below"))).select("key", "cls", "bytes"))
+        for every in (False, True):
+            keyed = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"), "bytes")
+            blocks = _squares(keyed, scratch).join(classes.select("cls", "n", "x"), "cls").select("task", "side", "cls", "comp", "n", "x")
+            found = blocks.repartition("task").sortWithinPartitions("task").mapInArrow(_cross(every), "a long, b long").distinct()
+            more = verified(found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_sift, "a long, b long"))
+            if more.limit(1).count():
+                comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch)
     labelled = classes.select("cls", "rep").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = scratch.write(labelled.join(least, "component").select("cls", "component_id"))

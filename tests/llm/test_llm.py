@@ -288,6 +288,40 @@ def test_small_sets_at_the_threshold_all_link(spark):
     assert got == {i: i - i % 2 for i in range(1200)}
 
 
+def test_long_sets_at_the_threshold_all_link(spark):
+    """Pairs at exactly 3/4 of 20,000 tokens: in the comparison, and through the whole join."""
+    rng = np.random.default_rng(12)
+    for _ in range(1000):
+        whole = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) << np.uint64(1))
+        whole = whole[: len(whole) // 4 * 4]
+        part = np.sort(rng.permutation(whole)[: len(whole) * 3 // 4])
+        assert parity_join.links(whole, part) and parity_join.links(part, whole) and not parity_join.links(whole, part[1:])
+    rows = []
+    for i in range(20):
+        words = [f"w{i}x{j}" for j in range(20_000)]  # 19,996 shingles
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(words[: 14_997 + 4])), (3 * i + 2, " ".join(["other", *words[: 14_996 + 4]]))]
+    got = {r.doc_id: r.component_id for r in parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[3 * i] == got[3 * i + 1] == 3 * i for i in range(20))
+
+
+@pytest.mark.parametrize("rows_a_side", [3, 8192])
+def test_weak_sets_in_blocks_against_brute_force(spark, monkeypatch, rows_a_side):
+    """Texts that are mostly passages many share: their pieces are hot, stars link them to
+    one centre only, and the rest is found in square blocks of any size."""
+    monkeypatch.setattr(parity_join, "SIDE_ROWS", rows_a_side)
+    draw, rows = random.Random(21), []
+    passages = [[f"p{k}x{j}" for j in range(90)] for k in range(3)]
+    for i in range(240):
+        t = list(draw.choice(passages))
+        own = [f"d{i if draw.random() < 0.5 else i // 8}x{j}" for j in range(draw.choice((6, 14, 24, 40)))]
+        for _ in range(draw.randrange(3)):
+            t[draw.randrange(len(t))] = f"e{draw.randrange(40)}"
+        rows.append((i, " ".join(t + own)))
+    got = {r.doc_id: r.component_id for r in parity_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert got == brute_components(sets, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(60):
