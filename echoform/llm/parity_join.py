@@ -494,13 +494,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     weak = scratch.write(weak)
     if weak.limit(1).count():
         members = scratch.write(members.join(weak, "cls").where(F.when(F.col("own"), F.col("in_own")).otherwise(F.col("in_below"))).select("key", "cls", "bytes"))
+        open_to = None
         for every in (False, True):
             keyed = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"), "bytes")
+            keyed = keyed if open_to is None else keyed.join(open_to, "comp", "left_semi")
             blocks = _squares(keyed, scratch).join(classes.select("cls", "n", "x"), "cls").select("task", "side", "cls", "comp", "n", "x")
-            found = blocks.repartition("task").sortWithinPartitions("task").mapInArrow(_cross(every), "a long, b long").distinct()
+            found = scratch.write(blocks.repartition("task").sortWithinPartitions("task").mapInArrow(_cross(every), "a long, b long").distinct())
             more = verified(found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_sift, "a long, b long"))
             if more.limit(1).count():
                 comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch)
+            # Components whose nearest members link are one by now; others are open to all their pairs.
+            failed = found.join(more, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left")
+            open_to = scratch.write(failed.select(F.coalesce("component", "id").alias("comp")).distinct())
+            if not open_to.limit(1).count():
+                break
     labelled = classes.select("cls", "rep").join(comp.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = scratch.write(labelled.join(least, "component").select("cls", "component_id"))
