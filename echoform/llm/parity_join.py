@@ -35,7 +35,7 @@ WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS = 5, 16, 64, 800_000, 200_000
 #: Bytes of texts a part of the key shuffle stands for; its keys take about twice that.
 PART_BYTES = 48 << 20
 #: A side of a square block of weak members: bytes of sketches and rows; pairs compared with one copy of a set.
-SIDE_BYTES, SIDE_ROWS, PAIRS_A_COPY = 4 << 20, 8192, 2000
+SIDE_BYTES, SIDE_ROWS, PAIRS_A_COPY = 4 << 20, 8192, 128
 #: Bands from so many tokens down have a piece per token: few tokens could share pieces by chance.
 SINGLE = 32
 #: Lists of ids up to so many rows (8 bytes each) are broadcast; longer ones are shuffled.
