@@ -1,247 +1,350 @@
 """Embedding near-duplicates by NN-descent.
 
-Equal vectors of a label are one class. A first neighbour graph comes from blocks of a
-few random sign-and-projection orders. It is then refined by neighbours-of-neighbours
-joins: the neighbours of a vector, and those it is a neighbour of, are compared with
-each other, and better ones enter their lists. Lists full of links are saturated: they
-are enlarged to all the vectors that links reach, compared in square blocks, of which
-only counts and a spanning forest leave. What a full list leaves out links two vectors
-with full lists; so those are gathered in cells around leaders, and the members of cells
-of different components are compared wherever the cells' radii let them link. Recall is
-audited on a sample of vectors drawn whatever was found for them, those with few links
-apart from those with many; orders are doubled while it is short, until blocks would
-cost as much as comparing everything, which is then done.
+Equal vectors of a label are one class. Each class has a code, the signs of CODE random
+projections, whose Hamming distance tells the angle; codes, not vectors, travel. A first
+neighbour graph comes from blocks of a few random orders of the codes. It is refined by
+neighbours-of-neighbours joins: the neighbours of a vector, and those it is a neighbour
+of, are compared with each other, and nearer ones enter their lists, until no near ones
+do. Edges near the threshold are decided on the vectors themselves, in doubles.
+
+A list full of near neighbours is saturated: it may hide links to other vectors with
+saturated lists. Those lists are enlarged without bound, by cells: saturated vectors are
+gathered around centres, so closely that most cells, and pairs of cells, link as a whole
+and are only counted; the members of the others are compared. Recall is audited against
+all vectors on a sample drawn whatever was found for it, vectors of few links apart from
+those of many; orders are doubled while it is short, until blocks would cost as much as
+comparing everything, which is then done.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoform.llm.common import Scratch, components, forest
 
-THRESHOLD, NEIGHBOURS, REVERSE, BLOCK, SQUARE, ORDERS, ROUNDS = 0.98, 8, 6, 768, 512, 3, 3
-#: Neighbours less alike than this do not enter lists in the joins; float32 slack of the graph's similarities.
-FLOOR, SLACK = 0.5, 1e-5
+THRESHOLD, NEIGHBOURS, REVERSE, BLOCK, ORDERS, ROUNDS = 0.98, 8, 6, 256, 3, 6
+#: Bits of a code (whole 64-bit words); bits of it that an order sorts by.
+CODE, ORDER_BITS = 256, 62
+ANGLE = float(np.arccos(THRESHOLD))
+#: Expected differing bits at the threshold and five deviations more: all that may link;
+#: neighbours at more than 60 degrees do not enter lists.
+NEAR = int(np.ceil(CODE * ANGLE / np.pi + 5 * np.sqrt(CODE * ANGLE / np.pi * (1 - ANGLE / np.pi))))
+FLOOR, FAR = CODE // 3 + 4, CODE + 1
 #: Classes audited, and more of them while fewer than AUDIT_FEW have few links.
 AUDIT, AUDIT_MOST, AUDIT_FEW, RECALL = 4096, 16384, 128, 0.97
-#: Cells compared in one task, a side; radians of slack of angles from float32 cosines.
-CELLS, ANGLE_SLACK = 2048, 0.01
+#: Vectors of a component that a task deals to cells; cells, and vectors, a side of a square; radians of slack of angles.
+PART, CELLS, SQUARE, SLACK = 2048, 2048, 512, 1e-4
 
 
-def _ingest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, embedding) -> (vec_id, u, g, x): class, group (label and length), raw doubles; nulls where invalid."""
-    for b in batches:
-        us, gs, xs = [], [], []
-        for label, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            x = None if label is None or not e or any(v is None for v in e) else np.array(e, np.float64)
-            if x is not None and np.isfinite(x).all() and x.any():
-                g = xxhash.xxh64_intdigest(f"{label}/{len(x)}") >> 1
-                raw = (x + 0.0).tobytes()
-                us.append(xxhash.xxh64_intdigest(raw, seed=g & 0xFFFFFFFF) >> 1), gs.append(g), xs.append(raw)
-            else:
-                us.append(None), gs.append(None), xs.append(None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(us, pa.int64()), pa.array(gs, pa.int64()), pa.array(xs, pa.binary())], names=["vec_id", "u", "g", "x"])
-
-
-def unit(raws: list[bytes], kind=np.float64) -> np.ndarray:
-    """Rows scaled to length one; scaled by the largest part first, so that none overflows."""
-    x = np.stack([np.frombuffer(r, np.float64) for r in raws])
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(kind)
-
-
-def _orders(seeds: list[int], bits: int):
-    """Adds each vector's place in every order: sign bits of random directions, then a projection."""
+def _rows(columns: list, names: str, kinds: str) -> pa.RecordBatch:
+    """A batch of columns; kinds: a letter each: l(ong), i(nt), b(oolean), d(ouble), x (binary)."""
+    types = {"l": pa.int64(), "i": pa.int32(), "b": pa.bool_(), "d": pa.float64(), "x": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], names=names.split())
+
+
+def _ingest(raw: str):
+    """(vec_id, label, embedding) -> (vec_id, u, g, x): class, group (label and length), raw parts; nulls where invalid."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict = {}
+        for b in batches:
+            us, gs, xs = ([None] * b.num_rows for _ in range(3))
+            lists, groups = b.column(2), {}
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(raw) + np.dtype(raw).type(0)  # null parts are nan; -0 is 0
+            starts, known = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+            for i, label in enumerate(b.column(1).to_pylist()):
+                x = flat[starts[i] : starts[i + 1]]
+                if label is None or not known[i] or not len(x) or not np.isfinite(x).all() or not x.any():
+                    continue
+                if (g := groups.get((label, len(x)))) is None:
+                    groups[label, len(x)] = g = xxhash.xxh64_intdigest(f"{label}/{len(x)}") >> 1
+                xs[i], gs[i] = x.tobytes(), g
+                us[i] = xxhash.xxh64_intdigest(xs[i], seed=g & 0xFFFFFFFF) >> 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(us, pa.int64()), pa.array(gs, pa.int64()), pa.array(xs, pa.binary())], names=["vec_id", "u", "g", "x"])
+
+    return run
+
+
+def unit(raws: list[bytes], raw: str) -> np.ndarray:
+    """Rows as doubles of length one; scaled by the largest part first, so that none overflows."""
+    x = np.frombuffer(b"".join(raws), raw).reshape(len(raws), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x
+
+
+def _encode(raw: str):
+    """Adds the code to rows (u, g, x, n, rep)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
         for b in batches:
             raws = b.column(2).to_pylist()
-            rows: list = [None] * len(raws)
-            for n in {len(r) for r in raws}:
-                at = [i for i, r in enumerate(raws) if len(r) == n]
-                x = np.stack([np.frombuffer(raws[i], np.float32) for i in at])
-                for s in seeds:
-                    if (n, s) not in planes:
-                        planes[n, s] = np.random.default_rng([s, n]).standard_normal((n // 4, bits + 1))
-                    z = x @ planes[n, s]
-                    code = ((z[:, :bits] > 0) @ (1 << np.arange(bits)[::-1])).astype(np.int64)
-                    for i, c, p in zip(at, code, z[:, bits], strict=True):
-                        rows[i] = [*(rows[i] or []), (s, int(c), float(p))]
-            keep = [i for i, r in enumerate(rows) for _ in r]
-            flat = [t for r in rows for t in r]
-            cols = list(zip(*flat, strict=True)) or [()] * 3
-            pick = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), b.column(2).take(pick), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["u", "g", "x32", "o", "code", "p"])
+            sizes, codes = np.array([len(r) for r in raws]), np.empty((len(raws), CODE // 8), np.uint8)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                x = unit([raws[i] for i in at], raw)
+                if n not in planes:
+                    planes[n] = np.random.default_rng([7, x.shape[1]]).standard_normal((x.shape[1], CODE))
+                codes[at] = np.packbits(x @ planes[n] > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["u", "g", "x", "n", "rep", "code"])
 
     return run
 
 
-def _edges(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], names=["u", "v", "sim"])
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, CODE // 64)
+
+
+def _orders(seeds: list[int]):
+    """(u, g, code) -> each vector's place in every order: some of its code's bits, shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picks = [np.random.default_rng([8, s]).permutation(CODE)[:ORDER_BITS] for s in seeds]
+        for b in batches:
+            bits = np.unpackbits(_codes(b.column(2)).view(np.uint8), axis=1)
+            for s, pick in zip(seeds, picks, strict=True):
+                key = (bits[:, pick].astype(np.int64) << np.arange(ORDER_BITS)[::-1]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, s), pa.int32()), b.column(1), pa.array(key, pa.int64()), b.column(0), b.column(2)], names=["o", "g", "key", "u", "code"])
+
+    return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by order, group and place: the best neighbours inside runs of BLOCK rows."""
-    def best(us: list, raws: list) -> Iterator[pa.RecordBatch]:
-        if len(us) < 2:
+    """Rows (o, g, u, code) sorted by order, group and place: the nearest inside runs of BLOCK rows."""
+    def nearest(ids: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(ids) < 2:
             return
-        x, ids = np.stack([np.frombuffer(r, np.float32) for r in raws]), np.array(us)
-        s = x @ x.T
-        np.fill_diagonal(s, -2)
-        k = min(NEIGHBOURS, len(us) - 1)
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        yield _edges(np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel())
-
-    us, raws, last = [], [], None
+        d = np.bitwise_count(codes[:, None, :] ^ codes[None, :, :]).sum(axis=2, dtype=np.int32)
+        np.fill_diagonal(d, FAR)
+        k = min(NEIGHBOURS, len(ids) - 1)
+        ties = np.random.default_rng(len(ids)).random(d.shape, np.float32)  # else the first rows of a clump are in all its lists
+        top = np.argpartition(d + ties, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(d, top, 1)
+        i, j = np.nonzero(near <= FLOOR)
+        yield _rows([ids[i], ids[top[i, j]], near[i, j]], "u v d", "lli")
+
+    ids, codes, last = np.empty(0, np.int64), np.empty((0, CODE // 64), np.uint64), None
     for b in batches:
-        for u, g, x, o in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if (o, g) != last or len(us) >= BLOCK:
-                yield from best(us, raws)
-                us, raws, last = [], [], (o, g)
-            us.append(u), raws.append(x)
-    yield from best(us, raws)
+        o, g, u = (b.column(i).to_numpy() for i in range(3))
+        c, start = _codes(b.column(3)), 0
+        cuts = np.flatnonzero((o[1:] != o[:-1]) | (g[1:] != g[:-1])) + 1
+        for stop in [*cuts.tolist(), len(u)]:
+            if start == stop:
+                continue
+            if (o[start], g[start]) != last:
+                yield from nearest(ids, codes)
+                ids, codes, last = ids[:0], codes[:0], (o[start], g[start])
+            ids, codes, start = np.concatenate([ids, u[start:stop]]), np.concatenate([codes, c[start:stop]]), stop
+            while len(ids) >= BLOCK:
+                yield from nearest(ids[:BLOCK], codes[:BLOCK])
+                ids, codes = ids[BLOCK:], codes[BLOCK:]
+    yield from nearest(ids, codes)
+
+
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each vector's edges (u, v, d, new), ties by a hash; an edge known before is not new."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u, v, d, new = (np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+            first = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]
+            u, v, d, new = u[first], v[first], d[first], new[first]
+            starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+            place = np.arange(len(u)) - np.repeat(starts, np.diff(np.r_[starts, len(u)]))
+            done, rest = (place < k) & (u != u[-1]), (place < k) & (u == u[-1])
+            held = [c[rest] for c in (u, v, d, new)]  # its run may go on
+            yield _rows([c[done] for c in (u, v, d, new)], "u v d new", "llib")
+        yield _rows(held, "u v d new", "llib")
+
+    return edges.select("u", "v", "d", "new").repartition("u").sortWithinPartitions("u", "d", F.xxhash64("u", "v"), "v", "new").mapInArrow(run, "u long, v long, d int, new boolean")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column, cut so that no value of it lies in two batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first = b.column(0).to_numpy()
+        cut = int(np.searchsorted(first, first[-1]))
+        if cut:
+            yield pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (u, v, new, kth, x32) sorted by u: members of one neighbourhood against each other."""
-    def local(vs: list, new: list, kth: list, xs: list) -> tuple:
-        ids, fresh, low = np.array(vs), np.array(new), np.array(kth)
-        x = np.stack([np.frombuffer(r, np.float32) for r in xs])
-        s = x @ x.T
-        ok = (s > np.maximum(low, FLOOR)[:, None]) & (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :])
-        i, j = np.nonzero(ok)
-        return ids[i], ids[j], s[i, j]
-
-    held: list[list] = [[], [], [], []]
-    last, out = None, []
-    for b in batches:
-        for u, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if u != last:
-                if len(held[0]) > 1 and any(held[1]):
-                    out.append(local(*held))
-                held, last = [[], [], [], []], u
-                if len(out) > 2000:
-                    yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
-                    out = []
-            for h, x in zip(held, row, strict=True):
-                h.append(x)
-    if len(held[0]) > 1 and any(held[1]):
-        out.append(local(*held))
-    if out:
-        yield _edges(*(np.concatenate(c) for c in zip(*out, strict=True)))
-
-
-def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, side, u, n, x) sorted by key: exact links between the two sides of a
-    square (or within one): (u, v, links): per member the rows it links with, and a
-    forest of the links themselves with links null."""
-    def links(rows: list[tuple]) -> pa.RecordBatch | None:
-        side = np.array([r[0] for r in rows])
-        u, n, x = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), unit([r[3] for r in rows])
-        a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(u)),) * 2
-        if not len(a) or not len(b):
-            return None
-        hit = (x[a] @ x[b].T >= THRESHOLD) & (u[a][:, None] != u[b][None, :])
-        i, j = np.nonzero(hit)
-        if not len(i):
-            return None
-        tree = forest(np.stack([u[a][i], u[b][j]], axis=1))
-        ids = np.concatenate([u[a], u[b]]) if side.any() else u
-        many = np.concatenate([hit @ n[b], hit.T @ n[a]]) if side.any() else hit @ n
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[ids, tree[:, 0]], pa.int64()), pa.array([*[None] * len(ids), *tree[:, 1].tolist()], pa.int64()), pa.array([*many.tolist(), *[None] * len(tree)], pa.int64())],
-            names=["u", "v", "links"],
-        )
-
-    held: list[tuple] = []
-    last = None
-    for b in batches:
-        for key, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            if key != last:
-                if len(held) > 1 and (out := links(held)):
-                    yield out
-                held, last = [], key
-            held.append(tuple(row))
-    if len(held) > 1 and (out := links(held)):
-        yield out
+    """Rows (u, v, new, kth, code) sorted by u, few a value: members of one neighbourhood
+    against each other; pairs of which one is new and that are nearer than the other's kth."""
+    for b in _runs(batches):
+        u, v, new, kth = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        codes = _codes(b.column(4))
+        at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        n = np.diff(np.r_[at, len(u)])
+        live = (n > 1) & np.logical_or.reduceat(new, at)
+        at, n = at[live], n[live]
+        for lo in range(0, len(at), 1000):
+            a, m = at[lo : lo + 1000], n[lo : lo + 1000]
+            place = np.arange(m.max())
+            mask = place < m[:, None]
+            idx = np.where(mask, a[:, None] + place, a[:, None])
+            c, ids, fresh = codes[idx], v[idx], new[idx]
+            d = np.bitwise_count(c[:, :, None, :] ^ c[:, None, :, :]).sum(axis=3, dtype=np.int32)
+            ok = mask[:, :, None] & mask[:, None, :] & (fresh[:, :, None] | fresh[:, None, :]) & (ids[:, :, None] != ids[:, None, :])
+            ok &= (d < kth[idx][:, :, None]) & (d <= FLOOR)
+            s, i, j = np.nonzero(ok)
+            yield _rows([ids[s, i], ids[s, j], d[s, i, j]], "u v d", "lli")
+
+
+def _first_orders(largest: int) -> int:
+    """Orders to begin with: blocks miss more of the links the more of them a group has."""
+    return max(ORDERS, int(np.log2(max(largest, 1) / BLOCK + 1) / 2))
+
+
+def _first_graph(nodes: DataFrame, seeds: list[int]) -> DataFrame:
+    placed = nodes.select("u", "g", "code").mapInArrow(_orders(seeds), "o int, g long, key long, u long, code binary")
+    by = ["o", "g", "key", "u"]
+    return placed.repartitionByRange(*by).sortWithinPartitions(*by).select("o", "g", "u", "code").mapInArrow(_blocks, "u long, v long, d int")
+
+
+def _refine(scratch: Scratch, nodes: DataFrame, graph: DataFrame) -> tuple[DataFrame, int]:
+    """One neighbours-of-neighbours join; the new graph and how many near edges are new in it."""
+    back = _best(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d", "new"), REVERSE)
+    kth = graph.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.max("d")).otherwise(FAR).alias("kth")).withColumnRenamed("u", "v")
+    small = nodes.select(F.col("u").alias("v"), "code").join(kth, "v", "left").select("v", F.coalesce("kth", F.lit(FAR)).alias("kth"), "code")
+    rows = graph.select("u", "v", "new").unionByName(back.select("u", "v", "new")).join(small, "v").select("u", "v", "new", "kth", "code")
+    found = rows.repartition("u").sortWithinPartitions("u").mapInArrow(_join, "u long, v long, d int")
+    merged = scratch.write(_best(graph.select("u", "v", "d", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True))), NEIGHBOURS))
+    return merged, merged.where(F.col("new") & (F.col("d") <= NEAR)).count()
+
+
+def _exact_edges(nodes: DataFrame, pairs: DataFrame, raw: str) -> DataFrame:
+    """Of pairs (a, b) of classes of one group, those that link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
+            keep, sizes = np.zeros(b.num_rows, bool), np.array([len(x) for x in xs])
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                keep[at] = (unit([xs[i] for i in at], raw) * unit([ys[i] for i in at], raw)).sum(axis=1) >= THRESHOLD
+            yield b.select([0, 1]).filter(pa.array(keep))
 
+    one = lambda k: nodes.select(F.col("u").alias(k), F.col("x").alias("x" + k))
+    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k best of each vector's edges (u, v, sim, new); an edge known before is not new."""
-    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
 
+def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows sorted by their first column: the other columns of each run of equal ones."""
+    for b in _runs(batches):
+        key = b.column(0).to_numpy()
+        rows = list(zip(*(b.column(i).to_pylist() for i in range(1, b.num_columns)), strict=True))
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(rows)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield rows[lo:hi]
+
+
+def _links(ua: np.ndarray, na: np.ndarray, xa: np.ndarray, ub: np.ndarray, nb: np.ndarray, xb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact links between two sides: rows linked with each of a, with each of b, and a forest."""
+    many_a, many_b, tree = np.zeros(len(ua), np.int64), np.zeros(len(ub), np.int64), np.empty((0, 2), np.int64)
+    for k in range(0, len(ua), SQUARE):
+        p = slice(k, k + SQUARE)
+        hit = (xa[p] @ xb.T >= THRESHOLD) & (ua[p][:, None] != ub[None, :])
+        many_a[p] = hit @ nb
+        many_b += hit.T @ na[p]
+        i, j = np.nonzero(hit)
+        tree = forest(np.concatenate([tree, np.stack([ua[p][i], ub[j]], axis=1)]))
+    return many_a, many_b, tree
 
-def _first_graph(nodes: DataFrame, seeds: list[int], bits: int) -> DataFrame:
-    placed = nodes.select("u", "g", "x32").mapInArrow(_orders(seeds, bits), "u long, g long, x32 binary, o int, code long, p double")
-    return placed.repartitionByRange("o", "g", "code", "p").sortWithinPartitions("o", "g", "code", "p").mapInArrow(_blocks, "u long, v long, sim double")
 
+def _squares(raw: str):
+    """Rows (key, side, u, n, x) sorted by key: exact links between the two sides of a
+    square (or within one): (u, v, links): per member the rows it links with, and a
+    forest of the links themselves with links null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _sorted_runs(batches):
+            side, u, n = (np.array(c) for c in list(zip(*rows, strict=True))[:3])
+            x = unit([r[3] for r in rows], raw)
+            a = side == 0
+            b = ~a if side.any() else a
+            many_a, many_b, tree = _links(u[a], n[a], x[a], u[b], n[b], x[b])
+            ids, many = (np.r_[u[a], u[b]], np.r_[many_a, many_b]) if side.any() else (u, many_a)
+            yield _rows([np.r_[ids, tree[:, 0]], [*[None] * len(ids), *tree[:, 1].tolist()], [*many.tolist(), *[None] * len(tree)]], "u v links", "lll")
 
-def _refine(scratch: Scratch, nodes: DataFrame, graph: DataFrame) -> tuple[DataFrame, int]:
-    """One neighbours-of-neighbours join; the new graph and how many links are new in it."""
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "new", "sim").withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("new"), F.desc("sim"), "v")))
-    members = graph.select("u", "v", "new").unionByName(back.where(F.col("r") <= REVERSE).select("u", "v", "new")).groupBy("u", "v").agg(F.max("new").alias("new"))
-    live = members.groupBy("u").agg(F.max("new").alias("any")).where("any").select("u")
-    kth = graph.groupBy("u").agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(-2.0).alias("kth"))
-    small = nodes.join(kth, "u", "left").select(F.col("u").alias("v"), F.coalesce("kth", F.lit(-2.0)).alias("kth"), "x32")
-    rows = members.join(live, "u", "left_semi").join(small, "v").select("u", "v", "new", "kth", "x32")
-    found = rows.repartition("u").sortWithinPartitions("u").mapInArrow(_join, "u long, v long, sim double")
-    merged = scratch.write(_top(graph.select("u", "v", "sim", F.lit(False).alias("new")).unionByName(found.withColumn("new", F.lit(True))), NEIGHBOURS).drop("r"))
-    return merged, merged.where(F.col("new") & (F.col("sim") >= THRESHOLD - SLACK)).count()
+    return run
 
 
-def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows sorted by their first column: the other columns of each run of equal ones."""
-    held: list[tuple] = []
-    last = None
-    for b in batches:
-        for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if key != last:
-                if held:
-                    yield held
-                held, last = [], key
-            held.append(tuple(row))
-    if held:
-        yield held
+MEMBER, CELL, EDGE, COUNT, OPEN = range(5)
+_CELL = "kind int, a long, b long, m long, r double, z binary"
+_CELL_NAMES, _CELL_KINDS = "kind a b m r z", "illldx"
+
 
+def _cells(raw: str):
+    """Rows (key, u, g, n, x) sorted by key: vectors gathered around centres, half the
+    threshold's angle wide. MEMBER: vector, cell, rows of its cell it links with; CELL:
+    cell, group, its rows, radius, centre; EDGE: a forest of the links inside cells."""
+    half = np.cos(ANGLE / 2 - SLACK)
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, u, x32) sorted by key: (u, cell, angle): every vector's leader, one it links with."""
-    for run in _sorted_runs(batches):
-        ids, x = np.array([r[0] for r in run]), np.stack([np.frombuffer(r[1], np.float32) for r in run])
-        lead, cos, free = np.zeros(len(ids), np.int64), np.ones(len(ids)), np.ones(len(ids), bool)
-        while free.any():
-            i = int(np.argmax(free))
-            s = x @ x[i]
-            s[i] = 1
-            mine = free & (s >= THRESHOLD - SLACK)
-            lead[mine], cos[mine], free[mine] = ids[i], s[mine], False
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lead, pa.int64()), pa.array(np.arccos(np.clip(cos, -1, 1)), pa.float64())], names=["u", "cell", "angle"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _sorted_runs(batches):
+            rows.sort()
+            u, g, n = (np.array(c) for c in list(zip(*rows, strict=True))[:3])
+            x, free = unit([r[3] for r in rows], raw), np.ones(len(rows), bool)
+            while free.any():
+                i = int(np.argmax(free))
+                centre, mine = x[i], free & (x @ x[i] >= half)
+                for _ in range(2):  # move to the middle of what is near
+                    middle = x[mine].sum(axis=0)
+                    middle /= np.sqrt(middle @ middle)
+                    near = free & (x @ middle >= half)
+                    if near[i] and near.sum() >= mine.sum():
+                        centre, mine = middle, near
+                mine[i] = True
+                at = np.flatnonzero(mine)
+                r = float(np.arccos(np.clip(x[at] @ centre, -1, 1)).max())
+                free &= ~mine
+                if 2 * r + SLACK <= ANGLE:
+                    many, tree = n[at].sum() - n[at], np.stack([u[at[1:]], np.full(len(at) - 1, u[at[0]])], axis=1)
+                else:
+                    many, _, tree = _links(u[at], n[at], x[at], u[at], n[at], x[at])
+                k = len(at)
+                yield _rows([
+                    [MEMBER] * k + [EDGE] * len(tree) + [CELL], [*u[at].tolist(), *tree[:, 0].tolist(), int(u[i])], [*[int(u[i])] * k, *tree[:, 1].tolist(), int(g[i])],
+                    [*many.tolist(), *[None] * len(tree), int(n[at].sum())], [*[None] * (k + len(tree)), r], [*[None] * (k + len(tree)), centre.tobytes()],
+                ], _CELL_NAMES, _CELL_KINDS)
+
+    return run
 
 
 def _near_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, side, cell, c, r, x32) sorted by key: pairs (a, b) of cells of different
-    components, between the two sides of a square or within one, whose members may link."""
-    reach = np.arccos(THRESHOLD) + ANGLE_SLACK
-    for run in _sorted_runs(batches):
-        side, ids, comp, r = (np.array(c) for c in zip(*(t[:4] for t in run), strict=True))
-        x = np.stack([np.frombuffer(t[4], np.float32) for t in run])
-        a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
+    """Rows (key, side, cell, m, r, z) sorted by key: cells of one group, one side of a
+    square against the other or one against itself. COUNT: cell, rows of the cells that
+    link with it as a whole; EDGE: a forest of those; OPEN: two cells to be compared."""
+    for rows in _sorted_runs(batches):
+        side, ids, m, r = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
+        x = np.stack([np.frombuffer(t[4], np.float64) for t in rows])
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if side.any() else a
+        many, tree = np.zeros(len(ids), np.int64), np.empty((0, 2), np.int64)
         for k in range(0, len(a), 256):
             p = a[k : k + 256]
-            near = x[p] @ x[b].T >= np.cos(np.minimum(reach + r[p][:, None] + r[b][None, :], np.pi))
-            near &= comp[p][:, None] != comp[b][None, :]
-            if not side.any():
-                near &= ids[p][:, None] < ids[b][None, :]
-            i, j = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p][i], pa.int64()), pa.array(ids[b][j], pa.int64())], names=["a", "b"])
+            angle, wide = np.arccos(np.clip(x[p] @ x[b].T, -1, 1)), r[p][:, None] + r[b][None, :]
+            once = np.ones(angle.shape, bool) if side.any() else ids[p][:, None] < ids[b][None, :]
+            whole = once & (angle + wide + SLACK <= ANGLE)
+            many[p] += whole @ m[b]
+            np.add.at(many, b, whole.T @ m[p])
+            i, j = np.nonzero(whole)
+            tree = forest(np.concatenate([tree, np.stack([ids[p][i], ids[b][j]], axis=1)]))
+            i, j = np.nonzero(once & ~whole & (angle - wide - SLACK <= ANGLE))
+            yield _rows([np.full(len(i), OPEN), ids[p][i], ids[b][j], [None] * len(i)], "kind a b m", "illl")
+        at = np.flatnonzero(many)
+        yield _rows([[COUNT] * len(at) + [EDGE] * len(tree), np.r_[ids[at], tree[:, 0]], [*[None] * len(at), *tree[:, 1].tolist()], [*many[at].tolist(), *[None] * len(tree)]], "kind a b m", "illl")
 
 
 def _squared(rows: DataFrame, by: str, size: int) -> DataFrame:
@@ -252,72 +355,82 @@ def _squared(rows: DataFrame, by: str, size: int) -> DataFrame:
     return other.withColumn("key", F.xxhash64(by, F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("side", F.when(F.col("mine") > F.col("other"), 1).otherwise(0))
 
 
-def _compared(scratch: Scratch, rows: DataFrame) -> DataFrame:
-    return scratch.write(rows.select("key", "side", "u", "n", "x").repartition("key").sortWithinPartitions("key").mapInArrow(_squares, "u long, v long, links long"))
-
-
-def _bridges(scratch: Scratch, nodes: DataFrame, graph: DataFrame, full: DataFrame) -> DataFrame:
-    """Exact links (u, v) between components (u, c), enough to join those that link: a
-    link in no list has a full list of links at either end, and only such ends are compared."""
-    ends = graph.groupBy("u").agg(F.count("*").alias("k"), F.min("sim").alias("kth")).where((F.col("k") >= NEIGHBOURS) & (F.col("kth") >= THRESHOLD - SLACK))
-    ends = full.join(ends.select("u"), "u", "left_semi").join(nodes.select("u", "g", "x32"), "u")
-    parts = ends.groupBy("c").agg(F.ceil(F.count("*") / SQUARE).alias("parts"))
-    keyed = ends.join(parts, "c").select(F.xxhash64("c", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("key"), "u", "x32")
-    member = scratch.write(keyed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(_cells, "u long, cell long, angle double"))
-    cells = member.groupBy("cell").agg(F.max("angle").alias("r")).withColumnRenamed("cell", "u").join(full, "u").join(nodes.select("u", "g", "x32"), "u")
-    pairs = _squared(cells, "g", CELLS).select("key", "side", F.col("u").alias("cell"), "c", "r", "x32").repartition("key").sortWithinPartitions("key").mapInArrow(_near_cells, "a long, b long")
-    pairs = scratch.write(pairs)
-    sides = pairs.select(F.xxhash64("a", "b").alias("key"), F.lit(0).alias("side"), F.col("a").alias("cell")).unionByName(pairs.select(F.xxhash64("a", "b").alias("key"), F.lit(1).alias("side"), F.col("b").alias("cell")))
-    found = _compared(scratch, sides.join(member, "cell").join(nodes.select("u", "n", "x"), "u"))
-    return found.where("v is not null").select("u", "v")
+def _by_key(rows: DataFrame, task: Callable, ddl: str, *columns: str) -> DataFrame:
+    return rows.select("key", *columns).repartition("key").sortWithinPartitions("key").mapInArrow(task, ddl)
 
 
-def _exact(scratch: Scratch, nodes: DataFrame, full: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, links) and a forest of links, of all vectors compared that share a c in full (u, c)."""
-    done = _compared(scratch, _squared(full.join(nodes.select("u", "n", "x"), "u"), "c", SQUARE))
+def _exact(scratch: Scratch, nodes: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
+    """(u, links) and a forest of links (u, v), of all vectors of a group compared, in squares."""
+    done = scratch.write(_by_key(_squared(nodes.select("u", "g", "n", "x"), "g", SQUARE), _squares(raw), "u long, v long, links long", "side", "u", "n", "x"))
     return done.where("v is null").groupBy("u").agg(F.sum("links").alias("links")), done.where("v is not null").select("u", "v")
 
 
-def _enlarge(scratch: Scratch, nodes: DataFrame, graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the graph's links: (u, links) counted over all vectors that links reach, and
-    a forest of exact links. A component of many members is cut into SQUARE-sized parts
-    and every pair of parts is a task of its own."""
-    def reached(links: DataFrame) -> DataFrame:
-        comp = components(links, scratch)
-        return scratch.write(comp.select(F.col("id").alias("u"), F.col("component").alias("c")).unionByName(comp.select(F.col("component").alias("u"), F.col("component").alias("c")).distinct()))
-
-    linked = graph.where(F.col("sim") >= THRESHOLD - SLACK).select("u", "v")
-    full = reached(linked)
-    bridges = _bridges(scratch, nodes, graph, full)
-    if bridges.limit(1).count():
-        old, full = full, reached(linked.unionByName(bridges))
-        scratch.drop(old)
-    out = _exact(scratch, nodes, full)
-    scratch.drop(full)
-    return out
-
-
-def _truth(nodes: DataFrame, size: int) -> dict[int, int]:
+def _enlarge(scratch: Scratch, nodes: DataFrame, full: DataFrame, comp: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
+    """Links of the vectors (u) with saturated lists among each other: (u, links), and a
+    forest (u, v). comp: (id, component) as far as it is known."""
+    placed = full.join(comp.withColumnRenamed("id", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
+    parts = placed.groupBy("c").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    keyed = placed.join(parts, "c").select("u", F.xxhash64("c", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("key")).join(nodes.select("u", "g", "n", "x"), "u")
+    out = scratch.write(_by_key(keyed, _cells(raw), _CELL, "u", "g", "n", "x"))
+    member = out.where(F.col("kind") == MEMBER).select(F.col("a").alias("u"), F.col("b").alias("cell"), F.col("m").alias("links"))
+    cells = out.where(F.col("kind") == CELL).select(F.col("a").alias("u"), F.col("b").alias("g"), "m", "r", "z")
+    near = scratch.write(_by_key(_squared(cells, "g", CELLS), _near_cells, "kind int, a long, b long, m long", "side", "u", "m", "r", "z"))
+    whole = near.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("cell")).agg(F.sum("m").alias("links"))
+    counts = member.select("u", "links").unionByName(member.select("u", "cell").join(whole, "cell").select("u", "links"))
+    edges = out.where(F.col("kind") == EDGE).select("a", "b").unionByName(near.where(F.col("kind") == EDGE).select("a", "b")).toDF("u", "v")
+    pairs = near.where(F.col("kind") == OPEN).select("a", "b")
+    if pairs.limit(1).count():
+        sides = pairs.select(F.xxhash64("a", "b").alias("key"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("cell")), F.struct(F.lit(1).alias("side"), F.col("b").alias("cell")))).alias("s")).select("key", "s.*")
+        found = scratch.write(_by_key(sides.join(member.select("u", "cell"), "cell").join(nodes.select("u", "n", "x"), "u"), _squares(raw), "u long, v long, links long", "side", "u", "n", "x"))
+        counts = counts.unionByName(found.where("v is null").select("u", "links"))
+        edges = edges.unionByName(found.where("v is not null").select("u", "v"))
+    return counts.groupBy("u").agg(F.sum("links").alias("links")), edges
+
+
+def _outcome(scratch: Scratch, nodes: DataFrame, graph: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
+    """From the graph: (u, links) and (id, component). A link in no list has a saturated
+    list at either end; all others are in the graph."""
+    near = graph.where(F.col("d") <= NEAR)
+    edges = scratch.write(_exact_edges(nodes, near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), raw))
+    comp = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    full = scratch.write(near.groupBy("u").count().where(F.col("count") >= NEIGHBOURS).select("u"))
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = both.join(nodes.select(F.col("u").alias("v"), "n"), "v")
+    if not full.limit(1).count():
+        return scratch.write(both.groupBy("u").agg(F.sum("n").alias("links"))), comp
+    tag = lambda k: full.select(F.col("u").alias(k), F.lit(True).alias("full_" + k))
+    listed = both.join(tag("u"), "u", "left").join(tag("v"), "v", "left").where("full_u is null or full_v is null").select("u", F.col("n").alias("links"))
+    counts, found = _enlarge(scratch, nodes, full, comp, raw)
+    counts = scratch.write(listed.unionByName(counts).groupBy("u").agg(F.sum("links").alias("links")))
+    ends = [comp.select(F.col("id").alias(k), F.col("component").alias("c" + k)) for k in ("u", "v")]
+    new = found.join(ends[0], "u", "left").join(ends[1], "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v")
+    new = scratch.write(new.distinct())
+    if new.limit(1).count():
+        comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(new), scratch)
+    return counts, comp
+
+
+def _truth(nodes: DataFrame, size: int, raw: str) -> dict[int, int]:
     """Links of ``size`` classes, first by a hash, counted against all vectors."""
     asked = nodes.orderBy(F.xxhash64(F.lit(1), "u"), "u").limit(size).select("u", "g", "x").collect()  # size rows
     groups: dict = {}
     for r in asked:
         groups.setdefault(r.g, []).append(r)
-    probes = {g: (np.array([r.u for r in rs]), unit([bytes(r.x) for r in rs])) for g, rs in groups.items()}
+    probes = {g: (np.array([r.u for r in rs]), unit([bytes(r.x) for r in rs], raw)) for g, rs in groups.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {g: np.zeros(len(ids), np.int64) for g, (ids, _) in probes.items()}
         for b in batches:
-            g, us, n = (b.column(i).to_numpy() for i in (1, 0, 2))
+            us, g, n = (b.column(i).to_numpy() for i in range(3))
             for key in set(g.tolist()) & probes.keys():
                 at = np.flatnonzero(g == key)
                 ids, q = probes[key]
-                x = unit([b.column(3)[int(i)].as_py() for i in at])
+                x = unit(b.column(3).take(pa.array(at)).to_pylist(), raw)
                 for k in range(0, len(ids), 1024):
                     hit = (q[k : k + 1024] @ x.T >= THRESHOLD) & (ids[k : k + 1024, None] != us[at][None, :])
                     found[key][k : k + 1024] += hit @ n[at]
         us, ks = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in ([ids for ids, _ in probes.values()], list(found.values())))
-        yield pa.RecordBatch.from_arrays([pa.array(us[ks > 0], pa.int64()), pa.array(ks[ks > 0], pa.int64())], names=["u", "k"])
+        yield _rows([us[ks > 0], ks[ks > 0]], "u k", "ll")
 
     return {r.u: r.k for r in nodes.select("u", "g", "n", "x").mapInArrow(run, "u long, k long").groupBy("u").agg(F.sum("k").alias("k")).collect()}  # at most size rows
 
@@ -330,8 +443,8 @@ def _recall(truth: dict[int, int], have: dict[int, int]) -> float:
     return min((float(np.mean(b)) for b in bands if b), default=1.0)
 
 
-def _audit(nodes: DataFrame, counts: DataFrame, truth: dict[int, int]) -> float:
-    asked = nodes.sparkSession.createDataFrame([(u,) for u in truth], "u long")
+def _audit(counts: DataFrame, truth: dict[int, int]) -> float:
+    asked = counts.sparkSession.createDataFrame([(u,) for u in truth], "u long")
     return _recall(truth, {r.u: r.links for r in counts.join(F.broadcast(asked), "u").collect()})  # at most AUDIT_MOST rows
 
 
@@ -344,45 +457,41 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     those with a null label, link with nothing. Equal vectors link with each other; with
     a third all do or none. component_id is the smallest vec_id reachable, kept whether
     it is the row's own. Repeated rows count as vectors of their own. Extra columns are
-    ignored; an empty table gives no rows."""
+    ignored; an empty table gives no rows. An audited recall that stays short of RECALL
+    leads to comparing all vectors of a group."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "nn-descent")
-    rows = scratch.write(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_ingest, "vec_id long, u long, g long, x binary"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    raw, element = ("<f4", "float") if kind == "array<float>" else ("<f8", "double")
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
+    rows = scratch.write(slim.mapInArrow(_ingest(raw), "vec_id long, u long, g long, x binary"))
     nodes = rows.where("u is not null").groupBy("u").agg(F.first("g").alias("g"), F.first("x").alias("x"), F.count("*").alias("n"), F.min("vec_id").alias("rep"))
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raws = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([unit([r], np.float32)[0].tobytes() for r in raws], pa.binary())], names=[*b.schema.names, "x32"])
-
-    nodes = scratch.write(nodes.select("u", "g", "x", "n", "rep").mapInArrow(narrow, "u long, g long, x binary, n long, rep long, x32 binary"))
-    total, largest = nodes.count(), (nodes.groupBy("g").count().agg(F.max("count")).first()[0] or 0)
-    bits = max(1, int(np.log2(max(total, 2) / (8 * BLOCK)) + 1))
-    truth = _truth(nodes, AUDIT)
+    nodes = scratch.write(nodes.select("u", "g", "x", "n", "rep").mapInArrow(_encode(raw), "u long, g long, x binary, n long, rep long, code binary"))
+    sizes = nodes.groupBy("g").count().agg(F.sum("count").alias("total"), F.max("count").alias("largest")).first()
+    total, largest = sizes.total or 0, sizes.largest or 0
+    truth = _truth(nodes, AUDIT, raw)
     if total > AUDIT and sum(k <= NEIGHBOURS for k in truth.values()) < AUDIT_FEW:
-        truth = _truth(nodes, AUDIT_MOST)
-    # a block order misses more of the links the more bits it cuts by
-    seeds, graph = list(range(max(ORDERS, bits))), None
+        truth = _truth(nodes, AUDIT_MOST, raw)
+    seeds, graph = list(range(_first_orders(largest))), None
     while True:
-        fresh = _first_graph(nodes, seeds, bits).withColumn("new", F.lit(True))
-        graph = scratch.write(_top(fresh if graph is None else fresh.unionByName(graph.withColumn("new", F.lit(False))), NEIGHBOURS).drop("r"))
+        fresh = _first_graph(nodes, seeds).withColumn("new", F.lit(True))
+        graph = scratch.write(_best(fresh if graph is None else fresh.unionByName(graph.withColumn("new", F.lit(False))), NEIGHBOURS))
         for _ in range(ROUNDS):
             old = graph
             graph, found = _refine(scratch, nodes, graph)
             scratch.drop(old)
             if not found:
                 break
-        counts, tree = _enlarge(scratch, nodes, graph)
-        recall = _audit(nodes, counts, truth)
+        counts, comp = _outcome(scratch, nodes, graph, raw)
+        recall = _audit(counts, truth)
         if recall >= RECALL:
             break
         used = seeds[-1] + 1
         if used * BLOCK >= largest:
-            counts, tree = _exact(scratch, nodes, nodes.select("u", F.col("g").alias("c")))
-            recall = _audit(nodes, counts, truth)
+            counts, tree = _exact(scratch, nodes, raw)
+            comp, recall = components(tree, scratch), _audit(counts, truth)
             break
         seeds = list(range(used, 2 * used))
-    comp = components(tree, scratch)
     labelled = nodes.select("u", "n", "rep").join(comp.withColumnRenamed("id", "u"), "u", "left").join(counts, "u", "left").withColumn("component", F.coalesce("component", "u"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
     final = scratch.write(labelled.join(least, "component").select("u", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))

@@ -149,6 +149,33 @@ def test_scattered_pairs_are_found_beside_a_hot_group(spark, monkeypatch):
     assert nn_descent._recall(truth, {u: k for u, k in truth.items() if k > 1 or u < 10}) == 0.25
 
 
+def test_neighbour_joins_find_what_blocks_miss(spark, monkeypatch):
+    """Groups of seven among 3500 vectors a label, two orders of small blocks: a vector is
+    beside some of its group in each, and the joins find the others."""
+    for name, value in (("BLOCK", 16), ("_first_orders", lambda largest: 2), ("RECALL", 0.0)):
+        monkeypatch.setattr(nn_descent, name, value)
+    rng = np.random.default_rng(4)
+    x = (np.repeat(rng.standard_normal((1000, 48)), 7, axis=0) + rng.standard_normal((7000, 48)) * 0.11).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), int(i >= 3500)) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.array([((unit[i // 7 * 7 : i // 7 * 7 + 7] @ unit[i]) >= 0.98).sum() - 1 for i in range(7000)])
+    share = lambda: sum(r.n_links for r in nn_descent.near_duplicates(rows).collect()) / want.sum()
+    joined = share()
+    monkeypatch.setattr(nn_descent, "_refine", lambda scratch, nodes, graph: (scratch.write(graph), 0))
+    assert share() < 0.96 and 0.98 < joined <= 1
+
+
+def test_loose_clumps_are_counted_by_cells(spark):
+    """Vectors of clumps wider than a cell: cells link as a whole, by members, or not at all."""
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.standard_normal(32) + rng.standard_normal((120, 32)) * s for s in (0.05, 0.11, 0.15, 0.2)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.98
+    got = {r.vec_id: r for r in nn_descent.near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    comp = brute_components(dict(enumerate(range(480))), lambda a, b: link[a, b])
+    assert [(got[i].n_links, got[i].component_id) for i in range(480)] == [(int(link[i].sum()) - 1, comp[i]) for i in range(480)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(500, k) for k in range(501, 560)]
