@@ -174,7 +174,8 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Per document: (doc_id, n_tokens, ids_sha256, decoded_sha256). One narrow pass:
-    the ids never leave the worker. Repeated rows keep a row each."""
+    the ids never leave the worker. Null texts count as empty, null ids stay null; repeated
+    rows keep a row each; extra columns are ignored; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

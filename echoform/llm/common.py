@@ -19,13 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _OWN_DIRS: dict[str, str] = {}
+#: Folders of every Scratch of an application, for ``discard``.
+_ROOTS: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; one of our own only where none is set (tests)."""
+    """The folder all machines share; one of our own only where none is set and there is
+    one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="echoform-")
@@ -60,6 +65,7 @@ class Scratch:
         bound_batches(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -73,12 +79,22 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
             _, path = self.paths.pop(id(t), (None, None))
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete every scratch folder of this application: once its results are consumed or
+    written, for results read their last tables lazily."""
+    for root in _ROOTS.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, root)
 
 
 def forest(pairs: np.ndarray) -> np.ndarray:
@@ -122,7 +138,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     adaptive execution splits hubs.
     """
     e = scratch.write(edges.select("u", "v").where("u <> v").mapInArrow(_local_forest, "u long, v long").distinct())
-    while True:
+    mark = lambda t: tuple(t.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+    old = mark(e)
+    while old[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
@@ -132,9 +150,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = scratch.write(
             linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(linked.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
-        a = small.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        b = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
+        new = mark(small)
         scratch.drop(large, e)
         e = small
-        if (a.n, a.x) == (b.n, b.x):
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        if new == old:
+            break
+        old = new
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -59,7 +59,7 @@ def meta_features(tokens: list[list[str]]) -> np.ndarray:
     out = np.zeros((len(tokens), META_DIM), np.float32)
     out[:, 0] = 1
     for i, ts in enumerate(tokens):
-        for t in ts or ():
+        for t in filter(None, ts or ()):
             out[i, 1 + xxhash.xxh32_intdigest(t) % (META_DIM - 1)] = 1
     return out
 
@@ -84,7 +84,7 @@ def own_meta() -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
     return F.array(
         F.concat(F.lit("source="), F.coalesce(F.col("source").cast("string"), F.lit("?"))), F.concat(F.lit("lang="), F.coalesce(F.col("lang").cast("string"), F.lit("?"))),
-        F.concat(F.lit("size="), F.floor(F.log2(F.coalesce(F.col("n_chars"), F.length(text)).cast("double") + 1) * 2).cast("string")),
+        F.concat(F.lit("size="), F.floor(F.log2(F.greatest(F.coalesce(F.col("n_chars"), F.length(text)), F.lit(0)).cast("double") + 1) * 2).cast("string")),
     )
 
 
@@ -146,7 +146,8 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.
 
 
 def fit(docs: DataFrame, labels: DataFrame, meta: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
-    """Fit on bounded samples; None where labels lack one of the classes. meta: (doc_id, _page)."""
+    """Fit on bounded samples, one row of those that repeat an id; None where labels lack
+    one of the classes. meta: (doc_id, _page)."""
     scratch = Scratch(docs.sparkSession, "quality")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
     order = (F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id"))
@@ -164,12 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, meta: DataFrame, max_labelled: int =
             m = [[*a, *(p or ())] for a, p in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), pa.array(m, pa.list_(pa.string()))], names=["doc_id", "y", "x", "m"])
 
-    rows = sorted(mine.mapInArrow(run, "doc_id long, y int, x binary, m array<string>").collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), bytes(r.x)))
+    one = mine.mapInArrow(run, "doc_id long, y int, x binary, m array<string>").groupBy("doc_id").agg(F.min(F.struct("x", "m", "y")).alias("s")).select("doc_id", "s.*")  # rows that repeat an id: one
+    rows = sorted(one.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), bytes(r.x)))
+    scratch.drop(ids)
+    if len({r.y for r in rows if r.y >= 0}) < 2:  # labels of rows that are not there
+        return None
     x = _with_one(np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]))
     m, y = meta_features([r.m for r in rows]).astype(float), np.array([r.y for r in rows])
-    out = cotrain((x[y >= 0], m[y >= 0]), y[y >= 0], (x[y < 0], m[y < 0]))
-    scratch.drop(ids)
-    return out
+    return cotrain((x[y >= 0], m[y >= 0]), y[y >= 0], (x[y < 0], m[y < 0]))
 
 
 def score_documents(docs: DataFrame, pages: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -177,7 +180,9 @@ def score_documents(docs: DataFrame, pages: DataFrame, labels: DataFrame, keep:
 
     Scores are chances of good quality; ``kept`` is score >= keep. Null and empty texts
     are scored by their own flag, documents without a page by their own metadata.
-    Repeated rows keep a row each. Without labels of both classes all score 1. Texts are
+    A negative n_chars counts as 0, a null one as the text's own. Repeated rows keep a
+    row each; extra columns are ignored; an empty table gives no rows. Without labels of
+    both classes all score 1. Texts are
     read in narrow passes; only ids, logits and metadata tokens are joined."""
     meta = page_meta(pages)
     model = fit(docs, labels, meta)

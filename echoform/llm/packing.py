@@ -234,7 +234,8 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), loss:
     exactly one piece; long texts are cut at the limit. A worker remembers the ids of up
     to ``most_words`` words, for its next tasks too unless ``lasting`` is false, and holds
     about ``block`` bytes of texts at once. Sequence ids carry the partition
-    number in their upper bits. Extra columns are ignored, repeated rows packed each."""
+    number in their upper bits. Extra columns are ignored, repeated rows packed each, null
+    ids kept; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, tok = Packer(limits, TaskContext.get().partitionId() << 33), tokenizer(path, most_words)

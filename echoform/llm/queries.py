@@ -43,8 +43,15 @@ def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), outcomes)
 
 
+#: Texts under so many characters are context only: their tokens bear no loss.
+CONTEXT_CHARS = 40
+#: All three bind: whole documents that bear loss leave a little room for context, and short ones run out of segments.
+PACK_LIMITS = packing.Limits(tokens=4096, segments=48, loss=4064)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.length(F.trim("text")) >= CONTEXT_CHARS).alias("bears"))
+    return packing.pack_documents(docs, WORD_BPE, PACK_LIMITS, "bears")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

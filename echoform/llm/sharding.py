@@ -71,16 +71,17 @@ def shard_rows(rows: DataFrame, keys: list[str], shards: int = 24, seed: int = 2
 
     ``keys`` name the columns a row is told by; rows equal in all of them are
     interchangeable. Null keys are dealt like any other. Shard sizes differ by one
-    at most; an empty table stays empty. Extra columns ride along."""
-    spark = rows.sparkSession
+    at most; an empty table stays empty. Extra columns ride along; columns named shard
+    or slot are replaced, and names that begin with two underscores are reserved."""
+    spark, rows = rows.sparkSession, rows.drop("shard", "slot")
     scratch = Scratch(spark, "shards")
     base = scratch.write(rows)
     n = base.count()
     b = sources or min(MAX_SOURCES, max(MIN_SOURCES, -(-n // ROWS_PER_SOURCE)))
     told = [F.col(k) for k in keys]
     source = F.pmod(F.xxhash64(F.lit(seed), *told), F.lit(b)).cast("int")
-    base = base.withColumn("_src", source)
-    have = {r["_src"]: r["count"] for r in base.groupBy("_src").count().collect()}  # at most b rows
+    base = base.withColumn("__src", source)
+    have = {r["__src"]: r["count"] for r in base.groupBy("__src").count().collect()}  # at most b rows
     counts = [have.get(i, 0) for i in range(b)]
     sizes = [n // shards + (j < n % shards) for j in range(shards)]
     ends = []
@@ -89,21 +90,21 @@ def shard_rows(rows: DataFrame, keys: list[str], shards: int = 24, seed: int = 2
         for x in row:
             total += x
             e.append(total)
-        ends.append({"_src": i, "_ends": e})
-    matrix = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(ends)), "array<struct<_src:int,_ends:array<bigint>>>")).alias("m")).select("m.*")
-    first = Window.partitionBy("_src").orderBy(F.xxhash64(F.lit(seed + 1), *told), *told)
+        ends.append({"__src": i, "__ends": e})
+    matrix = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(ends)), "array<struct<__src:int,__ends:array<bigint>>>")).alias("m")).select("m.*")
+    first = Window.partitionBy("__src").orderBy(F.xxhash64(F.lit(seed + 1), *told), *told)
     dealt = (
-        base.withColumn("_rank", F.row_number().over(first)).join(F.broadcast(matrix), "_src")  # at most MAX_SOURCES rows
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_rank"))))
-        .drop("_ends", "_rank", "_src")
+        base.withColumn("__rank", F.row_number().over(first)).join(F.broadcast(matrix), "__src")  # at most MAX_SOURCES rows
+        .withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__rank"))))
+        .drop("__ends", "__rank", "__src")
     )
     # Permute again: a row's place is the order of a second hash, cut into ranges so that no shard is one task.
     bits = max(4, math.ceil(math.log2(b)) - 4)
-    dealt = scratch.write(dealt.withColumn("_key", F.xxhash64(F.lit(seed + 2), *told)).withColumn("_sub", F.shiftrightunsigned("_key", 64 - bits).cast("int")))
-    sub = dealt.groupBy("shard", "_sub").count()  # shards * 2**bits rows
-    before = sub.withColumn("_from", F.sum("count").over(Window.partitionBy("shard").orderBy("_sub")) - F.col("count")).drop("count")
-    second = Window.partitionBy("shard", "_sub").orderBy("_key", *told)
-    return dealt.withColumn("_rank", F.row_number().over(second)).join(F.broadcast(before), ["shard", "_sub"]).withColumn("slot", F.col("_from") + F.col("_rank") - 1).drop("_from", "_rank", "_sub", "_key")
+    dealt = scratch.write(dealt.withColumn("__key", F.xxhash64(F.lit(seed + 2), *told)).withColumn("__sub", F.shiftrightunsigned("__key", 64 - bits).cast("int")))
+    sub = dealt.groupBy("shard", "__sub").count()  # shards * 2**bits rows
+    before = sub.withColumn("__from", F.sum("count").over(Window.partitionBy("shard").orderBy("__sub")) - F.col("count")).drop("count")
+    second = Window.partitionBy("shard", "__sub").orderBy("__key", *told)
+    return dealt.withColumn("__rank", F.row_number().over(second)).join(F.broadcast(before), ["shard", "__sub"]).withColumn("slot", F.col("__from") + F.col("__rank") - 1).drop("__from", "__rank", "__sub", "__key")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:

@@ -27,10 +27,13 @@ from echoform.llm.common import Scratch, release, widened
 MAX_TRAIN = 8000
 MIN_SHARE, MIN_PRECISION, CHANCE, STEMS, THRESHOLD = 0.015, 0.65, 0.5, (4, 5, 6, 7), 0.3
 FUZZY, QUOTED, CONTEXT, CACHE_WORDS = 0.8, 0.3, 6, 200_000
-REPORTING = {"said", "says", "called", "word", "term", "quote", "quoted", "wrote", "dijo", "dice", "palabra", "sagte", "sagt", "wort", "dit", "mot", "appelé"}
+#: Words that report speech, before a term that is told of and not used; a parameter of ``fit``.
+REPORTING = frozenset({"said", "says", "called", "word", "term", "quote", "quoted", "wrote", "dijo", "dice", "palabra", "sagte", "sagt", "wort", "dit", "mot", "appelé"})
 _OPEN = "\"“”„«»‘’'"
 _SPACES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(c for c in range(128) if not chr(c).isalnum()), b"abcdefghijklmnopqrstuvwxyz" + b" " * sum(not chr(c).isalnum() for c in range(128)))
 _WIDE = str.maketrans({c: " " for c in "“”„«»‘’…–—¿¡"})
+#: What ``words`` cuts at, inside the brackets of a pattern.
+_CUTS = r"\x00-/:-@\[-`{-\x7f“”„«»‘’…–—¿¡"
 
 
 def words(text: str) -> list[bytes]:
@@ -53,10 +56,13 @@ class Lexicon:
 
     entries: tuple[tuple[str, float], ...]
     clean: frozenset[str] = frozenset()
+    reporting: frozenset[str] = REPORTING
     cache: dict[bytes, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
+        #: Letters of a word that can matter: no whole term is so long, and no stem's edits reach so far.
+        self.reach = max((len(e.rstrip("*")) for e, _ in self.entries), default=0) + 3
         heads, tails, inside = set(), set(), set()
         for e, weight in self.entries:
             stem, node = e.rstrip("*"), self.trie
@@ -97,7 +103,8 @@ class Lexicon:
         out = self.cache.get(w)
         if out is None:
             s = w.decode("utf-8", "ignore")
-            out, d = self.match(s) if len(s) < 64 and self.maybe(s) else (0.0, 0)
+            head = s[: self.reach]
+            out, d = self.match(head) if self.maybe(head) else (0.0, 0)
             out = 0.0 if d and s in self.clean else out
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
@@ -110,16 +117,12 @@ class Lexicon:
         hits = {w: x for w in set(ws) if (x := self.weight(w))}
         if not hits:
             return 0.0, len(ws)
-        total, low, at = 0.0, text.lower(), Counter()
-        for i, w in enumerate(ws):
-            if w not in hits:
-                continue
-            s = w.decode("utf-8", "ignore")
-            k = low.find(s, at[s])
-            at[s] = k + len(s) if k >= 0 else at[s]
+        total, low = 0.0, text.lower()
+        alike = "|".join(re.escape(w.decode("utf-8", "ignore")) for w in sorted(hits))
+        whole = re.finditer(rf"(?<![^{_CUTS}])(?:{alike})(?![^{_CUTS}])", low)
+        for i, found in zip([i for i, w in enumerate(ws) if w in hits], whole, strict=False):
             around = set(x.decode("utf-8", "ignore") for x in ws[max(0, i - CONTEXT) : i])
-            quoted = k >= 0 and _quoted(low, k, k + len(s))
-            total += hits[w] * (QUOTED if quoted or around & REPORTING else 1.0)
+            total += hits[ws[i]] * (QUOTED if _quoted(low, *found.span()) or around & self.reporting else 1.0)
         return total, len(ws)
 
 
@@ -216,11 +219,11 @@ def choose_entries(counts: list[tuple[str, int, int]], rate: float) -> list[tupl
     return sorted((o, round(share[o], 6)) for o, _ in out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, reporting: frozenset[str] = REPORTING) -> Model | None:
     """Learn lexicon and weights from labelled, not held-out rows; None without toxic rows.
 
-    At most ``max_train`` labelled rows are used, those first by a hash of doc_id;
-    repeated texts count once. What reaches the driver is bounded by that number."""
+    At most ``max_train`` labelled rows are used, those first by a hash of doc_id, one of
+    the rows that repeat an id; repeated texts count once. What reaches the driver is bounded by that number."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     ids = (
         labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -228,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     )
     train = scratch.write(
         docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")  # at most max_train rows
-        .groupBy("text").agg(F.max("toxic").alias("toxic"))
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).groupBy("text").agg(F.max("toxic").alias("toxic"))
         .mapInArrow(_mark, "text string, toxic int, m0 long, m1 long, m2 long")
     )
     for m in ("m0", "m1", "m2"):  # near copies would pass for independent texts
@@ -247,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     entries = choose_entries([(r.key, r.bad, r.clean) for r in likely], n_bad / n)
     probe = Lexicon(tuple(entries))
     near = counts.where("clean > 0 and key not like '%*'").select("key").mapInArrow(lambda it: _near(it, probe), "key string").collect()  # misspelling-like words of the bounded sample
-    lexicon = Lexicon(tuple(entries), frozenset(r.key for r in near))
+    lexicon = Lexicon(tuple(entries), frozenset(r.key for r in near), reporting)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,26 +260,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     seen = train.mapInArrow(measure, "e double, n long, y int").collect()  # at most max_train rows of three numbers
     scratch.drop(train, counts)
     x, y = features([(r.e, r.n) for r in seen]), np.array([r.y for r in seen], float)
-    return Model(Lexicon(lexicon.entries, lexicon.clean), tuple(map(float, logistic(x, y))))
+    return Model(Lexicon(lexicon.entries, lexicon.clean, reporting), tuple(map(float, logistic(x, y))))
 
 
 def _near(batches: Iterator[pa.RecordBatch], probe: Lexicon) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [k for k in b.column(0).to_pylist() if len(k) < 64 and probe.maybe(k) and probe.match(k)[1] > 0]
+        out = [k for k in b.column(0).to_pylist() if probe.maybe(k[: probe.reach]) and probe.match(k[: probe.reach])[1] > 0]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["key"])
 
 
-def score_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs plus ``score`` (0 to 1) and ``predicted`` (1 from the threshold on); columns
-    of those names are replaced. Null and empty texts score as texts without hits; with
+def score_documents(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs plus a score (0 to 1) and a prediction (1 from the threshold on), under
+    ``names``; columns of those names are replaced. Null and empty texts score as texts without hits; with
     no model every score is 0. One narrow pass over whole texts."""
-    docs = docs.drop("score", "predicted")
-    schema = widened(docs, "score double, predicted int")
+    docs = docs.drop(*names)
+    schema = widened(docs, f"`{names[0]}` double, `{names[1]}` int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = model.score(b.column("text").to_pylist()) if model else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, *names])
         if model:
             model.lexicon.cache.clear()
         release()

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from echoform.llm.common import Scratch
 
 GAP, MAX_READ, LEVEL = 64 << 10, 8 << 20, 1
+#: Bytes of archives that a reading task is given.
+READ_BYTES = 64 << 20
 #: Payload groups fewer than this are broadcast (some 60 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
@@ -147,7 +149,8 @@ def coalesce(ranges: list[tuple[str, int, int]]) -> list[tuple[str, int, int, in
 def read_records(index: DataFrame, root: str, payload: bool = True) -> DataFrame:
     """Read the records that index rows point at: see ``_READ``; payload is null for
     revisits, and for all if ``payload`` is false. Records that have moved or been
-    altered fail loudly. An empty index gives no rows."""
+    altered fail loudly. An empty index gives no rows. Tasks are as many as the records'
+    bytes ask for, whatever the size of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(root)
@@ -159,7 +162,9 @@ def read_records(index: DataFrame, root: str, payload: bool = True) -> DataFrame
                 rows = [parse(blob[o - at : o - at + n]) for _, o, n in ranges[lo:hi]]
                 yield _batch(rows if payload else [(*r[:2], None, *r[3:]) for r in rows], _READ_NAMES, _READ)
 
-    return index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, _READ)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // READ_BYTES))
+    return index.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, _READ)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
