@@ -9,8 +9,8 @@ do. Edges near the threshold are decided on the vectors themselves, in doubles.
 
 A list full of near neighbours is saturated: it may hide links to other vectors with
 saturated lists. Those lists are enlarged without bound, by cells: saturated vectors are
-gathered around centres, so closely that most cells, and pairs of cells, link as a whole
-and are only counted; the members of the others are compared. Recall is audited against
+gathered around centres; cells, and pairs of cells, so close that they link as a whole
+are only counted, and the members of other near pairs of cells are compared. Recall is audited against
 all vectors on a sample drawn whatever was found for it, vectors of few links apart from
 those of many; orders are doubled while it is short, until blocks would cost as much as
 comparing everything, which is then done.
@@ -28,18 +28,19 @@ from pyspark.sql import functions as F
 
 from echoform.llm.common import Scratch, components, forest
 
-THRESHOLD, NEIGHBOURS, REVERSE, BLOCK, ORDERS, ROUNDS = 0.98, 8, 6, 256, 3, 6
+THRESHOLD, NEIGHBOURS, REVERSE, BLOCK, ORDERS, ROUNDS = 0.98, 8, 6, 256, 4, 6
 #: Bits of a code (whole 64-bit words); bits of it that an order sorts by.
 CODE, ORDER_BITS = 256, 62
 ANGLE = float(np.arccos(THRESHOLD))
 #: Expected differing bits at the threshold and five deviations more: all that may link;
-#: neighbours at more than 60 degrees do not enter lists.
+#: neighbours at more than 45 degrees do not enter lists.
 NEAR = int(np.ceil(CODE * ANGLE / np.pi + 5 * np.sqrt(CODE * ANGLE / np.pi * (1 - ANGLE / np.pi))))
-FLOOR, FAR = CODE // 3 + 4, CODE + 1
+FLOOR, FAR = CODE // 4 + 4, CODE + 1
 #: Classes audited, and more of them while fewer than AUDIT_FEW have few links.
 AUDIT, AUDIT_MOST, AUDIT_FEW, RECALL = 4096, 16384, 128, 0.97
-#: Vectors of a component that a task deals to cells; cells, and vectors, a side of a square; radians of slack of angles.
-PART, CELLS, SQUARE, SLACK = 2048, 2048, 512, 1e-4
+#: Saturated vectors of a component that a task gathers to cells, and of one of more than MANY parts;
+#: cells, and vectors, a side of a square; radians of slack of angles.
+PART, MANY, LARGE_PART, CELLS, SQUARE, SLACK = 256, 64, 2048, 2048, 512, 1e-4
 
 
 def _rows(columns: list, names: str, kinds: str) -> pa.RecordBatch:
@@ -286,11 +287,9 @@ _CELL_NAMES, _CELL_KINDS = "kind a b m r z", "illldx"
 
 
 def _cells(raw: str):
-    """Rows (key, u, g, n, x) sorted by key: vectors gathered around centres, half the
-    threshold's angle wide. MEMBER: vector, cell, rows of its cell it links with; CELL:
+    """Rows (key, u, g, n, x) sorted by key: vectors gathered around centres, within the
+    threshold's angle. MEMBER: vector, cell, rows of its cell it links with; CELL:
     cell, group, its rows, radius, centre; EDGE: a forest of the links inside cells."""
-    half = np.cos(ANGLE / 2 - SLACK)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _sorted_runs(batches):
             rows.sort()
@@ -298,13 +297,9 @@ def _cells(raw: str):
             x, free = unit([r[3] for r in rows], raw), np.ones(len(rows), bool)
             while free.any():
                 i = int(np.argmax(free))
-                centre, mine = x[i], free & (x @ x[i] >= half)
-                for _ in range(2):  # move to the middle of what is near
-                    middle = x[mine].sum(axis=0)
-                    middle /= np.sqrt(middle @ middle)
-                    near = free & (x @ middle >= half)
-                    if near[i] and near.sum() >= mine.sum():
-                        centre, mine = middle, near
+                centre = x[free & (x @ x[i] >= THRESHOLD)].sum(axis=0) + x[i]  # the middle of what is near
+                centre /= np.sqrt(centre @ centre)
+                mine = free & (x @ centre >= THRESHOLD)
                 mine[i] = True
                 at = np.flatnonzero(mine)
                 r = float(np.arccos(np.clip(x[at] @ centre, -1, 1)).max())
@@ -369,7 +364,8 @@ def _enlarge(scratch: Scratch, nodes: DataFrame, full: DataFrame, comp: DataFram
     """Links of the vectors (u) with saturated lists among each other: (u, links), and a
     forest (u, v). comp: (id, component) as far as it is known."""
     placed = full.join(comp.withColumnRenamed("id", "u"), "u", "left").withColumn("c", F.coalesce("component", "u"))
-    parts = placed.groupBy("c").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    many = F.count("*")
+    parts = placed.groupBy("c").agg(F.greatest(F.least(F.ceil(many / PART), F.lit(MANY)), F.ceil(many / LARGE_PART)).cast("int").alias("parts"))
     keyed = placed.join(parts, "c").select("u", F.xxhash64("c", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("key")).join(nodes.select("u", "g", "n", "x"), "u")
     out = scratch.write(_by_key(keyed, _cells(raw), _CELL, "u", "g", "n", "x"))
     member = out.where(F.col("kind") == MEMBER).select(F.col("a").alias("u"), F.col("b").alias("cell"), F.col("m").alias("links"))
