@@ -62,6 +62,47 @@ def dtw_fast(x: np.ndarray, y: np.ndarray, radius: int = 1) -> float:
     return float(descend(np.asarray(x, float), np.asarray(y, float))[0])
 
 
+def floors(cands: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    """Bounds that never exceed the warped distances: ends meet ends, and each extreme is
+    matched with something not beyond the other's."""
+    n, m = cands.shape[1], len(query)
+    ends = np.abs(cands[:, 0] - query[0]) + (np.abs(cands[:, -1] - query[-1]) if max(n, m) > 1 else 0.0)
+    tops, lows = np.abs(cands.max(axis=1) - query.max()), np.abs(cands.min(axis=1) - query.min())
+    return normalise(np.maximum(ends, np.maximum(tops, lows)), n, m, metric)
+
+
+class KBest:
+    """The k best matches seen, by (dist, series_id, start, end); ``limit`` is the k-th distance once there are k."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.limit = k, [], np.inf
+
+    def add(self, dist: np.ndarray, ids, starts: np.ndarray, size: int) -> None:
+        near = np.flatnonzero(dist <= self.limit)
+        if len(near) > self.k:
+            near = near[dist[near] <= np.partition(dist[near], self.k - 1)[self.k - 1]]
+        if len(near):
+            new = [(float(dist[i]), ids[i], int(starts[i]), int(starts[i]) + size - 1, size) for i in near]
+            self.rows = sorted(self.rows + new)[: self.k]
+            self.limit = self.rows[-1][0] if len(self.rows) == self.k else np.inf
+
+    def search(self, cands: np.ndarray, query: np.ndarray, metric: str, ids, starts: np.ndarray, prune: bool = True) -> None:
+        """Warp equally long candidates (rows), but for those whose bound exceeds the limit; the least bounds go first."""
+        if not len(cands):
+            return
+        n, m = cands.shape[1], len(query)
+        if not prune:
+            self.add(normalise(dtw_many(cands, query), n, m, metric), ids, starts, n)
+            return
+        low = floors(cands, query, metric)
+        at = np.flatnonzero(low <= self.limit * (1 + 1e-12))
+        at = at[np.argsort(low[at], kind="stable")]
+        for part in (at[: 4 * self.k], at[4 * self.k :]):
+            part = part[low[part] <= self.limit * (1 + 1e-12)]
+            if len(part):
+                self.add(normalise(dtw_many(cands[part], query), n, m, metric), [ids[i] for i in part], starts[part], n)
+
+
 def _by_length(data: pd.Series):
     sizes = data.map(len).to_numpy() if len(data) else np.empty(0, int)
     for n in np.unique(sizes):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from echoform.functions.kernels import check_metric, distance
 
 SCHEMA = "bucket int, len int, rep_series_id string, rep_start int, rep_end int, series_id string, start int, end int, features array<string>, dist_to_rep double, is_rep boolean"
+#: Most windows of one (bucket, len) that a task clusters, and how many a build plans for.
+GROUP_ROWS, PLANNED_ROWS = 2_000_000, 100_000
 REP = ["bucket", "len", "rep_series_id", "rep_start", "rep_end"]
 
 
@@ -84,6 +86,8 @@ def build_clusters(windows: DataFrame, st: float, metric: str = "eu", order: str
         raise ValueError("order is 'shuffle' or 'key', prefilter 'none' or 'reference'")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > GROUP_ROWS:
+            raise ValueError(f"{len(pdf)} windows of one bucket and length: build with more buckets")
         pdf = pdf.sort_values(["ts_idx", "series_id", "start"], kind="stable").reset_index(drop=True)
         rep, dist = leaders(np.stack(pdf.pop("data").to_list()), st, metric, order, prefilter)
         r = pdf.iloc[rep].reset_index(drop=True)
@@ -147,9 +151,14 @@ def thin_representatives(reps: DataFrame, st: float, metric: str) -> DataFrame:
     return reps.join(b, near, "left_anti")
 
 
-def representativeness(clusters: DataFrame, absolute: bool = True) -> DataFrame:
-    """Per length: each representative's members, or their share of the length's windows, best first (``place``)."""
+def representativeness(clusters: DataFrame, absolute: bool = True, placed: bool = True) -> DataFrame:
+    """Per length: each representative's members, or their share of the length's windows
+    (summed in parts, a row a length is joined), best first (``place``, unless not asked for)."""
     sizes = cluster_sizes(clusters)
-    score = F.col("members").cast("double") if absolute else F.col("members") / F.sum("members").over(Window.partitionBy("len"))
-    sizes = sizes.withColumn("score", score)
+    if absolute:
+        sizes = sizes.withColumn("score", F.col("members").cast("double"))
+    else:
+        sizes = sizes.join(sizes.groupBy("len").agg(F.sum("members").alias("_all")), "len").withColumn("score", F.col("members") / F.col("_all")).select(*sizes.columns, "score")
+    if not placed:
+        return sizes
     return sizes.withColumn("place", F.row_number().over(Window.partitionBy("len").orderBy(F.desc("score"), "rep_series_id", "rep_start", "bucket")))

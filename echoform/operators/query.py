@@ -9,12 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from echoform.functions import kernels as K
-from echoform.functions.batches import dtw_many, dtw_to, normalise
+from echoform.functions.batches import KBest, dtw_many, dtw_to, normalise
 from echoform.functions.kernels import check_metric
 from echoform.operators.cluster import REP
 
@@ -92,45 +93,110 @@ def matches(spark, rows: list) -> DataFrame:
 
 
 def greedy(scored: DataFrame, k: int, overlap: float) -> DataFrame:
-    """k best without overlaps: the sorted prefix looked at is doubled until it suffices."""
-    take = 4 * k
-    while True:
-        rows = scored.select("dist", "series_id", "start", "end", "len").orderBy(*ORDER).limit(take).collect()  # a bounded prefix
-        found = accept(rows, k, overlap, [])
-        if len(found) >= k or len(rows) < take:
-            return matches(scored.sparkSession, found)
-        take *= 2
+    """k best without overlaps. Only windows of one series can overlap, so a series' own
+    greedy choice stands whatever others hold: each is reduced to k matches, and the best
+    k of all are taken."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values(ORDER, kind="stable").to_dict("records")
+        return pd.DataFrame(accept(ordered, k, overlap, []), columns=list(rows.columns))
+
+    columns = ["dist", "series_id", "start", "end", "len"]
+    chosen = scored.select(*columns).groupBy("series_id").applyInPandas(run, "dist double, series_id string, start int, end int, len int")
+    return ranked(chosen, k)
+
 
+#: Windows warped side by side.
+CHUNK = 16_384
 
-def brute_force(windows: DataFrame, query: Query, k: int, metric: str, exclude_same_id: bool = False, id_filter=None, filter_mode=None, overlap: float = 1.0, prune: bool = False, mode: str = "exact") -> DataFrame:
-    """Exact k best of all windows (series_id, start, end, len, data, features).
 
-    ``prune`` first warps the windows of the k least lower bounds, and then only those
-    whose bound does not exceed the k-th distance found: the same answer."""
+def scan(series: DataFrame, query: Query, k: int, metric: str, lengths: tuple[int, int], exclude_same_id: bool = False, id_filter=None, filter_mode=None, overlap: float = 1.0, prune: bool = False) -> DataFrame:
+    """Exact k best of all windows of series (series_id, features, norm, n), without
+    enumerating them as rows: a task slides over its series and keeps the k best.
+
+    ``prune`` warps only windows whose lower bound is within the k-th distance so far:
+    the same answer. With ``overlap`` below 1, a series' matches are chosen greedily
+    before they meet the others'."""
+    check_query(k, id_filter, filter_mode, overlap)
+    check_metric(metric)
+    lo, hi = lengths
+    q = np.asarray(query.data, float)
+
+    def windows(flat: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(series, starts, windows) of one length, in chunks."""
+        counts = np.maximum(np.diff(offsets) - size + 1, 0)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        view = np.lib.stride_tricks.sliding_window_view(flat, size) if len(flat) >= size else np.empty((0, size))
+        for at in range(0, len(owner), CHUNK):
+            o, s = owner[at : at + CHUNK], starts[at : at + CHUNK]
+            yield o, s, view[offsets[o] + s]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = KBest(k)
+        for b in batches:
+            ids, lists = b.column(0).to_pylist(), b.column(1)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+            per: dict[int, list[dict]] = {}
+            for size in range(lo, min(hi, int(np.diff(offsets).max(initial=0))) + 1):
+                for owner, starts, data in windows(flat, offsets, size):
+                    if overlap == 1.0:
+                        best.search(data, q, metric, [ids[i] for i in owner], starts, prune)
+                        continue
+                    dist = normalise(dtw_many(data, q), size, len(q), metric)
+                    for i in np.flatnonzero(dist <= best.limit):
+                        per.setdefault(int(owner[i]), []).append({"dist": float(dist[i]), "series_id": ids[owner[i]], "start": int(starts[i]), "end": int(starts[i]) + size - 1, "len": size})
+            for rows in per.values():
+                rows.sort(key=lambda r: (r["dist"], r["start"], r["end"]))
+                for r in accept([r for r in rows if r["dist"] <= best.limit], k, overlap, []):
+                    best.add(np.array([r["dist"]]), [r["series_id"]], np.array([r["start"]]), r["len"])
+        cols = list(zip(*best.rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=["dist", "series_id", "start", "end", "len"])
+
+    rows = restrict(series.where(F.col("n") >= lo), query, exclude_same_id, id_filter, filter_mode)
+    return ranked(rows.select("series_id", "norm").mapInArrow(run, "dist double, series_id string, start int, end int, len int"), k)
+
+
+def search_members(rows: DataFrame, query: Query, k: int, metric: str) -> DataFrame:
+    """Best-so-far search: of rows (series_id, start, len, data), a task warps those whose
+    bound is within its k-th distance so far."""
+    q = np.asarray(query.data, float)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = KBest(k)
+        for f in frames:
+            for size, part in f.groupby("len"):
+                best.search(np.stack(part["data"].to_list()).astype(float), q, metric, part["series_id"].to_list(), part["start"].to_numpy())
+        yield pd.DataFrame(best.rows, columns=["dist", "series_id", "start", "end", "len"])
+
+    return ranked(rows.select("series_id", "start", "len", "data").mapInPandas(run, "dist double, series_id string, start int, end int, len int"), k)
+
+
+def brute_force(windows: DataFrame, query: Query, k: int, metric: str, exclude_same_id: bool = False, id_filter=None, filter_mode=None, overlap: float = 1.0, mode: str = "exact") -> DataFrame:
+    """k best of a table of windows (series_id, start, end, len, data, features), by exact
+    or (``mode='fast'``) approximate warping."""
     check_query(k, id_filter, filter_mode, overlap)
     rows = restrict(windows, query, exclude_same_id, id_filter, filter_mode)
-    to_query = dtw_to(list(query.data), metric, mode)
-    if prune and overlap == 1.0 and mode == "exact":
-        rows = rows.withColumn("_floor", K.dtw_floor(F.col("data"), F.lit(list(query.data)), metric))
-        near = rows.orderBy("_floor", "series_id", "start", "end").limit(k).withColumn("dist", to_query("data"))
-        worst = near.agg(F.max("dist").alias("d"), F.count("*").alias("n")).first()  # one row
-        if worst.n == k:
-            rows = rows.where(F.col("_floor") <= worst.d * (1 + 1e-12))
-    scored = rows.withColumn("dist", to_query("data"))
+    scored = rows.withColumn("dist", dtw_to(list(query.data), metric, mode)("data"))
     return ranked(scored, k) if overlap == 1.0 else greedy(scored, k, overlap)
 
 
-def piecewise(windows: DataFrame, query: Query, k: int, metric: str, kind: str, segments: int, compressed: str | None = None) -> DataFrame:
-    """Choose k windows by warping PAA or SAX forms, then rank those by their true distance."""
+def piecewise(windows: DataFrame, query: Query, k: int, metric: str, kind: str, segments: int, compressed: str | None = None, exclude_same_id: bool = False, id_filter=None, filter_mode=None, overlap: float = 1.0, mode: str = "exact") -> DataFrame:
+    """Choose k windows, of those the filters leave, by warping PAA or SAX forms, then rank
+    those by their true distance, and drop later ones that overlap."""
+    check_query(k, id_filter, filter_mode, overlap)
     form = {"paa": lambda x: K.paa(x, segments), "sax": lambda x: K.sax(x, segments)}.get(kind)
     if form is None:
         raise ValueError("piecewise mode must be 'paa' or 'sax'")
     q = windows.sparkSession.range(1).select(form(F.lit([float(v) for v in query.data])).cast("array<double>")).first()[0]  # one short array
     x = F.col(compressed) if compressed else form(F.col("data")).cast("array<double>")
     # the generator keeps the planner from inlining a lambda into the UDF's argument, which it cannot run
-    rough = windows.withColumn("_form", F.explode(F.array(x))).withColumn("dist", dtw_to(q, metric)("_form"))
+    open_to = restrict(windows, query, exclude_same_id, id_filter, filter_mode)
+    rough = open_to.withColumn("_form", F.explode(F.array(x))).withColumn("dist", dtw_to(q, metric)("_form"))
     chosen = rough.select("dist", "series_id", "start", "end", "len", "data").orderBy(*ORDER).limit(k)
-    return ranked(chosen.withColumn("dist", dtw_to(list(query.data), metric)("data")), k)
+    scored = chosen.withColumn("dist", dtw_to(list(query.data), metric, mode)("data"))
+    return ranked(scored, k) if overlap == 1.0 else greedy(scored, k, overlap)
 
 
 def batch(windows: DataFrame, queries: DataFrame, k: int, metric: str, exclude_same_id: bool = False) -> DataFrame:
@@ -155,9 +221,14 @@ def batch(windows: DataFrame, queries: DataFrame, k: int, metric: str, exclude_s
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; to a folder of our own only where it says nothing."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="echoform-"))
+    """Checkpoints go where the cluster says; to a folder of our own only where it says
+    nothing and there is one machine."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="echoform-"))
 
 
 def _best_of_block(block: list, k: int, metric: str, exclude_same_id: bool):
@@ -192,13 +263,14 @@ def _best_of_block(block: list, k: int, metric: str, exclude_same_id: bool):
 def select_candidates(clusters: DataFrame, reps: DataFrame, query_len: int, k: int, ke: int, radius: int) -> DataFrame:
     """Members of the representatives the index search opens.
 
-    clusters: member rows after any overlap removal; reps: representatives with ``d_rep``.
+    clusters: member rows after any overlap removal; reps: representatives with ``d_rep``
+    and ``last``, which puts a representative behind all others of its bucket and length.
     In each (bucket, len) representatives open by distance while fewer than k members came
     before; in each bucket lengths open in rings around the query's while fewer than ke
     members came from nearer rings."""
     sizes = clusters.groupBy(*REP).agg(F.count("*").alias("size"))
     sized = reps.join(sizes, REP, "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    before = Window.partitionBy("bucket", "len").orderBy("d_rep", "rep_series_id", "rep_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("bucket", "len").orderBy("last", "d_rep", "rep_series_id", "rep_start").rowsBetween(Window.unboundedPreceding, -1)
     opened = sized.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < k)
     ring = F.greatest(F.lit(0), F.abs(F.col("len") - query_len) - radius)
     rings = opened.groupBy("bucket", "len").agg(F.sum("size").alias("found")).withColumn("ring", ring)
@@ -212,7 +284,9 @@ def index_query(clusters: DataFrame, data_of, query: Query, k: int, metric: str,
     """Approximate k best through the clusters; ``data_of`` attaches samples to pointers.
 
     ``filter_stage='pre'`` applies id filters before members are counted. ``lb``: 'bsf'
-    drops representatives whose end-point or envelope bound exceeds st; 'heuristic' keeps
+    opens representatives whose end-point or envelope bound exceeds st only where the
+    others hold fewer than k members, and warps members only while their bound is within
+    the k-th distance so far; 'heuristic' keeps
     the best three quarters by the first and a quarter of those by the second. With
     overlap below 1 rounds repeat until k matches stand or a round adds none."""
     check_query(k, id_filter, filter_mode, overlap)
@@ -226,13 +300,14 @@ def index_query(clusters: DataFrame, data_of, query: Query, k: int, metric: str,
         fitted = K.resample(F.col("data"), len(query.data))
         reps = reps.withColumn("_kim", K.lb_kim(F.col("data"), q)).withColumn("_keogh", K.lb_keogh(fitted, q))
         if lb == "bsf":
-            reps = reps.where((F.col("_kim") <= st) & (F.col("_keogh") <= st) & (K.lb_keogh(q, fitted) <= st))
+            reps = reps.withColumn("last", (F.col("_kim") > st) | (F.col("_keogh") > st) | (K.lb_keogh(q, fitted) > st))
         else:
             w = Window.partitionBy("bucket", "len")
             share = lambda c: F.row_number().over(w.orderBy(c, "rep_series_id", "rep_start")) / F.count("*").over(w)
             first = lambda x: F.row_number().over(w.orderBy(x, "rep_series_id", "rep_start")) == 1
             reps = reps.withColumn("_s", share("_kim")).withColumn("_f", first("_kim")).where("_s <= 0.75 or _f").withColumn("_s", share("_keogh")).withColumn("_f", first("_keogh")).where("_s <= 0.25 or _f")
-    reps = reps.withColumn("d_rep", dtw_to(list(query.data), metric)("data")).select(*REP, "d_rep")
+    reps = reps if lb == "bsf" else reps.withColumn("last", F.lit(False))
+    reps = reps.withColumn("d_rep", dtw_to(list(query.data), metric)("data")).select(*REP, "d_rep", "last")
     reps = reps.persist() if overlap < 1 else reps
     to_query, taken = dtw_to(list(query.data), metric), []
     while True:
@@ -244,7 +319,10 @@ def index_query(clusters: DataFrame, data_of, query: Query, k: int, metric: str,
             rows = rows.join(prev, K.overlaps(F.col("series_id"), F.col("start"), F.col("end"), F.col("_id"), F.col("_s"), F.col("_e"), overlap), "left_anti")
         found = select_candidates(rows, reps, len(query.data), k, ke, radius)
         found = restrict(found, query, exclude_same_id, id_filter, filter_mode)
-        scored = data_of(found.select("bucket", "series_id", "start", "end", "len")).withColumn("dist", to_query("data"))
+        found = data_of(found.select("bucket", "series_id", "start", "end", "len"))
+        if overlap == 1.0 and lb == "bsf":
+            return search_members(found, query, k, metric)
+        scored = found.withColumn("dist", to_query("data"))
         if overlap == 1.0:
             return ranked(scored, k)
         place = F.row_number().over(Window.partitionBy("bucket").orderBy(*ORDER))
@@ -281,10 +359,10 @@ def motifs(scores: DataFrame, k: int, overlap: float = 1.0) -> DataFrame:
     if overlap == 1.0:
         best = rows.orderBy(*keys).limit(k)
         return best.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).select("rank", "len", "series_id", "start", "end", "score")
-    take = 8 * k
-    while True:
-        prefix = rows.orderBy(*keys).limit(take).collect()  # a bounded prefix
-        found = accept(prefix, k, overlap, [])
-        if len(found) >= k or len(prefix) < take:
-            return rows.sparkSession.createDataFrame([(i + 1, r.len, r.series_id, r.start, r.end, r.score) for i, r in enumerate(found)], "rank int, len int, series_id string, start int, end int, score double")
-        take *= 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values(["score", "len", "rep_series_id", "rep_start", "bucket"], ascending=[False, True, True, True, True], kind="stable")
+        return pd.DataFrame(accept(ordered.to_dict("records"), k, overlap, []), columns=list(pdf.columns))
+
+    best = rows.groupBy("series_id").applyInPandas(run, rows.schema).orderBy(*keys).limit(k)  # a series' own greedy choice stands
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).select("rank", "len", "series_id", "start", "end", "score")

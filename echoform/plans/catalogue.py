@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from echoform.functions import kernels as K
 from echoform.functions.batches import dtw_between
 from echoform.operators import cluster, evaluate, events, query, subseq
-from echoform.plans.engine import Engine
+from echoform.plans.engine import Engine, load
 from echoform.sources import series as sources
 
 LO, HI, K_BEST, QUERY_LEN = 16, 18, 15, 17
@@ -70,6 +71,13 @@ mm as (select min(value) lo, max(value) hi from events),
 ser as (select user_id, list_transform(v, lambda x: (x - lo) / (hi - lo)) norm, len(v) n from ev, mm)"""
 
 
+_ORD = """ov as (select o_custkey, list(o_totalprice order by o_orderdate, o_orderkey) v from orders group by o_custkey),
+omm as (select min(o_totalprice) lo, max(o_totalprice) hi from orders),
+oser as (select o_custkey, list_transform(v, lambda x: (x - lo) / (hi - lo)) norm, len(v) n from ov, omm)"""
+#: All lengths: orders have series of 1 to 24 samples, and none in sight has more than _OHI. One length to filter by.
+_OLO, _OHI, _OST, _OLEN = 1, 64, 0.5, 10
+
+
 def _windows(lo: int = LO, hi: int = HI, ser: str = "ser", key: str = "user_id") -> str:
     return f"""win as (select {key}::varchar series_id, {key} ts_idx, s::int "start", (s + l - 1)::int "end", l::int len, norm[s + 1 : s + l] as data
   from (select *, unnest(range(0, n - l + 1)) s from (select *, unnest(range({lo}, {hi + 1})) l from {ser}) where n >= l))"""
@@ -118,6 +126,70 @@ def window_fetch(spark, sf_dir):
     return got.select("series_id", "start", "end", F.round(F.aggregate("data", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder all machines share."""
+    query.shared_checkpoints(spark)
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def _wide(spark, sf_dir, *ids: str) -> DataFrame:
+    """Vectors as a wide table: id columns, then eight samples, one in three missing at the end."""
+    at = lambda i: F.when((F.col("vec_id") % 3 > 0) | (F.lit(i) < 7), F.element_at("embedding", i + 1).cast("double"))
+    return table(spark, sf_dir, "embeddings").select(*ids, *[at(i).alias(f"x{i}") for i in range(8)])
+
+
+_WIDE = "w as (select vec_id, label, (embedding::double[])[1 : case when vec_id % 3 > 0 then 8 else 7 end] v from embeddings)"
+
+
+@register(f"with {_WIDE} select vec_id::varchar || '|' || label::varchar series_id, len(v)::int n, round(list_sum(v), 6) total, false as has_uuid from w")
+def load_csv(spark, sf_dir):
+    path = _folder(spark, "vectors.csv")
+    _wide(spark, sf_dir, "vec_id", "label").write.option("header", True).csv(path)
+    e = load(spark, path, 2)
+    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
+    return e.series.select("series_id", "n", F.round(total, 6).alias("total"), F.lit(e.has_uuid).alias("has_uuid"))
+
+
+@register(f"with {_WIDE} select label::varchar label, count(*) as series, sum(len(v))::bigint points, true as has_uuid from w group by 1")
+def load_tsv(spark, sf_dir):
+    """Labels repeat, so ids are generated; rows have no header."""
+    path = _folder(spark, "vectors.tsv")
+    _wide(spark, sf_dir, "label").write.option("sep", "\t").csv(path)
+    e = load(spark, path, 1, header=False)
+    out = e.series.groupBy(F.element_at("features", 2).alias("label")).agg(F.count_distinct("series_id").alias("series"), F.sum("n").alias("points"))
+    return out.withColumn("has_uuid", F.lit(e.has_uuid))
+
+
+@register("select 5::bigint as series, 40::bigint as points")
+def load_rows(spark, sf_dir):
+    """Places 4 to 8 of a table whose series all have eight samples."""
+    path = _folder(spark, "vectors.parquet")
+    _wide(spark, sf_dir, "vec_id").where("vec_id % 3 > 0").coalesce(1).write.parquet(path)
+    return load(spark, path, 1, rows=(4, 9)).series.agg(F.count("*").alias("series"), F.sum("n").alias("points"))
+
+
+@register(f"with {_ORD}, c as (select l::int len, sum(n - l + 1)::bigint members from oser, range(3, 5) t(l) where n >= l group by 1) select len, members, (select round(max(hi), 4) from omm) as top from c")
+def saved_database(spark, sf_dir):
+    """Built, saved, and loaded again."""
+    path = _folder(spark, "db")
+    Engine(spark, order_series(spark, sf_dir)).build(_OST, "eu", (3, 4)).save(path)
+    e = load(spark, path)
+    return cluster.cluster_counts(e.clusters).select("len", "members").withColumn("top", F.lit(round(e.scale[1], 4)))
+
+
+@register(f"""with {_ORD}, q as (select o_custkey query_id, o_custkey::varchar qid, norm[2:4] qd from oser where o_custkey % 100 = 1 and n >= 4), {_windows(3, 3, "oser", "o_custkey")},
+sc as (select query_id, series_id, "start", "end", len, {_dtw("qd", "data", "eu")} dist from win, q where series_id <> qid),
+r as (select *, row_number() over (partition by query_id order by dist, series_id, "start")::int as rank from sc) select query_id, rank, round(dist, 6) dist, series_id, "start", "end", len from r where rank <= 3""")
+def pointer_queries(spark, sf_dir):
+    """Queries that a file of ids, starts and ends points at."""
+    path = _folder(spark, "queries.csv")
+    orders = table(spark, sf_dir, "orders").select("o_custkey").distinct().where("o_custkey % 100 = 1")
+    orders.select("o_custkey", F.lit(1).alias("start"), F.lit(3).alias("end")).write.option("header", True).csv(path)
+    e = Engine(spark, order_series(spark, sf_dir)).build(_OST, "eu", (3, 3), group_only=True)
+    pointers = sources.read_queries(spark, path, 1).withColumn("query_id", F.col("series_id").cast("long"))
+    return rounded(e.query_batch(e.queries_at(pointers), 3, exclude_same_id=True), "dist")
+
+
 # -- normalisation -----------------------------------------------------------------
 @register(f"with {_EV} select user_id::varchar series_id, pos::int pos, round(norm[pos + 1], 6) v from (select *, unnest(range(0, n)) pos from ser)")
 def minmax_normalize(spark, sf_dir):
@@ -265,12 +337,31 @@ def paa_two_stage(spark, sf_dir):
     return rounded(e.query_brute_force(first_query(e), K_BEST, piecewise="paa"), "dist")
 
 
-@register()
+def _sax(means: str) -> str:
+    cuts = ", ".join(f"{b!r}::double" for b in K.breakpoints(8))
+    return f"list_transform({means}, lambda v: len(list_filter([{cuts}], lambda c: c <= v))::double)"
+
+
+def _sax_two_stage(where: str = "true") -> str:
+    return f"""with {_EV}, {_Q}, {_windows(17, 18)},
+c as (select *, {_sax("list_transform(range(0, 3), lambda i: list_avg(data[i * (len // 3) + 1 : i * (len // 3) + len // 3]))")} pd, {_sax("list_transform(range(0, 3), lambda i: list_avg(qd[i * 5 + 1 : i * 5 + 5]))")} pq from win, q where {where}),
+r as (select *, {_dtw("pq", "pd", "eu")} rough from c order by rough, series_id, "start", "end" limit {K_BEST}),
+sc as (select series_id, "start", "end", len, {_dtw("qd", "data", "eu")} dist from r)
+select {_BEST}, round(dist, 6) dist, series_id, "start", "end", len from sc"""
+
+
+@register(_sax_two_stage())
 def sax_two_stage(spark, sf_dir):
     e = event_engine(spark, sf_dir, (17, 18), group_only=True)
     return rounded(e.query_brute_force(first_query(e), K_BEST, piecewise="sax", use_built_piecewise=False), "dist")
 
 
+@register(_sax_two_stage("series_id <> qid"))
+def sax_prebuilt_excl_same(spark, sf_dir):
+    e = event_engine(spark, sf_dir, (17, 18), group_only=True).build_piecewise("sax", 3)
+    return rounded(e.query_brute_force(first_query(e), K_BEST, piecewise="sax", exclude_same_id=True), "dist")
+
+
 @register(f"""with v as (select vec_id, label, embedding::double[] d from embeddings), q as (select vec_id query_id, label ql, d qd from v where vec_id % 100 = 0),
 sc as (select query_id, vec_id::varchar || '|' || label::varchar series_id, {_dtw("qd", "d", "eu")} dist from v, q where vec_id <> query_id),
 r as (select *, row_number() over (partition by query_id order by dist, series_id)::int as rank from sc)
@@ -300,22 +391,24 @@ def knn_label(spark, sf_dir):
 
 
 # -- clusters ----------------------------------------------------------------------
-_ORD = """ov as (select o_custkey, list(o_totalprice order by o_orderdate, o_orderkey) v from orders group by o_custkey),
-omm as (select min(o_totalprice) lo, max(o_totalprice) hi from orders),
-oser as (select o_custkey, list_transform(v, lambda x: (x - lo) / (hi - lo)) norm, len(v) n from ov, omm)"""
-#: All lengths: orders have series of 1 to 24 samples, and none in sight has more than _OHI. One length to filter by.
-_OLO, _OHI, _OST, _OLEN = 1, 64, 0.5, 10
 _EUSQL = "sqrt(list_sum(list_transform(range(1, len({a}) + 1), lambda z: ({a}[z] - {b}[z]) * ({a}[z] - {b}[z]))) / len({a}))"
-_LEADERS = f"""{_ORD}, {_windows(_OLO, _OHI, "oser", "o_custkey")},
+
+
+def _leaders(series: str, windows: str, st: float) -> str:
+    """Leader clusters, visited in key order, of the windows win: fin, a row a window."""
+    return f"""{series}, {windows},
 g as (select *, ((("start" - ts_idx) % 8) + 8) % 8 bucket from win),
 it as (select *, row_number() over (partition by bucket, len order by ts_idx, "start") pos from g),
 lst as (select bucket, len, list({{'pos': pos, 'x': data}} order by pos) xs from it group by 1, 2),
-rp as (select bucket, len, unnest(list_reduce(xs, lambda acc, q: case when len(list_filter(acc, lambda r: {_EUSQL.format(a="r.x", b="q.x")} <= {_OST / 2})) > 0 then acc else list_append(acc, q) end, list_filter(xs, lambda z: false))) r from lst),
+rp as (select bucket, len, unnest(list_reduce(xs, lambda acc, q: case when len(list_filter(acc, lambda r: {_EUSQL.format(a="r.x", b="q.x")} <= {st / 2})) > 0 then acc else list_append(acc, q) end, list_filter(xs, lambda z: false))) r from lst),
 mem as (select it.bucket, it.len, it.series_id, it."start", it.pos, arg_min(r.pos, (case when r.pos = it.pos then -1 else {_EUSQL.format(a="r.x", b="it.data")} end, r.pos)) rep
   from it join rp on rp.bucket = it.bucket and rp.len = it.len and r.pos <= it.pos group by all),
 fin as (select mem.*, ri.series_id rep_series_id, ri."start" rep_start from mem join it ri on ri.bucket = mem.bucket and ri.len = mem.len and ri.pos = mem.rep)"""
 
 
+_LEADERS = _leaders(_ORD, _windows(_OLO, _OHI, "oser", "o_custkey"), _OST)
+
+
 def order_clusters(spark, sf_dir) -> DataFrame:
     return Engine(spark, order_series(spark, sf_dir)).build(_OST, "eu", None, order="key").clusters
 
@@ -340,6 +433,18 @@ def motif_absolute(spark, sf_dir):
     return query.motifs(cluster.representativeness(order_clusters(spark, sf_dir)), 5)
 
 
+@register(f"""with recursive {_LEADERS}, c as (select bucket, len, rep_series_id, rep_start, count(*)::double score from fin group by all),
+ord as (select *, row_number() over (order by score desc, len, rep_series_id, rep_start, bucket) i from c),
+pick as (select 0::bigint i, []::struct(sid varchar, s int, l int, x double)[] got
+  union all select o.i, case when len(list_filter(got, lambda h: h.sid = o.rep_series_id and ((h.s = o.rep_start and h.l = o.len) or
+    (least(h.s + h.l, o.rep_start + o.len) - greatest(h.s, o.rep_start))::double / (greatest(h.s + h.l, o.rep_start + o.len) - least(h.s, o.rep_start)) >= 0.3))) = 0
+    then list_append(got, {{'sid': o.rep_series_id, 's': o.rep_start, 'l': o.len, 'x': o.score}}) else got end from pick join ord o on o.i = pick.i + 1 where len(got) < 8),
+fin8 as (select got from pick order by i desc limit 1)
+select i::int as rank, h.l len, h.sid series_id, h.s "start", (h.s + h.l - 1)::int "end", h.x score from (select unnest(got) h, unnest(range(1, len(got) + 1)) i from fin8)""")
+def motif_overlap(spark, sf_dir):
+    return query.motifs(cluster.representativeness(order_clusters(spark, sf_dir), placed=False), 8, 0.3)
+
+
 @register(f"with n as (select count(*) n from events where value is not null group by user_id) select l::int len, sum(n - l + 1)::bigint members, true as within from n, range({LO}, {HI + 1}) t(l) where n >= l group by l")
 def cluster_conservation(spark, sf_dir):
     """Clusters partition the windows, and no member is farther than half the threshold."""
@@ -362,23 +467,82 @@ def index_query_uncut(spark, sf_dir):
     return rounded(found.where(F.col("rank") <= K_BEST), "dist")
 
 
-@register()
+#: Queries of the orders' index: the first ten samples of a series.
+_OQ_LEN, _SOME = 10, ["1", "2", "4", "5", "7", "8", "10", "11"]
+_OQ = f"oq as (select o_custkey::varchar qid, norm[1:{_OQ_LEN}] qd from oser where n >= {_OQ_LEN} order by o_custkey limit 1)"
+
+
+def _index(k: int = K_BEST, ke: int | None = None, radius: int = 1, lengths: str = "true", pre: str = "true", post: str = "true", leaders: str = "", query: str = "", size: int = _OQ_LEN) -> str:
+    """The index search: representatives open while fewer than k members came before, rings of lengths while fewer than ke did."""
+    return f"""with {leaders or _LEADERS}, {query or _OQ},
+m as (select fin.*, it.data from fin join it on it.bucket = fin.bucket and it.len = fin.len and it.pos = fin.pos where {lengths.replace("len", "fin.len")}),
+reps as (select bucket, len, pos rep, series_id rs, "start" rt, {_dtw("qd", "data", "eu")} d_rep from m, oq where pos = rep),
+sizes as (select bucket, len, rep, count(*) size from m, oq where {pre} group by all),
+sized as (select reps.*, coalesce(size, 0) size from reps left join sizes on sizes.bucket = reps.bucket and sizes.len = reps.len and sizes.rep = reps.rep),
+opened as (select * from (select *, coalesce(sum(size) over (partition by bucket, len order by d_rep, rs, rt rows between unbounded preceding and 1 preceding), 0) came from sized) where came < {k}),
+rings as (select bucket, len, sum(size) found, greatest(0, abs(len - {size}) - {radius}) ring from opened group by 1, 2),
+kept as (select bucket, len from (select *, coalesce(sum(found) over (partition by bucket order by ring range between unbounded preceding and 1 preceding), 0) nearer from rings) where nearer < {ke or k}),
+sc as (select m.series_id, m."start", (m."start" + m.len - 1)::int "end", m.len, {_dtw("qd", "m.data", "eu")} dist
+  from m join opened o on o.bucket = m.bucket and o.len = m.len and o.rep = m.rep join kept on kept.bucket = m.bucket and kept.len = m.len, oq where {pre} and {post})
+select {_BEST}, round(dist, 6) dist, series_id, "start", "end", len from sc order by rank limit {k}"""
+
+
+def order_engine(spark, sf_dir) -> Engine:
+    return Engine(spark, order_series(spark, sf_dir)).build(_OST, "eu", None, order="key")
+
+
+def _indexed(**options):
+    def run(spark, sf_dir):
+        e = order_engine(spark, sf_dir)
+        return rounded(e.query(first_query(e, _OQ_LEN), K_BEST, **options), "dist")
+
+    return run
+
+
+_IN = f"series_id in ({', '.join(map(repr, _SOME))})"
+for _name, _sql, _options in (
+    ("index_query_orders", _index(), {}),
+    ("index_query_loi", _index(lengths="len between 8 and 12"), {"loi": (8, 12)}),
+    ("index_query_ke", _index(ke=400), {"ke": 400}),
+    ("index_query_radius", _index(radius=4), {"radius": 4}),
+    ("index_query_excl_same", _index(post="series_id <> qid"), {"exclude_same_id": True}),
+    ("index_query_idfilter_post", _index(post=_IN), {"id_filter": _SOME, "filter_mode": "any"}),
+    ("index_query_idfilter_pre", _index(pre=_IN), {"id_filter": _SOME, "filter_mode": "any", "filter_stage": "pre"}),
+):
+    QUERIES[_name], SQL[_name] = _indexed(**_options), _sql
+
+_EVENT_LEADERS = _leaders(_EV, _windows(), 0.2)
+_EVENT_Q = _Q.replace("q as (", "oq as (", 1)
+
+
+@register(_index(leaders=_EVENT_LEADERS, query=_EVENT_Q, size=QUERY_LEN))
 def index_query(spark, sf_dir):
-    e = event_engine(spark, sf_dir)
+    e = event_engine(spark, sf_dir, order="key")
     return rounded(e.query(first_query(e), K_BEST), "dist")
 
 
+@register()
+def index_query_bsf(spark, sf_dir):
+    e = event_engine(spark, sf_dir)
+    return rounded(e.query(first_query(e), K_BEST, lb_opt="bsf"), "dist")
+
+
 @register()
 def index_query_overlap(spark, sf_dir):
     e = event_engine(spark, sf_dir)
     return rounded(e.query(first_query(e), 5, overlap=0.5, exclude_same_id=True), "dist")
 
 
-@register()
+_OBEST = f"""with {_ORD}, {_OQ}, {_windows(_OLO, _OHI, "oser", "o_custkey")}, sc as (select series_id, "start", "end", len, {_dtw("qd", "data", "eu")} dist from win, oq)
+select {_BEST}, dist from sc order by rank limit {K_BEST}"""
+
+
+@register(f"select round(avg(abs(a.dist - b.dist)), 5) error, count(*) ranks from ({_index(ke=200)}) a join ({_OBEST}) b on a.rank = b.rank")
 def index_error(spark, sf_dir):
-    e = event_engine(spark, sf_dir)
-    q = first_query(e)
-    return rounded(evaluate.rank_error(e.query(q, K_BEST, ke=200), e.query_brute_force(q, K_BEST)), "error")
+    e = order_engine(spark, sf_dir)
+    q = first_query(e, _OQ_LEN)
+    out = evaluate.rank_error(e.query(q, K_BEST, ke=200), e.query_brute_force(q, K_BEST))
+    return out.withColumn("error", F.round("error", 5))
 
 
 _A, _B = _topk(lo=17, hi=18), _topk(lo=17, hi=17)
@@ -392,7 +556,7 @@ def error_metric(spark, sf_dir):
 
 
 # -- events ------------------------------------------------------------------------
-@register("select user_id::varchar series_id, 7 as place from (select user_id, count(*) n from events where value is not null group by user_id) where n >= 20")
+@register(f"with {_EV}, e as (select user_id, v, v[8:15] p from ev where len(v) >= 20) select user_id::varchar series_id, list_min(list_filter(range(0, len(v) - 7), lambda i: v[i + 1 : i + 8] = p))::int place from e")
 def event_locate(spark, sf_dir):
     s = event_series(spark, sf_dir).where("n >= 20")
     return s.select("series_id", events.event_start(F.col("values"), F.slice("values", 8, 10)).alias("place"))

@@ -22,8 +22,11 @@ class Engine:
 
     def __init__(self, spark: SparkSession, series: DataFrame, has_uuid: bool = False, scale: tuple[float, float] | None = None):
         self.spark, self.has_uuid = spark, has_uuid
-        self.scale = scale or subseq.scale_of(series)
-        self.series = subseq.normalised(series.drop("norm"), *self.scale)
+        # Read and grouped once; dealt evenly, for few partitions of short rows expand to very many windows.
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.base = series.drop("norm").repartition(parts, "series_id").persist()
+        self.scale = scale or subseq.scale_of(self.base)
+        self.series = subseq.normalised(self.base, *self.scale)
         self.settings: dict = {}
         self.clusters: DataFrame | None = None
         self.pieces: DataFrame | None = None
@@ -80,12 +83,16 @@ class Engine:
         return [float(v) * (hi - lo) + lo for v in data]
 
     # -- building ----------------------------------------------------------------
-    def build(self, st: float, dist_type: str = "eu", loi=None, scheme: str = "dss", n_buckets: int = 8, order: str = "shuffle", prefilter: str = "none", group_only: bool = False) -> Engine:
+    def build(self, st: float, dist_type: str = "eu", loi=None, scheme: str = "dss", n_buckets: int | None = None, order: str = "shuffle", prefilter: str = "none", group_only: bool = False) -> Engine:
         """Enumerate windows of the lengths of interest and cluster them. Lazily: the
-        clusters are computed when first used, or written by ``save``."""
+        clusters are computed when first used, or written by ``save``. Buckets are 8, or
+        as many as keep the most common length's groups to about PLANNED_ROWS windows."""
         cluster.check_threshold(st)
         K.check_metric(dist_type)
         lo, hi = subseq.resolve_lengths(loi, self.max_len())
+        if n_buckets is None:
+            many = self.series.agg(F.sum(F.greatest(F.col("n") - lo + 1, F.lit(0)))).first()[0] or 0  # windows of the shortest length
+            n_buckets = max(8, -(-many // cluster.PLANNED_ROWS))
         self.settings = {"st": st, "dist_type": dist_type, "loi": [lo, hi], "scheme": scheme, "n_buckets": n_buckets, "order": order, "prefilter": prefilter, "piecewise": None, "n_segment": 3}
         self.pieces = None
         self.clusters = None if group_only else cluster.build_clusters(self.windows(), st, dist_type, order, prefilter).persist()
@@ -152,20 +159,37 @@ class Engine:
         return subseq.with_data(pointers, self.series)
 
     def query_brute_force(self, q, best_k: int, piecewise: str | None = None, use_built_piecewise: bool = True, **options) -> DataFrame:
-        """Exact k best, or chosen by PAA or SAX and ranked by true distance."""
+        """Exact k best, or chosen by PAA or SAX and ranked by true distance. Options:
+        exclude_same_id, id_filter, filter_mode, overlap; mode='fast' for approximate
+        warping; prune, of exact scans only."""
         s = self._built()
+        if piecewise is None and options.get("mode", "exact") == "exact":
+            options.pop("mode", None)
+            return query.scan(self.series, self.resolve(q), best_k, s["dist_type"], tuple(s["loi"]), **options)
+        if options.pop("prune", False):
+            raise ValueError("prune is for exact scans")
         if piecewise is None:
             return query.brute_force(self.windows(), self.resolve(q), best_k, s["dist_type"], **options)
         if use_built_piecewise:
             if self.pieces is None or s["piecewise"] != piecewise:
                 raise ValueError(f"build_piecewise({piecewise!r}) first")
-            return query.piecewise(self.pieces, self.resolve(q), best_k, s["dist_type"], piecewise, s["n_segment"], "piece")
-        return query.piecewise(self.windows(), self.resolve(q), best_k, s["dist_type"], piecewise, s["n_segment"])
+            return query.piecewise(self.pieces, self.resolve(q), best_k, s["dist_type"], piecewise, s["n_segment"], "piece", **options)
+        return query.piecewise(self.windows(), self.resolve(q), best_k, s["dist_type"], piecewise, s["n_segment"], **options)
 
     def query_batch(self, queries: DataFrame, best_k: int, exclude_same_id: bool = False) -> DataFrame:
         """Exact k best of a table of queries (query_id, qdata, qseries)."""
         return query.batch(self.windows(), queries, best_k, self._built()["dist_type"], exclude_same_id)
 
+    def queries_at(self, pointers: DataFrame) -> DataFrame:
+        """Pointers (query_id, series_id, start, end), as ``read_queries`` gives them, as a
+        table for ``query_batch``; those outside their series are left out."""
+        inside = subseq.exists(pointers.withColumn("len", F.col("end") - F.col("start") + 1), self.series)
+        return self._with_data(inside).select("query_id", F.col("data").alias("qdata"), F.col("series_id").alias("qseries"))
+
+    def queries_of(self, raw: DataFrame) -> DataFrame:
+        """Value queries (query_id, data) on the data's own scale, as a table for ``query_batch``."""
+        return raw.select("query_id", K.minmax(F.col("data"), *self.scale).alias("qdata"), F.lit(None).cast("string").alias("qseries"))
+
     # -- derived -----------------------------------------------------------------
     def build_piecewise(self, mode: str, n_segment: int = 3) -> Engine:
         s = self._built()
@@ -185,7 +209,8 @@ class Engine:
         return cluster.representativeness(self.clusters, absolute)
 
     def motif(self, k: int, overlap: float = 1.0, absolute: bool = True) -> DataFrame:
-        return query.motifs(self.motif_all_length(absolute), k, overlap)
+        self._built(True)
+        return query.motifs(cluster.representativeness(self.clusters, absolute, False), k, overlap)
 
     def predict_label_knn(self, q, k: int, label_index: int) -> str | None:
         """The commonest label (a user-visible id feature) of the k best matches in other series; None on a tie."""
@@ -203,7 +228,7 @@ class Engine:
 
     def stop(self) -> None:
         """Release cached tables; the session belongs to the caller."""
-        for t in (self.clusters, self.pieces):
+        for t in (self.base, self.clusters, self.pieces):
             if t is not None:
                 t.unpersist()
 

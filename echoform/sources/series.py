@@ -25,6 +25,13 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("ts_idx", F.element_at(offsets, part) + within).drop("_mid")
 
 
+def series_id(parts: list[Column]) -> Column:
+    """One text of several: joined by ``|``, which is escaped inside a part, as is the
+    escape; a null part is told from all texts."""
+    safe = [F.coalesce(F.regexp_replace(p.cast("string"), r"([|\\])", r"\\$1"), F.lit("\\0")) for p in parts]
+    return F.concat_ws("|", *safe)
+
+
 def need_uuid(df: DataFrame, columns: list[str]) -> bool:
     """Whether rows need a generated id: no id columns, or ids that repeat."""
     return not columns or bool(df.groupBy(*columns).count().where("count > 1").limit(1).count())
@@ -63,12 +70,14 @@ def to_series(df: DataFrame, feature_num: int, rows=None, z_normalise: bool = Fa
         values = F.array(*[F.col(f"`{c}`").cast("double") for c in samples]) if samples else F.array().cast("array<double>")
     values = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
     features = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in ids]
+    n_features = len(ids) + has_uuid
+    key = series_id([F.element_at("features", i + 1) for i in range(n_features)])
     out = df.select(F.array(*([generated_id(F.col("ts_idx"))] if has_uuid else []), *features).alias("features"), "ts_idx", values.alias("values"))
     if z_normalise:
         from echoform.functions.kernels import znorm
 
         out = out.withColumn("values", znorm(F.col("values")))
-    return out.select(F.concat_ws("|", "features").alias("series_id"), "ts_idx", "features", "values", F.size("values").alias("n")), has_uuid
+    return out.select(key.alias("series_id"), "ts_idx", "features", "values", F.size("values").alias("n")), has_uuid
 
 
 def read_table(spark: SparkSession, source, header: bool = True) -> DataFrame:
@@ -91,10 +100,14 @@ def read_table(spark: SparkSession, source, header: bool = True) -> DataFrame:
 
 
 def from_events(events: DataFrame, key: list[str], order: list[str], sample: str) -> DataFrame:
-    """A long table -> series: one per key, samples in the given order."""
+    """A long table -> series: one per key, samples in the given order. ts_idx is the first
+    key where that is a whole number, else a hash of all (``ordinal`` gives places)."""
     rows = events.where(F.col(sample).isNotNull()).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(sample).cast("double").alias("_v")))).alias("s"))
     features = F.array(*[F.col(k).cast("string") for k in key])
-    out = rows.select(F.concat_ws("|", features).alias("series_id"), F.col(key[0]).cast("long").alias("ts_idx"), features.alias("features"), F.transform("s", lambda s: s["_v"]).alias("values"))
+    name = series_id([F.col(k) for k in key])
+    whole = events.select(key[0]).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+    place = F.col(key[0]).cast("long") if whole else F.shiftrightunsigned(F.xxhash64(name), 1)
+    out = rows.select(name.alias("series_id"), place.alias("ts_idx"), features.alias("features"), F.transform("s", lambda s: s["_v"]).alias("values"))
     return out.withColumn("n", F.size("values"))
 
 
@@ -102,7 +115,7 @@ def from_arrays(df: DataFrame, features: list[str], values: str, index: str) ->
     """A table with one array a row -> series."""
     f = F.array(*[F.col(c).cast("string") for c in features])
     v = F.filter(F.col(values).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x))
-    return df.select(F.concat_ws("|", f).alias("series_id"), F.col(index).cast("long").alias("ts_idx"), f.alias("features"), v.alias("values"), F.size(v).alias("n"))
+    return df.select(series_id([F.col(c) for c in features]).alias("series_id"), F.col(index).cast("long").alias("ts_idx"), f.alias("features"), v.alias("values"), F.size(v).alias("n"))
 
 
 def read_trimmed(spark: SparkSession, path: str, feature_num: int) -> DataFrame:
@@ -113,14 +126,14 @@ def read_trimmed(spark: SparkSession, path: str, feature_num: int) -> DataFrame:
     last = F.array_max(F.transform(raw, lambda v, i: F.when(~v.isin("0", "", ","), i + 1).otherwise(0)))
     values = F.transform(F.filter(F.slice(raw, 1, last), lambda v: v != ""), lambda v: v.cast("double"))
     f = F.array(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in ids])
-    return df.select(F.concat_ws("|", f).alias("series_id"), "ts_idx", f.alias("features"), values.alias("values"), F.size(values).alias("n"))
+    return df.select(series_id([F.element_at(f, i + 1) for i in range(len(ids))]).alias("series_id"), "ts_idx", f.alias("features"), values.alias("values"), F.size(values).alias("n"))
 
 
 def read_queries(spark: SparkSession, path: str, feature_num: int, header: bool = True) -> DataFrame:
     """Pointer queries: id columns, start, end (inclusive) -> (query_id, series_id, start, end)."""
     df = _numbered(read_table(spark, path, header))
     ids, (s, e) = df.columns[:feature_num], df.columns[feature_num : feature_num + 2]
-    return df.select(F.col("ts_idx").alias("query_id"), F.concat_ws("|", *[F.trim(F.col(f"`{c}`").cast("string")) for c in ids]).alias("series_id"), F.col(f"`{s}`").cast("int").alias("start"), F.col(f"`{e}`").cast("int").alias("end"))
+    return df.select(F.col("ts_idx").alias("query_id"), series_id([F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in ids]).alias("series_id"), F.col(f"`{s}`").cast("int").alias("start"), F.col(f"`{e}`").cast("int").alias("end"))
 
 
 def read_raw_queries(spark: SparkSession, path: str, skip: int = 0, header: bool = False) -> DataFrame:
