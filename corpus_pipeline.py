@@ -54,6 +54,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = parity_join.jaccard_components(docs.select(key.alias("doc_id"), docs.text.alias("text"))).select(F.col("doc_id").alias("key"), "component_id")
     groups = scratch.write(groups.distinct().join(known.distinct(), "key"))
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = scratch.write(first)
+    first = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
     rejected = groups.join(first, "component_id").where(F.col("key") != F.col("first.key")).select("key")
     out = without(docs, key, rejected, scratch)
     if known.count() != groups.count():  # a key of its own for every distinct pair of id and text
