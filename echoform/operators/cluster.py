@@ -7,10 +7,11 @@ start, end, features, dist_to_rep, is_rep.
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoform.functions.kernels import check_metric, distance
@@ -46,15 +47,21 @@ def visiting_order(n: int, order: str, seed: int = 42) -> list[int]:
     return at
 
 
-def leaders(data: np.ndarray, st: float, metric: str, order: str = "shuffle", prefilter: str = "none") -> tuple[np.ndarray, np.ndarray]:
+def leaders(data: np.ndarray, st: float, metric: str, order: str = "shuffle", prefilter: str = "none", first: Sequence[int] = (), joined: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(place of each window's representative, distance to it). Each window, in visiting
     order, joins the nearest representative within st / 2, the earlier of two as near, or
     becomes one. ``prefilter='reference'`` skips a representative whose end-point bound
-    exceeds the best distance so far, which may miss the nearest."""
+    exceeds the best distance so far, which may miss the nearest. The windows ``first``
+    are representatives before any is visited; those of ``joined`` have theirs already."""
     n, width = data.shape
-    reps, places, count = np.empty((16, width)), [], 0
+    joined, places, count = {**(joined or {}), **{i: i for i in first}}, list(first), len(first)
+    reps = np.vstack([data[places], np.empty((16, width))])
     rep_of, dist = np.zeros(n, np.int64), np.zeros(n)
+    for i, r in joined.items():
+        rep_of[i], dist[i] = r, distances(data[[r]], data[i], metric)[0]
     for i in visiting_order(n, order):
+        if i in joined:
+            continue
         x, best = data[i], -1
         if count:
             d = distances(reps[:count], x, metric)
@@ -77,9 +84,33 @@ def leaders(data: np.ndarray, st: float, metric: str, order: str = "shuffle", pr
     return rep_of, dist
 
 
-def build_clusters(windows: DataFrame, st: float, metric: str = "eu", order: str = "shuffle", prefilter: str = "none") -> DataFrame:
-    """Cluster windows within each (bucket, len). One shuffle, on those keys; within a
-    group the algorithm is sequential, so more buckets make smaller tasks."""
+def inherited(longer: list[tuple[str, int]], rep_of: np.ndarray, place: dict[tuple[str, int], int], data: np.ndarray, st: float, metric: str) -> tuple[list[int], dict[int, int]]:
+    """What clusters of windows one sample longer (series, start) give a group of windows at
+    ``place``: representatives less their last or their first sample, whichever leaves more
+    that are farther than st / 2 from every earlier one, and of their members, trimmed
+    alike, those still within st / 2."""
+    best: tuple[list[int], np.ndarray] | None = None
+    for shift in (0, 1):
+        at = np.array([place.get((s, a + shift), -1) for s, a in longer])
+        reps = [int(at[u]) for u in np.flatnonzero(rep_of == np.arange(len(longer))) if at[u] >= 0]
+        kept = [r for i, r in enumerate(reps) if not i or distances(data[reps[:i]], data[r], metric).min() > st / 2]
+        if best is None or len(kept) > len(best[0]):
+            best = kept, at
+    kept, at = best
+    stays, joined = set(kept), {}
+    for u, w in enumerate(at):
+        r = int(at[rep_of[u]])
+        if w >= 0 and r in stays and distances(data[[r]], data[w], metric)[0] <= st / 2:
+            joined[int(w)] = r
+    return kept, joined
+
+
+def build_clusters(windows: DataFrame, st: float, metric: str = "eu", order: str = "shuffle", prefilter: str = "none", by: Sequence[Column] = (), warm: bool = False) -> DataFrame:
+    """Cluster windows within each (bucket, len), and value of ``by``. One shuffle, on those
+    keys; within a group the algorithm is sequential, so more buckets make smaller tasks.
+
+    ``warm`` takes a bucket's lengths together, the longest first: a length starts from the
+    clusters of windows one sample longer (``inherited``) and clusters the rest."""
     check_threshold(st)
     check_metric(metric)
     if order not in ("shuffle", "key") or prefilter not in ("none", "reference"):
@@ -87,16 +118,24 @@ def build_clusters(windows: DataFrame, st: float, metric: str = "eu", order: str
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > GROUP_ROWS:
-            raise ValueError(f"{len(pdf)} windows of one bucket and length: build with more buckets")
-        pdf = pdf.sort_values(["ts_idx", "series_id", "start"], kind="stable").reset_index(drop=True)
-        rep, dist = leaders(np.stack(pdf.pop("data").to_list()), st, metric, order, prefilter)
-        r = pdf.iloc[rep].reset_index(drop=True)
-        return pd.DataFrame({
-            "bucket": pdf.bucket, "len": pdf.len, "rep_series_id": r.series_id, "rep_start": r.start, "rep_end": r.end, "series_id": pdf.series_id,
-            "start": pdf.start, "end": pdf.end, "features": pdf.features, "dist_to_rep": dist, "is_rep": rep == np.arange(len(pdf)),
-        })
-
-    return windows.select("bucket", "len", "ts_idx", "series_id", "start", "end", "features", "data").groupBy("bucket", "len").applyInPandas(run, SCHEMA)
+            raise ValueError(f"{len(pdf)} windows of one group: build with more buckets")
+        pdf = pdf.sort_values(["len", "ts_idx", "series_id", "start"], ascending=[False, True, True, True], kind="stable")
+        out, longer, rep = [], [], np.empty(0, np.int64)
+        for size, rows in pdf.groupby("len", sort=False):
+            rows = rows.reset_index(drop=True)
+            data, keys = np.stack(rows.pop("data").to_list()), list(zip(rows.series_id, rows.start, strict=True))
+            follows = warm and out and out[-1].len.iloc[0] == size + 1
+            first, joined = inherited(longer, rep, {k: i for i, k in enumerate(keys)}, data, st, metric) if follows else ([], {})
+            rep, dist = leaders(data, st, metric, order, prefilter, first, joined)
+            longer, r = keys, rows.iloc[rep].reset_index(drop=True)
+            out.append(pd.DataFrame({
+                "bucket": rows.bucket, "len": rows.len, "rep_series_id": r.series_id, "rep_start": r.start, "rep_end": r.end, "series_id": rows.series_id,
+                "start": rows.start, "end": rows.end, "features": rows.features, "dist_to_rep": dist, "is_rep": rep == np.arange(len(rows)),
+            }))
+        return pd.concat(out)
+
+    keys = ["bucket"] if warm else ["bucket", "len"]
+    return windows.select("bucket", "len", "ts_idx", "series_id", "start", "end", "features", "data").groupBy(*keys, *by).applyInPandas(run, SCHEMA)
 
 
 def cluster_sizes(clusters: DataFrame) -> DataFrame:

@@ -334,6 +334,16 @@ def index_query(clusters: DataFrame, data_of, query: Query, k: int, metric: str,
         taken = more
 
 
+def nearest_cluster(clusters: DataFrame, data_of, query: Query, k: int, metric: str, lengths: tuple[int, int]) -> DataFrame:
+    """k best members of the one cluster whose representative is nearest (see ``index_query``)."""
+    check_query(k, None, None, 1.0)
+    to_query, members = dtw_to(list(query.data), metric), clusters.where(F.col("len").between(*lengths))
+    reps = data_of(members.where("is_rep").select(*REP, F.col("rep_series_id").alias("series_id"), F.col("rep_start").alias("start")))
+    nearest = reps.withColumn("d_rep", to_query("data")).orderBy("d_rep", "rep_series_id", "rep_start", "len", "bucket").select(*REP).limit(1)
+    found = data_of(members.join(F.broadcast(nearest), REP).select("series_id", "start", "end", "len"))  # a row is broadcast
+    return ranked(found.withColumn("dist", to_query("data")), k)
+
+
 def vote(found: DataFrame, series: DataFrame, label_place: int) -> DataFrame:
     """One row (label, votes): the commonest label of the matches' series, null on a tie."""
     labels = found.join(series.select("series_id", F.element_at("features", label_place + 1).alias("label")), "series_id").groupBy("label").agg(F.count("*").alias("votes"))
@@ -350,19 +360,20 @@ def batch_vote(found: DataFrame, labels: DataFrame) -> DataFrame:
     return two.select("query_id", F.when(F.col("next").isNull() | (F.col("next") < F.col("votes")), F.col("label")).alias("label"), "votes")
 
 
-def motifs(scores: DataFrame, k: int, overlap: float = 1.0) -> DataFrame:
+def motifs(scores: DataFrame, k: int, overlap: float = 1.0, of: str | None = None) -> DataFrame:
     """The k most representative windows of all lengths (see ``representativeness``),
-    optionally without overlaps, with ranks from 1."""
+    optionally without overlaps, with ranks from 1; of each value of the column ``of``, if
+    given, whose series are its own."""
     check_query(k, None, None, overlap)
     keys = [F.desc("score"), F.asc("len"), F.asc("rep_series_id"), F.asc("rep_start"), F.asc("bucket")]
-    rows = scores.select("len", F.col("rep_series_id").alias("series_id"), F.col("rep_start").alias("start"), F.col("rep_end").alias("end"), "score", "bucket", "rep_series_id", "rep_start")
-    if overlap == 1.0:
-        best = rows.orderBy(*keys).limit(k)
-        return best.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).select("rank", "len", "series_id", "start", "end", "score")
+    group, shown = [of] if of else [], ["rank", "len", "series_id", "start", "end", "score"]
+    rows = scores.select(*group, "len", F.col("rep_series_id").alias("series_id"), F.col("rep_start").alias("start"), F.col("rep_end").alias("end"), "score", "bucket", "rep_series_id", "rep_start")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values(["score", "len", "rep_series_id", "rep_start", "bucket"], ascending=[False, True, True, True, True], kind="stable")
         return pd.DataFrame(accept(ordered.to_dict("records"), k, overlap, []), columns=list(pdf.columns))
 
-    best = rows.groupBy("series_id").applyInPandas(run, rows.schema).orderBy(*keys).limit(k)  # a series' own greedy choice stands
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).select("rank", "len", "series_id", "start", "end", "score")
+    if overlap < 1.0:  # a series' own greedy choice stands
+        rows = rows.groupBy("series_id").applyInPandas(run, rows.schema)
+    best = rows if of else rows.orderBy(*keys).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*keys))).where(F.col("rank") <= k).select(*group, *shown)

@@ -452,6 +452,13 @@ def cluster_conservation(spark, sf_dir):
     return c.groupBy("len").agg(F.count("*").alias("members"), (F.max("dist_to_rep") <= 0.1).alias("within"))
 
 
+@register(f"with {_ORD} select l::int len, sum(n - l + 1)::bigint members, true as within from oser, range({_OLO}, {_OHI + 1}) t(l) where n >= l group by l")
+def cluster_warm(spark, sf_dir):
+    """Clusters that start from those of longer windows partition the windows as well."""
+    c = Engine(spark, order_series(spark, sf_dir)).build(_OST, "eu", None, warm=True).clusters
+    return c.groupBy("len").agg(F.count("*").alias("members"), (F.max("dist_to_rep") <= _OST / 2).alias("within"))
+
+
 @register(f"with {_LEADERS} select count(*) members, sum((pos = rep)::int)::bigint reps from fin where len = {_OLEN} and (series_id in ('1', '2', '4', '5', '7', '8') or pos = rep)")
 def cluster_filter(spark, sf_dir):
     c = cluster.select_clusters(order_clusters(spark, sf_dir), _OLEN, ["1", "2", "4", "5", "7", "8"])
@@ -511,6 +518,16 @@ for _name, _sql, _options in (
 ):
     QUERIES[_name], SQL[_name] = _indexed(**_options), _sql
 
+@register(f"""with {_LEADERS}, {_OQ},
+m as (select fin.*, it.data from fin join it on it.bucket = fin.bucket and it.len = fin.len and it.pos = fin.pos where fin.len between 8 and 12),
+one as (select m.bucket, m.len, m.rep from (select *, {_dtw("qd", "data", "eu")} d from m, oq where pos = rep) m order by d, series_id, "start", len limit 1),
+sc as (select m.series_id, m."start", (m."start" + m.len - 1)::int "end", m.len, {_dtw("qd", "m.data", "eu")} dist from m join one on one.bucket = m.bucket and one.len = m.len and one.rep = m.rep, oq)
+select {_BEST}, round(dist, 6) dist, series_id, "start", "end", len from sc order by rank limit {K_BEST}""")
+def nearest_cluster_query(spark, sf_dir):
+    e = order_engine(spark, sf_dir)
+    return rounded(e.query_nearest(first_query(e, _OQ_LEN), K_BEST, (8, 12)), "dist")
+
+
 _EVENT_LEADERS = _leaders(_EV, _windows(), 0.2)
 _EVENT_Q = _Q.replace("q as (", "oq as (", 1)
 

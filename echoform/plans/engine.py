@@ -83,19 +83,21 @@ class Engine:
         return [float(v) * (hi - lo) + lo for v in data]
 
     # -- building ----------------------------------------------------------------
-    def build(self, st: float, dist_type: str = "eu", loi=None, scheme: str = "dss", n_buckets: int | None = None, order: str = "shuffle", prefilter: str = "none", group_only: bool = False) -> Engine:
+    def build(self, st: float, dist_type: str = "eu", loi=None, scheme: str = "dss", n_buckets: int | None = None, order: str = "shuffle", prefilter: str = "none", group_only: bool = False, warm: bool = False) -> Engine:
         """Enumerate windows of the lengths of interest and cluster them. Lazily: the
         clusters are computed when first used, or written by ``save``. Buckets are 8, or
-        as many as keep the most common length's groups to about PLANNED_ROWS windows."""
+        as many as keep the most common length's groups to about PLANNED_ROWS windows (with
+        ``warm``, where a bucket's lengths are one group, the groups of all lengths)."""
         cluster.check_threshold(st)
         K.check_metric(dist_type)
         lo, hi = subseq.resolve_lengths(loi, self.max_len())
         if n_buckets is None:
-            many = self.series.agg(F.sum(F.greatest(F.col("n") - lo + 1, F.lit(0)))).first()[0] or 0  # windows of the shortest length
+            self.settings = {"loi": [lo, hi]}
+            many = self.num_windows() if warm else self.series.agg(F.sum(F.greatest(F.col("n") - lo + 1, F.lit(0)))).first()[0] or 0  # windows of the shortest length
             n_buckets = max(8, -(-many // cluster.PLANNED_ROWS))
-        self.settings = {"st": st, "dist_type": dist_type, "loi": [lo, hi], "scheme": scheme, "n_buckets": n_buckets, "order": order, "prefilter": prefilter, "piecewise": None, "n_segment": 3}
+        self.settings = {"st": st, "dist_type": dist_type, "loi": [lo, hi], "scheme": scheme, "n_buckets": n_buckets, "order": order, "prefilter": prefilter, "warm": warm, "piecewise": None, "n_segment": 3}
         self.pieces = None
-        self.clusters = None if group_only else cluster.build_clusters(self.windows(), st, dist_type, order, prefilter).persist()
+        self.clusters = None if group_only else cluster.build_clusters(self.windows(), st, dist_type, order, prefilter, warm=warm).persist()
         return self
 
     def _built(self, clusters: bool = False) -> dict:
@@ -155,6 +157,11 @@ class Engine:
         lengths = subseq.resolve_query_lengths(loi, tuple(s["loi"]))
         return query.index_query(self.clusters, self._with_data, self.resolve(q), best_k, s["dist_type"], lengths, ke, radius, exclude_same_id, id_filter, filter_mode, overlap, filter_stage, lb_opt, s["st"])
 
+    def query_nearest(self, q, best_k: int, loi=None) -> DataFrame:
+        """k best members of the cluster of the nearest representative alone."""
+        s = self._built(True)
+        return query.nearest_cluster(self.clusters, self._with_data, self.resolve(q), best_k, s["dist_type"], subseq.resolve_query_lengths(loi, tuple(s["loi"])))
+
     def _with_data(self, pointers: DataFrame) -> DataFrame:
         return subseq.with_data(pointers, self.series)
 
@@ -260,11 +267,28 @@ def load(spark: SparkSession, path: str, feature_num: int | None = None, header:
     return from_table(spark, path, feature_num, header, rows)
 
 
-def motif_across(spark: SparkSession, series: DataFrame, feature: int, st: float, k: int, loi, dist_type: str = "eu", overlap: float = 1.0) -> dict[str, DataFrame]:
-    """Motifs per distinct value of an id feature: all values, one engine each, so the driver holds a plan per value."""
+def motif_across(spark: SparkSession, series: DataFrame, feature: int, st: float, k: int, loi, dist_type: str = "eu", overlap: float = 1.0) -> DataFrame:
+    """Motifs of every value of an id feature: value, rank, len, series_id, start, end, score.
+
+    Each value, null too, has its own scale and its own clusters. One plan for all values:
+    the value is a key of scaling, clustering and ranking."""
     of = F.element_at("features", feature + 1)
-    values = sorted((r[0] for r in series.select(of).distinct().collect()), key=lambda v: (v is not None, v))
-    return {v: Engine(spark, series.where(of.eqNullSafe(F.lit(v)))).build(st, dist_type, loi).motif(k, overlap) for v in values}
+    keyed = series.drop("norm").withColumn("value", of)
+    lo, hi = subseq.resolve_lengths(loi, keyed.agg(F.max("n")).first()[0] or 0)
+    many = keyed.agg(F.sum(F.greatest(F.col("n") - lo + 1, F.lit(0)))).first()[0] or 0
+    scales = keyed.groupBy(F.col("value").alias("_of")).agg(F.min(F.array_min("values")).alias("_lo"), F.max(F.array_max("values")).alias("_hi"))
+    scaled = keyed.join(scales, F.col("value").eqNullSafe(F.col("_of"))).withColumn("norm", F.transform("values", lambda v: F.when(F.col("_hi") > F.col("_lo"), (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)))
+    windows = subseq.enumerate_windows(scaled, lo, hi, "dss", max(8, -(-many // cluster.PLANNED_ROWS)))
+    clusters = cluster.build_clusters(windows, cluster.check_threshold(st), dist_type, by=[of]).withColumn("value", of)
+    scores = clusters.groupBy("value", *cluster.REP).agg(F.count("*").cast("double").alias("score"))
+    return query.motifs(scores, k, overlap, "value")
+
+
+def session_settings(spark: SparkSession) -> dict[str, str | int | None]:
+    """Parallelism and memory of the session an engine runs in."""
+    named = ("spark.driver.memory", "spark.driver.maxResultSize", "spark.executor.memory", "spark.sql.shuffle.partitions", "spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    return {"parallelism": spark.sparkContext.defaultParallelism} | {k: spark.conf.get(k, None) or conf.get(k) for k in named}
 
 
 def prepare_folder(spark: SparkSession, files: list[str], feature_num: int, out: str, rate: float, seconds: tuple[float, float], st: float = 0.1, header: bool = False) -> list[str]:

@@ -1,6 +1,5 @@
 import os
 import random
-from unittest.mock import Mock
 
 import duckdb
 import numpy as np
@@ -212,10 +211,20 @@ def test_all_windows_of_orders_are_clustered(spark):
     assert c.count() == sum(k * (k + 1) // 2 for k in n) and c.select("series_id").distinct().count() == len(n)
 
 
-def test_motif_across_takes_every_value(spark, monkeypatch):
-    frame = spark.createDataFrame([(str(i), i, [f"v{i}"], [0.0, 1.0], 2) for i in range(1100)], "series_id string, ts_idx int, features array<string>, values array<double>, n int")
-    monkeypatch.setattr(engine, "Engine", Mock())  # an engine for each value is built, not run
-    assert set(engine.motif_across(spark, frame, 0, 0.5, 1, (2, 2))) == {f"v{i}" for i in range(1100)}
+def test_motif_across_takes_every_value(spark):
+    """As separate engines give them, with scales of their own; null is a value."""
+    rng = np.random.default_rng(8)
+    ids = [f"v{i % 5}" if i % 5 else None for i in range(30)] + [f"w{i}" for i in range(1100)]
+    rows = [(str(i), i, [v], (rng.random(7) * (i % 5 + 1)).tolist() if i < 30 else [0.0, 1.0], 7 if i < 30 else 2) for i, v in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "series_id string, ts_idx int, features array<string>, values array<double>, n int")
+    shown = ["rank", "len", "series_id", "start", "end", "score"]
+    for overlap in (1.0, 0.2):
+        got = engine.motif_across(spark, frame, 0, 0.4, 4, (2, 3), overlap=overlap).collect()
+        assert {r.value for r in got} == set(ids)
+        for v in (None, "v1", "w7"):
+            part = frame.where(F.element_at("features", 1).eqNullSafe(F.lit(v)))
+            want = Engine(spark, part).build(0.4, loi=(2, 3) if v != "w7" else (2, 2)).motif(4, overlap).select(*shown).collect()
+            assert sorted(tuple(r[c] for c in shown) for r in got if r.value == v) == sorted(map(tuple, want))
 
 
 def test_batch_is_exact_whatever_the_blocks(spark, monkeypatch):

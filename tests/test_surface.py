@@ -9,7 +9,7 @@ from echoform.functions import kernels as K
 from echoform.functions.batches import KBest, dtw_many, floors, normalise
 from echoform.operators import cluster, evaluate, events, query, subseq
 from echoform.plans import catalogue
-from echoform.plans.engine import Engine, from_table, load, prepare_folder
+from echoform.plans.engine import Engine, from_table, load, prepare_folder, session_settings
 from echoform.sources import series as sources
 from echoform.sources import store
 
@@ -177,3 +177,54 @@ def test_buckets_follow_the_data(spark, monkeypatch):
     monkeypatch.setattr(cluster, "GROUP_ROWS", 2)
     with pytest.raises(Exception, match="more buckets"):
         Engine(spark, s).build(0.2, loi=(16, 16), n_buckets=8).num_clusters()
+
+
+def plain_warm(rows, st):
+    """Clusters of rows ((series, start, size) -> samples), visited in key order, longest first."""
+    gap = lambda a, b: float(np.sqrt(np.mean((np.array(rows[a]) - np.array(rows[b])) ** 2)))
+    out, before = {}, {}
+    for size in sorted({k[2] for k in rows}, reverse=True):
+        choices = []
+        for cut in (0, 1):
+            trim = lambda w: (w[0], w[1] + cut, w[2] - 1)  # noqa: B023, E731
+            heads = [trim(r) for r in before if before[r] == r and trim(r) in rows]
+            kept = [h for i, h in enumerate(heads) if all(gap(h, g) > st / 2 for g in heads[:i])]
+            choices.append((kept, {trim(w): trim(r) for w, r in before.items() if trim(w) in rows and trim(r) in kept and gap(trim(w), trim(r)) <= st / 2}))
+        kept, now = choices[1] if len(choices[1][0]) > len(choices[0][0]) else choices[0]
+        reps = list(kept)
+        for w in sorted(k for k in rows if k[2] == size):
+            if w not in now:
+                near = min(reps, key=lambda r: gap(r, w), default=None)  # noqa: B023
+                now[w] = near if near and gap(near, w) <= st / 2 else w
+                reps += [w] if now[w] == w else []
+        before = {w: now[w] for w in sorted(now)}
+        out |= before
+    return out
+
+
+@pytest.mark.parametrize("scheme", ["single", "dss"])
+def test_warm_clusters_equal_a_plain_version(some, scheme):
+    e = Engine(some.spark, some.series).build(0.5, "eu", (3, 6), order="key", scheme=scheme, warm=True)
+    got = e.clusters.collect()
+    assert len(got) == e.num_windows() and max(r.dist_to_rep for r in got) <= 0.25
+    buckets = {}
+    for w in e.windows().collect():
+        buckets.setdefault(w.bucket, {})[w.series_id, w.start, w.len] = list(w.data)
+    names = {r.series_id: r.ts_idx for r in e.series.collect()}
+    for b, rows in buckets.items():
+        by_place = {(names[s], a, n): x for (s, a, n), x in rows.items()}
+        want = plain_warm(by_place, 0.5)
+        assert {(names[r.series_id], r.start, r.len): (names[r.rep_series_id], r.rep_start, r.len) for r in got if r.bucket == b} == want
+    cold = Engine(some.spark, some.series).build(0.5, "eu", (3, 6), order="key", scheme=scheme)
+    assert e.clusters.where("len = 6").exceptAll(cold.clusters.where("len = 6")).count() == 0
+
+
+def test_nearest_cluster_and_session(some):
+    q = query.Query((0.2, 0.9, 0.4, 0.6, 0.1))
+    reps = some.clusters.where("is_rep and len = 5").select("series_id", "start", "bucket").collect()
+    cost = {(r.series_id, r.start): float(normalise(dtw_many(np.array([some.window_data(r.series_id, r.start, r.start + 4)]), np.array(q.data))[0], 5, 5, "eu")) for r in reps}
+    best = min(cost, key=lambda r: (cost[r], r))
+    members = {(r.series_id, r.start) for r in some.cluster_of(*best, best[1] + 4).collect()}
+    got = some.query_nearest(q, 1000, (5, 5)).orderBy("rank").collect()
+    assert {(r.series_id, r.start) for r in got} == members and [r.dist for r in got] == sorted(r.dist for r in got)
+    assert session_settings(some.spark)["parallelism"] == 4 and session_settings(some.spark)["spark.driver.memory"] == "4g"
