@@ -2,29 +2,35 @@
 
 Two views of a page: its text (character-class pairs, repetition, compressibility) and
 its metadata (source, language, size, url and html markup). A logistic classifier per
-view learns from labelled rows; over some rounds each labels the unlabelled rows it is
-most sure of for the other. Both are then calibrated on rows set aside, combined by a
-logistic model of the calibrated views, and score every document.
+view learns from labelled rows; in each round both look at every document and label, for
+the other, some of those they are sure of. Both are then calibrated on rows set aside,
+combined by a logistic model of the calibrated views, and score every document.
+
+Features of texts are worked out once and kept as a scratch table. What a view is sure of
+is looked for in the whole table; of that, the first by a hash of the features are
+taught, a bounded number a round, texts of equal features once.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoform.llm.common import Scratch, release
 from echoform.llm.toxicity import logistic
 
-#: Bounds of the labelled and of the unlabelled rows used for fitting, first by a hash of doc_id.
-MAX_LABELLED, MAX_POOL = 6000, 6000
-ROUNDS, SURE, SHARE, KEEP = 4, 0.97, 0.1, 0.5
+#: Bounds of the labelled rows used for fitting (first by a hash of doc_id), and of the rows one view teaches the other in a round.
+MAX_LABELLED, MAX_TAUGHT = 6000, 600
+ROUNDS, SURE, KEEP = 4, 0.97, 0.5
+#: The share of hashes first looked at holds so many times the rows wanted; it grows by as much while too few of them are sure ones.
+SLACK = 16
 CLASSES, META_DIM = 20, 512
 TEXT_DIM = CLASSES * CLASSES + 10
 _CLASS = np.full(256, 1, np.uint16)  # other ASCII
@@ -54,16 +60,20 @@ def text_features(text: str | None) -> np.ndarray:
     return out
 
 
-def meta_features(tokens: list[list[str]]) -> np.ndarray:
-    """Hashed one-hot of ``field=value`` tokens, with an intercept at 0."""
-    out = np.zeros((len(tokens), META_DIM), np.float32)
+def meta_features(slots: list[list[int]]) -> np.ndarray:
+    """One-hot rows of the slots of ``field=value`` tokens, with an intercept at 0."""
+    out = np.zeros((len(slots), META_DIM))
     out[:, 0] = 1
-    for i, ts in enumerate(tokens):
-        for t in filter(None, ts or ()):
-            out[i, 1 + xxhash.xxh32_intdigest(t) % (META_DIM - 1)] = 1
+    for i, s in enumerate(slots):
+        out[i, s] = 1
     return out
 
 
+def meta_slots(tokens: Column) -> Column:
+    """Distinct slots 1 to META_DIM - 1 of tokens."""
+    return F.array_distinct(F.transform(tokens, lambda t: (F.pmod(F.xxhash64(t), F.lit(META_DIM - 1)) + 1).cast("int")))
+
+
 def page_meta(pages: DataFrame) -> DataFrame:
     """(doc_id, _page) : metadata tokens of each page; repeated pages: one of them, the least."""
     def band(c, k):
@@ -105,35 +115,56 @@ def _with_one(x: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(x), 1), x.dtype), x]).astype(float)
 
 
-def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, sure: float = SURE) -> Model:
+#: Asks both views, of the weights given, for rows they are sure of, at most want[label] of each label;
+#: returns for either what it teaches: features in the other view, and labels.
+Teacher = Callable[[list[np.ndarray], float, tuple[int, int]], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def key_of(features: bytes) -> int:
+    return xxhash.xxh64_intdigest(features) >> 1
+
+
+def in_memory(x: np.ndarray, m: np.ndarray, keys: list[int] | None = None) -> Teacher:
+    """Rows of both views in memory: the plain form of ``whole_table``."""
+    keys = keys or [key_of(r.tobytes()) for r in x]
+    used: set[int] = set()
+
+    def ask(w: list[np.ndarray], sure: float, want: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, taught = [], set()
+        for own, other, weights in ((x, m, w[0]), (m, x, w[1])):
+            p, chosen = _p(own @ weights), {}
+            for label in (1, 0):
+                first: dict[int, int] = {}
+                for i in np.flatnonzero(p >= sure if label else p <= 1 - sure):
+                    if keys[i] not in used:
+                        first.setdefault(keys[i], int(i))
+                for k in sorted(first)[: want[label]]:
+                    chosen.setdefault(k, (first[k], label))
+            out.append((other[[i for i, _ in chosen.values()]], np.array([v for _, v in chosen.values()], float)))
+            taught |= set(chosen)
+        used.update(taught)
+        return out
+
+    return ask
+
+
+def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray] | Teacher, rounds: int = ROUNDS, sure: float = SURE, most: int = MAX_TAUGHT) -> Model:
     """Fit both views on labelled rows, let them teach each other on the pool, calibrate and combine."""
+    ask = pool if callable(pool) else in_memory(*pool)
     hold = np.arange(len(y)) % 4 == 3
     if len(np.unique(y[~hold])) < 2 or len(np.unique(y[hold])) < 2:
         hold = np.zeros(len(y), bool)
     sets = [[v[~hold], y[~hold].astype(float)] for v in views]
-    left = np.ones(len(pool[0]), bool)
     fit = lambda s: logistic(s[0], s[1], 1.0, 25)
     w = [fit(s) for s in sets]
     rate = float(y.mean())
+    want = (int(most * (1 - rate)) + 1, int(most * rate) + 1)
     for _ in range(rounds):
-        taught = 0
-        for i in (0, 1):
-            where = np.flatnonzero(left)
-            if not len(where):
-                break
-            p = _p(pool[i][where] @ w[i])
-            budget = max(2, int(SHARE * len(pool[0])))
-            high = [k for k in np.argsort(-p)[: int(budget * rate) + 1] if p[k] >= sure]
-            low = [k for k in np.argsort(p)[: int(budget * (1 - rate)) + 1] if p[k] <= 1 - sure]
-            for ks, label in ((high, 1.0), (low, 0.0)):
-                if ks:
-                    rows = where[ks]
-                    sets[1 - i][0] = np.vstack([sets[1 - i][0], pool[1 - i][rows]])
-                    sets[1 - i][1] = np.r_[sets[1 - i][1], np.full(len(rows), label)]
-                    left[rows] = False
-                    taught += len(rows)
-        if not taught:
+        lessons = ask(w, sure, want)
+        if not any(len(labels) for _, labels in lessons):
             break
+        for s, (rows, labels) in zip(reversed(sets), lessons, strict=True):
+            s[0], s[1] = np.vstack([s[0], rows]), np.r_[s[1], labels]
         w = [fit(s) for s in sets]
     at = hold if hold.any() else ~hold
     cal = []
@@ -145,34 +176,107 @@ def cotrain(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.
     return Model(w[0], w[1], cal[0], cal[1], (float(mix[0]), float(max(mix[1], 0.0)), float(max(mix[2], 0.0))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, meta: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
-    """Fit on bounded samples, one row of those that repeat an id; None where labels lack
-    one of the classes. meta: (doc_id, _page)."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    order = (F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id"))
-    first = known.orderBy(*order).limit(max_labelled)
-    pool = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(*order).limit(max_pool).withColumn("y", F.lit(-1))
-    ids = scratch.write(first.unionByName(pool))  # at most max_labelled + max_pool rows
-    if ids.where("y >= 0").select("y").distinct().count() < 2:
-        return None
-    mine = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text", own_meta().alias("_own"))
-    mine = mine.join(F.broadcast(scratch.write(meta.join(F.broadcast(ids.select("doc_id")), "doc_id"))), "doc_id", "left")
+def read_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, x, _own): a key of the text's features, the features in half precision, and metadata tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [text_features(t).tobytes() for t in b.column(2).to_pylist()]
-            m = [[*a, *(p or ())] for a, p in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), pa.array(m, pa.list_(pa.string()))], names=["doc_id", "y", "x", "m"])
-
-    one = mine.mapInArrow(run, "doc_id long, y int, x binary, m array<string>").groupBy("doc_id").agg(F.min(F.struct("x", "m", "y")).alias("s")).select("doc_id", "s.*")  # rows that repeat an id: one
-    rows = sorted(one.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), bytes(r.x)))
-    scratch.drop(ids)
-    if len({r.y for r in rows if r.y >= 0}) < 2:  # labels of rows that are not there
+            x = [text_features(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(key_of, x), pa.int64()), pa.array(x, pa.binary()), b.column(2)], names=["doc_id", "h", "x", "_own"])
+        release()
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), own_meta().alias("_own"))
+    return slim.mapInArrow(run, "doc_id long, h long, x binary, _own array<string>")
+
+
+def _rows(x: list[bytes]) -> np.ndarray:
+    return _with_one(np.frombuffer(b"".join(x), np.float16).reshape(len(x), TEXT_DIM))
+
+
+def with_slots(rows: DataFrame, meta: DataFrame) -> DataFrame:
+    """rows (doc_id, .., _own) with slots m of their own tokens and of their pages'; meta: (doc_id, _page)."""
+    return rows.join(meta, "doc_id", "left").withColumn("m", meta_slots(F.concat("_own", F.coalesce("_page", F.array().cast("array<string>"))))).drop("_own", "_page")
+
+
+def meta_logit(weights: np.ndarray) -> Column:
+    """Logit of the metadata view of slots m."""
+    table = F.expr(f"array({', '.join(f'{float(v)!r}D' for v in weights)})")
+    return F.aggregate("m", F.lit(float(weights[0])), lambda a, i: a + F.element_at(table, i + 1))
+
+
+def whole_table(texts: DataFrame, metas: DataFrame, used: set[int]) -> Teacher:
+    """Every row of texts (doc_id, h, x) and metas (doc_id, h, m) but those of keys used
+    or null ids. A key is a hash, so its smallest values are an even sample: only those
+    under a cut leave the scan. The cut grows until rows enough are there, or all were
+    looked at; so some multiple of the rows wanted is sent on, whatever the table's size."""
+    spark, n, used = texts.sparkSession, max(texts.count(), 1), set(used)
+    cuts: dict[tuple[int, int], float] = {}
+
+    def confident(w: list[np.ndarray], sure: float) -> DataFrame:
+        edge, limit = float(np.log(sure / (1 - sure))), {k: 2 * int(c * 2**62) - 1 for k, c in cuts.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                z, h = _rows(b.column(2).to_pylist()) @ w[0], b.column(1).to_numpy()
+                for label in (0, 1):
+                    at = pa.array(((z >= edge) if label else (z <= -edge)) & (h <= limit[0, label]))
+                    ids, keys = b.column(0).filter(at), b.column(1).filter(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array([label] * len(ids), pa.int32()), keys, ids], names=["view", "label", "h", "doc_id"])
+
+        z = meta_logit(w[1])
+        by_text = texts.where("doc_id is not null").select("doc_id", "h", "x").mapInArrow(run, "view int, label int, h long, doc_id long")
+        by_meta = (
+            metas.where((F.col("h") <= max(limit[1, 0], limit[1, 1])) & F.col("doc_id").isNotNull()).select(F.lit(1).alias("view"), F.when(z >= edge, 1).when(z <= -edge, 0).alias("label"), "h", "doc_id")
+            .where(F.col("h") <= F.when(F.col("label") == 1, limit[1, 1]).when(F.col("label") == 0, limit[1, 0]))
+        )
+        known = spark.createDataFrame(pa.table({"h": pa.array(sorted(used), pa.int64())}))  # bounded: labelled and taught rows
+        return by_text.unionByName(by_meta).join(F.broadcast(known), "h", "left_anti").groupBy("view", "label", "h").agg(F.min("doc_id").alias("doc_id"))
+
+    def ask(w: list[np.ndarray], sure: float, want: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+        for view in (0, 1):
+            for label in (0, 1):
+                cuts.setdefault((view, label), min(1.0, SLACK * want[label] / n))
+        rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("h"))
+        while True:
+            rows = confident(w, sure).withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, want[1]).otherwise(want[0])).collect()
+            short = [(v, k) for v, k in cuts if cuts[v, k] < 1 and sum(r.view == v and r.label == k for r in rows) < want[k]]
+            if not short:
+                break
+            cuts.update({c: min(1.0, SLACK * cuts[c]) for c in short})
+        chosen: dict[tuple[int, int], tuple[int, int]] = {}
+        for r in sorted(rows, key=lambda r: (r.view, -r.label, r.h)):
+            chosen.setdefault((r.view, r.h), (r.label, r.doc_id))
+        if not chosen:
+            return [(np.zeros((0, len(w[1]))), np.zeros(0)), (np.zeros((0, len(w[0]))), np.zeros(0))]
+        used.update(h for _, h in chosen)
+        ids = spark.createDataFrame([(v, h, d) for (v, h), (_, d) in chosen.items()], "view int, h long, doc_id long")
+        take = lambda t, view: t.join(F.broadcast(ids.where(F.col("view") == view)), ["doc_id", "h"])
+        got = take(metas, 0).groupBy("view", "h").agg(F.min("m").alias("m")).withColumn("x", F.lit(None).cast("binary"))
+        got = got.unionByName(take(texts, 1).groupBy("view", "h").agg(F.first("x").alias("x")).withColumn("m", F.lit(None).cast("array<int>"))).collect()
+        found = [sorted((r for r in got if r.view == v), key=lambda r: (-chosen[v, r.h][0], r.h)) for v in (0, 1)]
+        labels = [np.array([chosen[r.view, r.h][0] for r in f], float) for f in found]
+        return [(meta_features([r.m for r in found[0]]), labels[0]), (_rows([bytes(r.x) for r in found[1]]), labels[1])]
+
+    return ask
+
+
+def fit(texts: DataFrame, metas: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
+    """Fit on labelled rows of a bounded number of ids, one row of those that repeat an id,
+    and on what the views teach each other of all other rows; None where labels lack one
+    of the classes. Tables as in ``whole_table``."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
+    first = {r.doc_id: r.y for r in known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_labelled).collect()}
+    if len(set(first.values())) < 2:
+        return None
+    ids = F.broadcast(texts.sparkSession.createDataFrame([(i,) for i in first], "doc_id long"))
+    x = {r.doc_id: r.s for r in texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.struct("h", "x")).alias("s")).collect()}
+    m = {r.doc_id: r.s for r in metas.join(ids, "doc_id").groupBy("doc_id").agg(F.min(F.struct("h", "m")).alias("s")).collect()}
+    rows = sorted(x, key=lambda i: (xxhash.xxh64_intdigest(str(i)), i))
+    y = np.array([first[i] for i in rows])
+    if len(set(y.tolist())) < 2:  # labels of rows that are not there
         return None
-    x = _with_one(np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]))
-    m, y = meta_features([r.m for r in rows]).astype(float), np.array([r.y for r in rows])
-    return cotrain((x[y >= 0], m[y >= 0]), y[y >= 0], (x[y < 0], m[y < 0]))
+    views = _rows([bytes(x[i].x) for i in rows]), meta_features([m[i].m for i in rows])
+    return cotrain(views, y, whole_table(texts, metas, {x[i].h for i in rows}))
 
 
 def score_documents(docs: DataFrame, pages: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -181,31 +285,27 @@ def score_documents(docs: DataFrame, pages: DataFrame, labels: DataFrame, keep:
     Scores are chances of good quality; ``kept`` is score >= keep. Null and empty texts
     are scored by their own flag, documents without a page by their own metadata.
     A negative n_chars counts as 0, a null one as the text's own. Repeated rows keep a
-    row each; extra columns are ignored; an empty table gives no rows. Without labels of
-    both classes all score 1. Texts are
-    read in narrow passes; only ids, logits and metadata tokens are joined."""
-    meta = page_meta(pages)
-    model = fit(docs, labels, meta)
-    names = ["doc_id", "text_score", "page_score", "score", "kept"]
-    ddl = "doc_id long, text_score double, page_score double, score double, kept boolean"
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = [float(model.text[0] + text_features(t) @ model.text[1:]) if model else 0.0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.float64()), b.column(2)], names=["doc_id", "_z", "_own"])
-        release()
-
-    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row each; rows without an id are scored, not taught; extra columns are ignored; an
+    empty table gives no rows. Without labels of both classes all score 1. Texts are
+    read in one narrow pass; only ids, keys, logits and metadata tokens are joined."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    texts = scratch.write(read_texts(docs))
+    meta = scratch.write(page_meta(pages))
+    metas = scratch.write(with_slots(texts.select("doc_id", "h", "_own"), meta))
+    model = fit(texts.drop("_own"), metas, labels)
+    scratch.drop(metas)
+    names = ["doc_id", "text_score", "page_score", "score"]
+    if model is None:
+        return texts.select("doc_id", *(F.lit(1.0).alias(n) for n in names[1:])).withColumn("kept", F.col("score") >= keep)
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z1 = b.column(1).to_numpy()
-            if model:
-                m = meta_features([[*a, *(p or ())] for a, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)])
-                a = model.text_cal[0] + model.text_cal[1] * z1
-                c = model.meta_cal[0] + model.meta_cal[1] * (m @ model.meta)
-                out = _p(a), _p(c), _p(model.mix[0] + model.mix[1] * np.clip(a, -12, 12) + model.mix[2] * np.clip(c, -12, 12))
-            else:
-                out = (np.ones(b.num_rows),) * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out), pa.array(out[2] >= keep)], names=names)
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own_meta().alias("_own")).mapInArrow(read, "doc_id long, _z double, _own array<string>")
-    return slim.join(meta, "doc_id", "left").select("doc_id", "_z", "_own", "_page").mapInArrow(mix, ddl)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_rows(b.column(1).to_pylist()) @ model.text), b.column(2)], names=["doc_id", "z", "_own"])
+
+    chance = lambda z: 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    level = lambda z: F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
+    rows = with_slots(texts.select("doc_id", "x", "_own").mapInArrow(logits, "doc_id long, z double, _own array<string>"), meta)
+    a, c = model.text_cal[0] + model.text_cal[1] * F.col("z"), model.meta_cal[0] + model.meta_cal[1] * meta_logit(model.meta)
+    rows = rows.select("doc_id", a.alias("a"), c.alias("c"))
+    mixed = model.mix[0] + model.mix[1] * level(F.col("a")) + model.mix[2] * level(F.col("c"))
+    return rows.select("doc_id", chance(F.col("a")).alias("text_score"), chance(F.col("c")).alias("page_score"), chance(mixed).alias("score")).withColumn("kept", F.col("score") >= keep)

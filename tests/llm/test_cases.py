@@ -83,6 +83,30 @@ def test_quality_on_rows_kept_out_of_the_fit(spark):
     assert np.mean([r.kept for r in got if r.quality == 1]) >= 0.97
 
 
+@pytest.mark.parametrize("slack", [2, 16])
+def test_lessons_of_a_whole_table_equal_the_plain_form(spark, monkeypatch, slack):
+    monkeypatch.setattr(cotraining, "SLACK", slack)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, cotraining.TEXT_DIM)).astype(np.float16)
+    x[250:280] = x[100]  # copies, of other metadata
+    slots = [sorted({int(s) for s in rng.integers(1, 9, 3)}) for _ in x]
+    slots[250:280] = [slots[100]] * 30
+    keys = [cotraining.key_of(r.tobytes()) for r in x]
+    texts = spark.createDataFrame([(i, keys[i], bytearray(r.tobytes())) for i, r in enumerate(x)] + [(None, 1, bytearray(x[0].tobytes()))], "doc_id long, h long, x binary")
+    metas = spark.createDataFrame([(i, keys[i], s) for i, s in enumerate(slots)] + [(None, 1, [1])], "doc_id long, h long, m array<int>")
+    used = set(keys[:20])
+    whole = cotraining.whole_table(texts, metas, used)
+    free = [i for i in range(300) if keys[i] not in used]
+    plain = cotraining.in_memory(cotraining._with_one(x[free]), cotraining.meta_features([slots[i] for i in free]), [keys[i] for i in free])
+    w = [rng.standard_normal(cotraining.TEXT_DIM + 1) * 0.2, rng.standard_normal(cotraining.META_DIM)]
+    taught = 0
+    for want in ((30, 40), (9, 200), (300, 300), (5, 5)):
+        for (got, ys), (rows, labels) in zip(whole(w, 0.6, want), plain(w, 0.6, want), strict=True):
+            assert sorted(map(tuple, np.c_[got, ys])) == sorted(map(tuple, np.c_[rows, labels]))
+            taught += len(ys)
+    assert taught > 200 and not any(len(ys) for _, ys in whole(w, 0.6, (5, 5)))
+
+
 def test_toxicity_finds_unseen_rows_and_equals_a_plain_scorer(spark):
     docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.judge(docs, known).join(known.where("toxic is not null"), "doc_id").where("held_out").collect()
