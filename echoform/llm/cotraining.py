@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echoform.llm.common import Scratch, release
@@ -236,9 +236,9 @@ def whole_table(texts: DataFrame, metas: DataFrame, used: set[int]) -> Teacher:
         for view in (0, 1):
             for label in (0, 1):
                 cuts.setdefault((view, label), min(1.0, SLACK * want[label] / n))
-        rank = F.row_number().over(Window.partitionBy("view", "label").orderBy("h"))
         while True:
-            rows = confident(w, sure).withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("label") == 1, want[1]).otherwise(want[0])).collect()
+            found = confident(w, sure).collect()  # keys are even hashes: about SLACK times the rows wanted at most
+            rows = [r for v, k in cuts for r in sorted((r for r in found if (r.view, r.label) == (v, k)), key=lambda r: r.h)[: want[k]]]
             short = [(v, k) for v, k in cuts if cuts[v, k] < 1 and sum(r.view == v and r.label == k for r in rows) < want[k]]
             if not short:
                 break
@@ -253,9 +253,9 @@ def whole_table(texts: DataFrame, metas: DataFrame, used: set[int]) -> Teacher:
         take = lambda t, view: t.join(F.broadcast(ids.where(F.col("view") == view)), ["doc_id", "h"])
         got = take(metas, 0).groupBy("view", "h").agg(F.min("m").alias("m")).withColumn("x", F.lit(None).cast("binary"))
         got = got.unionByName(take(texts, 1).groupBy("view", "h").agg(F.first("x").alias("x")).withColumn("m", F.lit(None).cast("array<int>"))).collect()
-        found = [sorted((r for r in got if r.view == v), key=lambda r: (-chosen[v, r.h][0], r.h)) for v in (0, 1)]
-        labels = [np.array([chosen[r.view, r.h][0] for r in f], float) for f in found]
-        return [(meta_features([r.m for r in found[0]]), labels[0]), (_rows([bytes(r.x) for r in found[1]]), labels[1])]
+        mine = [sorted((r for r in got if r.view == v), key=lambda r: (-chosen[v, r.h][0], r.h)) for v in (0, 1)]
+        labels = [np.array([chosen[r.view, r.h][0] for r in m], float) for m in mine]
+        return [(meta_features([r.m for r in mine[0]]), labels[0]), (_rows([bytes(r.x) for r in mine[1]]), labels[1])]
 
     return ask
 
