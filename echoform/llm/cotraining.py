@@ -222,6 +222,7 @@ def whole_table(texts: DataFrame, metas: DataFrame, used: set[int]) -> Teacher:
                     at = pa.array(((z >= edge) if label else (z <= -edge)) & (h <= limit[0, label]))
                     ids, keys = b.column(0).filter(at), b.column(1).filter(at)
                     yield pa.RecordBatch.from_arrays([pa.array([0] * len(ids), pa.int32()), pa.array([label] * len(ids), pa.int32()), keys, ids], names=["view", "label", "h", "doc_id"])
+            release()
 
         z = meta_logit(w[1])
         by_text = texts.where("doc_id is not null").select("doc_id", "h", "x").mapInArrow(run, "view int, label int, h long, doc_id long")
@@ -249,8 +250,9 @@ def whole_table(texts: DataFrame, metas: DataFrame, used: set[int]) -> Teacher:
         if not chosen:
             return [(np.zeros((0, len(w[1]))), np.zeros(0)), (np.zeros((0, len(w[0]))), np.zeros(0))]
         used.update(h for _, h in chosen)
-        ids = spark.createDataFrame([(v, h, d) for (v, h), (_, d) in chosen.items()], "view int, h long, doc_id long")
-        take = lambda t, view: t.join(F.broadcast(ids.where(F.col("view") == view)), ["doc_id", "h"])
+        ids = spark.createDataFrame([(v, h, d) for (v, h), (_, d) in chosen.items()], "view int, k long, id long")
+        # one long key: a broadcast relation of two would hold a whole memory page on every executor
+        take = lambda t, view: t.join(F.broadcast(ids.where(F.col("view") == view)), (F.col("doc_id") == F.col("id")) & (F.col("h") - F.col("k") == 0))
         got = take(metas, 0).groupBy("view", "h").agg(F.min("m").alias("m")).withColumn("x", F.lit(None).cast("binary"))
         got = got.unionByName(take(texts, 1).groupBy("view", "h").agg(F.first("x").alias("x")).withColumn("m", F.lit(None).cast("array<int>"))).collect()
         mine = [sorted((r for r in got if r.view == v), key=lambda r: (-chosen[v, r.h][0], r.h)) for v in (0, 1)]
@@ -301,6 +303,7 @@ def score_documents(docs: DataFrame, pages: DataFrame, labels: DataFrame, keep:
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_rows(b.column(1).to_pylist()) @ model.text), b.column(2)], names=["doc_id", "z", "_own"])
+        release()
 
     chance = lambda z: 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     level = lambda z: F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
