@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from echoform.llm.common import Scratch, components, release
 
 WORDS, HOT, LOCAL_HOT, CHUNK_KEYS, CACHE_WORDS = 5, 16, 64, 800_000, 200_000
+#: Keys of a part that meet at once, about: a power of two.
+SLICE_KEYS = 1 << 20
 #: Bytes of texts a part of the key shuffle stands for; its keys take about twice that.
 PART_BYTES = 48 << 20
 #: A side of a square block of weak members: bytes of sketches and rows; pairs compared with one copy of a set.
@@ -186,7 +188,8 @@ class _Emitter:
         at, n = _groups(code)
         hot, marks = np.repeat(n > LOCAL_HOT, n), at[n > LOCAL_HOT]
         if len(marks):
-            yield from _stars(names, code, cls, own.astype(bool), hot)
+            yield from _pair_rows(names, _star_pairs(code, cls, hot, len(names)))
+            yield _counts(names, *(np.bincount(cls[hot & o], minlength=len(names)) for o in (own, ~own)))
         keep = ~hot
         keep[marks] = True
         marked = np.zeros(len(code), bool)
@@ -207,25 +210,33 @@ def _members(part: int, low: np.ndarray, names: np.ndarray, own: np.ndarray) ->
     return part, MEMBERS, None, None, int(own.sum()), 0, 0, low[o].astype("<u4").tobytes(), names[o].astype("<i8").tobytes(), None, None
 
 
-def _stars(names: np.ndarray, code: np.ndarray, cls: np.ndarray, own: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
-    """For the entries of hot keys (mask over entries sorted by key): pairs of each run's
-    first class with the rest, and how many hot keys of either band each class has."""
-    k, c, o = code[hot], cls[hot].astype(np.int64), own[hot]
-    at, n = _groups(k)
-    yield from _pair_rows(names, np.repeat(c[at], n), c)
-    who = np.unique(c)
-    counts = [np.bincount(c[m], minlength=len(names))[who].astype("<i4") for m in (o, ~o)]
-    yield 0, COUNTS, None, None, 0, 0, 0, names[who].tobytes(), counts[0].tobytes(), counts[1].tobytes(), None
+def _star_pairs(code: np.ndarray, cls: np.ndarray, hot: np.ndarray, m: int) -> np.ndarray:
+    """For the entries of hot keys (mask over entries sorted by key): pairs of each run's first class with the rest."""
+    c = cls[hot].astype(np.int64)
+    at, n = _groups(code[hot])
+    return _pair_codes(np.repeat(c[at], n), c, m)
 
 
-def _pair_rows(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
-    """PAIRS rows of distinct pairs of different classes, the smaller first."""
+def _counts(names: np.ndarray, own: np.ndarray, below: np.ndarray) -> tuple:
+    """How many hot keys of either band each class has."""
+    who = np.flatnonzero(own + below)
+    return 0, COUNTS, None, None, 0, 0, 0, names[who].tobytes(), own[who].astype("<i4").tobytes(), below[who].astype("<i4").tobytes(), None
+
+
+def _pair_codes(i: np.ndarray, j: np.ndarray, m: int) -> np.ndarray:
+    """Distinct pairs of m classes, the smaller first, a number each."""
+    return np.unique(np.minimum(i, j).astype(np.uint64) * np.uint64(m) + np.maximum(i, j).astype(np.uint64))
+
+
+def _pair_rows(names: np.ndarray, code: np.ndarray) -> Iterator[tuple]:
+    """PAIRS rows of the pairs of different classes, the smaller first."""
     m = np.uint64(len(names))
-    code = np.unique(np.minimum(i, j).astype(np.uint64) * m + np.maximum(i, j).astype(np.uint64))
-    a, b = names[(code // m).astype(np.int64)], names[(code % m).astype(np.int64)]
-    pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
-    for lo in range(0, len(pairs), 100_000):
-        yield 0, PAIRS, None, None, 0, 0, 0, None, pairs[lo : lo + 100_000].astype("<i8").tobytes(), None, None
+    for lo in range(0, len(code), 100_000):
+        c = code[lo : lo + 100_000]
+        a, b = names[(c // m).astype(np.int64)], names[(c % m).astype(np.int64)]
+        pairs = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b]
+        if len(pairs):
+            yield 0, PAIRS, None, None, 0, 0, 0, None, pairs.astype("<i8").tobytes(), None, None
 
 
 def _spread(parts: int):
@@ -261,42 +272,58 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keyed = b.filter(pa.array(kind == KEYS))
         for p, *row in zip(part[kind == KEYS].tolist(), *(keyed.column(i).to_pylist() for i in (4, 7, 8, 9, 10)), strict=True):
             if p != last and held:
-                yield _rows(list(_match(last, held)))
+                yield from (_rows([r]) for r in _match(last, held))
                 held = []
             last = p
             held.append(tuple(row))
     if held:
-        yield _rows(list(_match(last, held)))
+        yield from (_rows([r]) for r in _match(last, held))
     held = []
     release()
 
 
 def _match(part: int, held: list[tuple]) -> Iterator[tuple]:
-    """Candidates of one part: all pairs of a cold key, a star of a hot one."""
-    low = np.concatenate([np.frombuffer(w, "<u4") for _, w, _, _, _ in held])
+    """Candidates of one part: all pairs of a cold key, a star of a hot one. Keys meet in
+    slices of about SLICE_KEYS, by their first bits; a row's own keys, and its others, are sorted."""
     dicts = [np.frombuffer(x, "<i8") for _, _, x, _, _ in held]
     names, dense = np.unique(np.concatenate(dicts), return_inverse=True)
-    starts = np.cumsum([0, *map(len, dicts)])
-    cls = np.concatenate([dense[lo + np.frombuffer(y, "<u2" if 2 * len(y) == len(w) else "<u4").astype(np.int64)] for lo, (_, w, _, y, _) in zip(starts[:-1], held, strict=True)])
-    own = np.concatenate([np.arange(len(w) // 4) < n for n, w, _, _, _ in held])
+    starts, m = np.cumsum([0, *map(len, dicts)]), len(names)
     marks = np.unique(np.concatenate([np.frombuffer(z, "<u4") for _, _, _, _, z in held]))
-    v = np.unique(low.astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64) << np.uint64(1) | own.astype(np.uint64))  # copies of a class from several tasks go
-    low, cls, own = (v >> np.uint64(32)).astype("<u4"), (v >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64), (v & np.uint64(1)).astype(bool)
-    at, n = _groups(low)
-    many = (n > HOT) | np.isin(low[at], marks)
-    hot = np.repeat(many, n)
-    if hot.any():
-        yield from _stars(names, low, cls, own, hot)
-        yield _members(part, low[hot], names[cls[hot]], own[hot])
-    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for size in range(2, HOT + 1):  # all pairs of a cold key, all keys of one size at once
-        rows = at[(n == size) & ~many]
-        if len(rows):
-            block = cls[rows[:, None] + np.arange(size)]
-            i, j = np.triu_indices(size, 1)
-            left.append(block[:, i].ravel())
-            right.append(block[:, j].ravel())
-    yield from _pair_rows(names, np.concatenate(left), np.concatenate(right))
+    slices = 1
+    while slices * SLICE_KEYS < sum(len(w) for _, w, _, _, _ in held) // 4:
+        slices *= 2
+    edges = np.arange(1, slices, dtype=np.uint64) * np.uint64((1 << 32) // slices)
+    rows = []
+    for lo, (n, w, _, y, _) in zip(starts[:-1], held, strict=True):
+        low, at = np.frombuffer(w, "<u4"), np.frombuffer(y, "<u2" if 2 * len(y) == len(w) else "<u4")
+        for keys, places, own in ((low[:n], at[:n], 1), (low[n:], at[n:], 0)):
+            rows.append((lo, keys, places, np.uint64(own), [0, *np.searchsorted(keys, edges.astype("<u4")).tolist(), len(keys)]))
+    pairs, counts = np.empty(0, np.uint64), [np.zeros(m, np.int64), np.zeros(m, np.int64)]
+    for i in range(slices):
+        v = np.unique(np.concatenate([  # copies of a class from several tasks go
+            keys[c[i] : c[i + 1]].astype(np.uint64) << np.uint64(32) | dense[lo + places[c[i] : c[i + 1]].astype(np.int64)].astype(np.uint64) << np.uint64(1) | own
+            for lo, keys, places, own, c in rows
+        ]))
+        low, cls, own = (v >> np.uint64(32)).astype("<u4"), (v >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64), (v & np.uint64(1)).astype(bool)
+        at, n = _groups(low)
+        many = (n > HOT) | np.isin(low[at], marks)
+        hot = np.repeat(many, n)
+        found = [pairs]
+        if hot.any():
+            found.append(_star_pairs(low, cls, hot, m))
+            for total, of in zip(counts, (own, ~own), strict=True):
+                total += np.bincount(cls[hot & of], minlength=m)
+            yield _members(part, low[hot], names[cls[hot]], own[hot])
+        for size in range(2, HOT + 1):  # all pairs of a cold key, all keys of one size at once
+            at_size = at[(n == size) & ~many]
+            if len(at_size):
+                block = cls[at_size[:, None] + np.arange(size)]
+                left, right = np.triu_indices(size, 1)
+                found.append(_pair_codes(block[:, left].ravel(), block[:, right].ravel(), m))
+        pairs = np.unique(np.concatenate(found))
+    if any(c.any() for c in counts):
+        yield _counts(names, *counts)
+    yield from _pair_rows(names, pairs)
 
 
 def _emit(columns: list[np.ndarray], names: list[str], rows: int = 100_000) -> Iterator[pa.RecordBatch]:

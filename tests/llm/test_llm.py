@@ -488,3 +488,45 @@ def test_queries_equal_their_sql(spark, name):
     assert cols == sorted(want.columns)
     tidy = lambda d: sorted((r for r in d[cols].astype(object).where(d[cols].notna(), None).values.tolist()), key=str)
     assert tidy(got) == tidy(want)
+
+
+def test_keys_of_a_part_meet_in_slices(monkeypatch):
+    """The same candidates, members and counts as all at once, in memory a part's keys do not multiply."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base, out = rng.integers(0, 1 << 63, 600).astype(np.uint64), parity_join._Emitter(1)
+    rows = []
+    for c in range(900):
+        s = rng.integers(0, 1 << 63, 600).astype(np.uint64)
+        if c % 9 == 0:
+            s[5:] = base[5:]
+        out.add(np.unique(s), c + 1)
+        if out.n > 100_000:
+            rows += out.flush()
+    rows += out.flush()
+    held = [(r[4], r[7], r[8], r[9], r[10]) for r in rows if r[1] == parity_join.KEYS]
+
+    def found():
+        pairs, members, counts = set(), set(), {}
+        for part, kind, _, _, n, _, _, w, x, y, _ in parity_join._match(3, held):
+            if kind == parity_join.PAIRS:
+                pairs |= set(map(tuple, np.frombuffer(x, "<i8").reshape(-1, 2).tolist()))
+            elif kind == parity_join.MEMBERS:
+                low = np.frombuffer(w, "<u4").tolist()
+                members |= {(part, k, c, i < n) for i, (k, c) in enumerate(zip(low, np.frombuffer(x, "<i8").tolist(), strict=True))}
+            else:
+                for c, *two in zip(*(np.frombuffer(v, t).tolist() for v, t in ((w, "<i8"), (x, "<i4"), (y, "<i4"))), strict=True):
+                    counts[c] = [a + b for a, b in zip(counts.get(c, [0, 0]), two, strict=True)]
+        return pairs, members, counts
+
+    whole = found()
+    assert len(whole[0]) >= 99 and whole[1] and whole[2]
+    monkeypatch.setattr(parity_join, "SLICE_KEYS", 1 << 14)
+    assert found() == whole
+    tracemalloc.start()
+    for _ in parity_join._match(3, held):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(len(w) // 4 for _, w, _, _, _ in held)
