@@ -14,7 +14,8 @@ keeps more cold pieces than it can have differing tokens is still found by those
 only pairs of two sets that do not ("weak") can be missed, and the weak members of a hot
 key that are of different components are compared by sketch, in square blocks dealt
 over tasks: first the nearest pair of each two components, then, where that is no link,
-all. Candidates pass the sketch test, then whole sets of 64-bit tokens are intersected.
+all. Candidates pass tests of sizes, of short sketches, which are what a pair carries,
+and of whole ones, then whole sets of 64-bit tokens are intersected.
 
 Equal sets are one class throughout; links between classes make the components.
 """
@@ -111,6 +112,11 @@ def fold(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
+def short(x: bytes) -> bytes:
+    """A sketch folded to a quarter, 256 bits at least: it still rules out what is far from a link."""
+    return fold(np.frombuffer(x, np.uint8)[None, :], max(32, len(x) // 4)).tobytes()
+
+
 def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
     """False only if the sketches or the sizes rule a link out."""
     if 4 * min(na, nb) < 3 * max(na, nb):
@@ -350,6 +356,13 @@ def _unpack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield from _emit([np.frombuffer(w, "<i8"), np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4")], ["cls", "own", "below"])
 
 
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is a sketch: plus the short one."""
+    for b in batches:
+        y = pa.array([short(x) for x in b.column(b.num_columns - 1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns, y], names=[*b.schema.names, "y"])
+
+
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the pairs (a, b, na, nb, xa, xb) that the sketches allow."""
     for b in batches:
@@ -485,15 +498,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = scratch.write(
         rows.where("cls is not null").groupBy("cls")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.max("m").alias("m"), F.max("k").alias("k"), F.first("x", ignorenulls=True).alias("x"))
+        .mapInArrow(_shorten, "cls long, rep long, n int, m int, k int, x binary, y binary")
     )
 
-    def side(name: str) -> DataFrame:
-        return classes.select(F.col("cls").alias(name), F.col("n").alias("n" + name), F.col("x").alias("x" + name))
+    def side(of: DataFrame, name: str, *cols: str) -> DataFrame:
+        return of.select(F.col("cls").alias(name), *(F.col(c).alias(c + name) for c in cols))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """Of class pairs (a, b) those that sizes and short sketches allow. Sizes are looked
+        up first: then a pair carries a sketch only if they fit."""
+        sized = pairs.join(side(classes, "a", "n"), "a").join(side(classes, "b", "n", "y"), "b").where(4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
+        return sized.join(side(classes, "a", "y"), "a").select("a", "b", "na", "nb", "ya", "yb").mapInArrow(_sift, "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Of class pairs (a, b), a < b, those that link. A set travels once per partner of
-        a smaller class, and once per PAIRS_A_COPY partners of larger ones."""
-        pairs = scratch.write(pairs)
+        """Of class pairs (a, b), a < b, those that link. Sketches of their classes only are
+        dealt out. A set travels once per partner of a smaller class, and once per
+        PAIRS_A_COPY partners of larger ones."""
+        near = scratch.write(pairs)
+        ids = scratch.write(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        few = scratch.write(classes.select("cls", "n", "x").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "cls", "left_semi"))
+        pairs = scratch.write(near.join(side(few, "a", "n", "x"), "a").join(side(few, "b", "n", "x"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_sift, "a long, b long"))
+        scratch.drop(near, ids, few)
         wanted = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls"))
         ids = wanted.select("rep").distinct()
         ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
@@ -508,26 +533,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return out
 
     packed = met.where(F.col("kind") == PAIRS).select("x").mapInArrow(_unpack_pairs, "a long, b long").distinct()
-    linked = verified(packed.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_sift, "a long, b long"))
+    linked = verified(close(packed))
     comp = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
     # Weak sets: too few cold pieces, in a band's scheme, for the pigeonhole to hold.
     counts = met.where(F.col("kind") == COUNTS).select("w", "x", "y").mapInArrow(_unpack_counts, "cls long, own int, below int").groupBy("cls").agg(F.sum("own").alias("own"), F.sum("below").alias("below"))
     weak = classes.join(counts, "cls").select(
-        "cls", F.octet_length("x").alias("bytes"), (F.col("m") - F.col("own") <= F.floor(F.col("n") / 3)).alias("in_own"),
-        ((F.col("k") > 0) & (F.col("k") - F.col("below") <= F.floor(2 * F.col("n") / 7))).alias("in_below"),
+        "cls", "n", (F.col("m") - F.col("own") <= F.floor(F.col("n") / 3)).alias("in_own"),
+        ((F.col("k") > 0) & (F.col("k") - F.col("below") <= F.floor(2 * F.col("n") / 7))).alias("in_below"), "x",
     ).where("in_own or in_below")
     members = met.where(F.col("kind") == MEMBERS).select("part", "n", "w", "x").mapInArrow(_unpack_members, "key long, cls long, own boolean").distinct()
     weak = scratch.write(weak)
     if weak.limit(1).count():
-        members = scratch.write(members.join(weak, "cls").where(F.when(F.col("own"), F.col("in_own")).otherwise(F.col("in_below"))).select("key", "cls", "bytes"))
+        members = scratch.write(members.join(weak, "cls").where(F.when(F.col("own"), F.col("in_own")).otherwise(F.col("in_below"))).select("key", "cls", F.octet_length("x").alias("bytes")))
         open_to = None
         for every in (False, True):
             keyed = members.join(comp.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"), "bytes")
             keyed = keyed if open_to is None else keyed.join(open_to, "comp", "left_semi")
-            blocks = _squares(keyed, scratch).join(classes.select("cls", "n", "x"), "cls").select("task", "side", "cls", "comp", "n", "x")
+            blocks = _squares(keyed, scratch).join(weak.select("cls", "n", "x"), "cls").select("task", "side", "cls", "comp", "n", "x")
             found = scratch.write(blocks.repartition("task").sortWithinPartitions("task").mapInArrow(_cross(every), "a long, b long").distinct())
-            more = verified(found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_sift, "a long, b long"))
+            more = verified(found)
             if more.limit(1).count():
                 comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))), scratch)
             # Components whose nearest members link are one by now; others are open to all their pairs.

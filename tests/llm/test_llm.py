@@ -349,6 +349,17 @@ def test_weak_sets_in_blocks_against_brute_force(spark, monkeypatch, rows_a_side
     assert got == brute_components(sets, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
 
 
+def test_short_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 65, 300, 5000):
+        whole = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        part = np.sort(rng.permutation(whole)[: -(-3 * len(whole) // 4)])
+        other = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        x, y, z = (parity_join.short(parity_join.sketch(s)) for s in (whole, part, other))
+        assert len(x) == max(32, len(parity_join.sketch(whole)) // 4)
+        assert parity_join.may_link(x, y, len(whole), len(part)) and not (n >= 300 and parity_join.may_link(x, z, len(whole), len(other)))
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for _ in range(60):
